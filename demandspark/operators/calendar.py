@@ -60,7 +60,7 @@ def add_snap_day(
     flags = [f"snap_{s}" for s in SNAP_STATES]
     joined = df.join(calendar.select(day_col, *flags), day_col, "left")
     flag = pick_state(state_col, {s: F.col(f"snap_{s}") == 1 for s in SNAP_STATES}, F.lit(False))
-    return joined.withColumn("is_snap_day", flag).drop(*flags)
+    return joined.select(*df.columns, flag.alias("is_snap_day"))
 
 
 def add_event_day(df: DataFrame, calendar: DataFrame, day_col: str = "d") -> DataFrame:
@@ -70,7 +70,7 @@ def add_event_day(df: DataFrame, calendar: DataFrame, day_col: str = "d") -> Dat
         F.col("event_name_1").alias("event_name"),
         F.col("event_type_1").alias("event_type"),
     )
-    return df.join(events, day_col, "left")
+    return df.join(events, day_col, "left").select(*df.columns, "event_name", "event_type")
 
 
 def _snap_sums() -> list[Column]:
@@ -124,12 +124,8 @@ def add_snap_weeks(
     rows = track
     if states is not None:
         rows = track.join(states.select("id", "state_id").distinct(), "id", "left")
-    rows = (
-        rows.join(weeks, date_col, "left")
-        .withColumn("snap_days_in_week", snap_week_column())
-        .drop(*[f"_snap_{s}" for s in SNAP_STATES])
-    )
-    return rows if states is None else rows.drop("state_id")
+    joined = rows.join(weeks, date_col, "left")
+    return joined.select(*track.columns, snap_week_column().alias("snap_days_in_week"))
 
 
 def add_event_weeks(
@@ -142,6 +138,7 @@ def add_event_weeks(
     weeks = calendar.groupBy(period_start(F.col("date"), WEEKLY).alias(date_col)).agg(
         *_event_flags(named_events)
     )
-    return track.join(weeks, date_col, "left").withColumns(
-        {c: F.coalesce(F.col(c), F.lit(0)).cast("tinyint") for c in event_columns(named_events)}
-    )
+    flags = [
+        F.coalesce(F.col(c), F.lit(0)).cast("tinyint").alias(c) for c in event_columns(named_events)
+    ]
+    return track.join(weeks, date_col, "left").select(*track.columns, *flags)

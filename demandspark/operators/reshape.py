@@ -31,13 +31,14 @@ def melt_days(
     """
     days = sorted(day_columns(wide), key=lambda c: int(c[2:]))
     ids = [c for c in ID_COLUMNS if c in wide.columns]
-    rows = wide.select(*ids, F.array(*[F.col(c) for c in days]).alias("_sales"))
+    # SQL text, since thousands of Column objects are slow to build from Python
+    rows = wide.select(*ids, F.expr(f"array({', '.join(days)})").alias("_sales"))
     if from_first_sale:
         # array_position is 1-based and 0 when nothing was ever sold
         rows = rows.withColumn(
             "_first", F.array_position(F.transform("_sales", lambda s: s > 0), True) - 1
         ).filter("_first >= 0")
-    labels = F.array(*[F.lit(c) for c in days])
+    labels = F.split(F.lit(",".join(days)), ",")
     kept = [*ids, "_first"] if from_first_sale else ids
     long = rows.select(*kept, F.posexplode("_sales").alias("_pos", "sales"))
     if from_first_sale:
@@ -54,7 +55,7 @@ def join_day(daily: DataFrame, calendar: DataFrame, columns: Sequence[str], on:
     No broadcast hint: the calendar holds one row per day, so Catalyst sees a few hundred KB and
     broadcasts it after its own size check.
     """
-    return daily.join(calendar.select(on, *columns), on, "left")
+    return daily.join(calendar.select(on, *columns), on, "left").select(*daily.columns, *columns)
 
 
 def hierarchy_map(daily: DataFrame, id_format: str = "item_store") -> DataFrame:

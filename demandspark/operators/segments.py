@@ -42,7 +42,8 @@ def series_classes(df: DataFrame, id_col: str = "id", sales_col: str = "sales")
 
 def add_intermittence(df: DataFrame, id_col: str = "id", sales_col: str = "sales") -> DataFrame:
     """Zero share and class joined back to every row of the series."""
-    return df.join(series_classes(df, id_col, sales_col), id_col, "left")
+    classes = series_classes(df, id_col, sales_col)
+    return df.join(classes, id_col, "left").select(*df.columns, "zero_share", "intermittence_label")
 
 
 def lift(df: DataFrame, group_col: str, condition_col: str, value_col: str = "sales") -> DataFrame:

@@ -144,7 +144,7 @@ def add_level_lags(
         if checked_rows is not None:
             means = hint_if_small(means, checked_rows)
         rows = rows.join(means, [level, date_col], "left")
-    return rows if hierarchy is None else rows.drop(*levels)
+    return rows.select(*track.columns, *[f"{level}_avg_sales_lag_{lag}" for level in levels])
 
 
 def latest_per_series(

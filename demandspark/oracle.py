@@ -70,8 +70,9 @@ prices as (
          min(l_extendedprice * (1 - l_discount) / l_quantity) as sell_price
   from sold group by all),
 promo0 as (
-  select *, case when count(sell_price) over w >= 4 then quantile_cont(sell_price, 0.5) over w end as ref_price
-  from prices window w as (partition by item_id, store_id order by wm_yr_wk rows between 7 preceding and current row)),
+  select * exclude (l), case when len(l) >= 4 then 0.5::double * l[(len(l) + 1) // 2] + 0.5::double * l[len(l) // 2 + 1] end as ref_price
+  from (select *, list_sort(list(sell_price) over (partition by item_id, store_id order by wm_yr_wk
+                                                   rows between 7 preceding and current row)) as l from prices)),
 promo as (
   select *, sell_price < cast(0.95 as double) * ref_price as on_promo, sell_price / ref_price as price_relative_to_ref from promo0),
 fresh as materialized (
@@ -595,7 +596,7 @@ from (select count(*) as n_series, count(*) filter (f > d0) as n_cold_start from
         FLAG4,
     )
     q["promo_flags"] = _sql(
-        "select store_id, item_id, wm_yr_wk, round(sell_price, 6) as sell_price, round(ref_price, 6) as ref_price, "
+        "select store_id, item_id, wm_yr_wk, sell_price, ref_price, "
         "on_promo, round(price_relative_to_ref, 6) as price_relative_to_ref from promo"
     )
     q["feat_hier_lags"] = _sql(f"select id, date, sales, {_LEVEL_COLS} from fresh {_LEVEL_JOINS}", LEVELS)
@@ -678,13 +679,13 @@ from (select id, arg_min(level, (sse, alpha)) as level from smooth where t = (se
         REQUESTS,
     )
     q["score_batch"] = _sql(
-        f"""select id, horizon, model_name, case when any_value(p.prediction) is null then 'unknown series' else 'ok' end as status,
+        f"""select id, horizon, r.model_name, case when any_value(p.prediction) is null then 'unknown series' else 'ok' end as status,
        cast(count(p.prediction) filter (step <= horizon) as int) as n_points,
        coalesce(string_agg(cast(p.date as varchar) || '=' || cast(cast(round(p.prediction, 6) as decimal(18, 6)) as varchar), ';' order by p.date)
                 filter (step <= horizon), '') as points
 from (select * from requests where {reason} is null) r
      left join (select *, row_number() over (partition by id order by date) as step from preds where model_name = 'DriftNaive') p using (id)
-group by id, horizon, model_name""",
+group by id, horizon, r.model_name""",
         REQUESTS,
         FULL_PREDS,
     )

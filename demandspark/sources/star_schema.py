@@ -204,4 +204,5 @@ def sales_wide(spark: SparkSession, sf_dir: str, grain: str = "brand") -> DataFr
         .agg(F.array_sort(F.collect_list(F.struct("date", F.col("sales").cast("int").alias("sales")))).alias("_s"))
         .select(*ids, F.transform("_s", lambda s: s["sales"]).alias("_s"))
     )
-    return series.select(*ids, *[F.col("_s")[i].alias(f"d_{i + 1}") for i in range(n_days)])
+    # one SQL text per column: thousands of Column objects would be slow to build from Python
+    return series.selectExpr(*ids, *[f"_s[{i}] AS d_{i + 1}" for i in range(n_days)])
