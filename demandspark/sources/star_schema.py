@@ -52,8 +52,9 @@ def _item(grain: str) -> Column:
 def sold(spark: SparkSession, sf_dir: str, grain: str = "brand") -> DataFrame:
     """Shipped lines with their product and place.
 
-    Join strategies are left to Catalyst: nation and region are fixed in size, supplier and part
-    grow with the data.
+    Left-deep, so that every join has a stored table on the right whose size Catalyst knows:
+    nation and region are always broadcast, supplier and part only while they are small. Beyond
+    that they join by shuffle, where AQE splits a hot part or supplier.
     """
     brand_no = F.regexp_extract("p_brand", "[0-9]+", 0).cast("int")
     dept = F.element_at(F.array(*[F.lit(d) for d in DEPARTMENTS]), brand_no % 7 + 1)
@@ -66,12 +67,7 @@ def sold(spark: SparkSession, sf_dir: str, grain: str = "brand") -> DataFrame:
         dept.alias("dept_id"),
         F.split_part(dept, F.lit("_"), F.lit(1)).alias("cat_id"),
     )
-    places = (
-        table(spark, sf_dir, "supplier")
-        .join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-        .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        .select("s_suppkey", F.col("n_name").alias("store_id"), state.alias("state_id"))
-    )
+    supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     return (
         table(spark, sf_dir, "lineitem")
         .select(
@@ -83,8 +79,20 @@ def sold(spark: SparkSession, sf_dir: str, grain: str = "brand") -> DataFrame:
             F.to_date("l_shipdate").alias("date"),
         )
         .join(parts, F.col("l_partkey") == F.col("p_partkey"))
-        .join(places, F.col("l_suppkey") == F.col("s_suppkey"))
-        .drop("l_partkey", "p_partkey", "l_suppkey", "s_suppkey")
+        .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+        .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+        .select(
+            "item_id",
+            "dept_id",
+            "cat_id",
+            F.col("n_name").alias("store_id"),
+            state.alias("state_id"),
+            "date",
+            "l_quantity",
+            "l_extendedprice",
+            "l_discount",
+        )
     )
 
 
