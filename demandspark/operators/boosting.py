@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor
@@ -37,6 +39,8 @@ class BoostingSettings:
     checkpoint_rounds: int = 5
     tweedie_power: float = 1.5
     seed: int = SEED
+    # step models fitted at the same time; each is a chain of short jobs that leaves cores idle
+    parallel_fits: int = 4
 
 
 def assemble(df: DataFrame, feature_cols: Sequence[str]) -> DataFrame:
@@ -202,6 +206,14 @@ class BoostedForecaster:
             parts.append(f"corr-{self.target_correction}")
         return "-".join(["BoostedTrees", *[p for p in parts if p]])
 
+    def _fit_step(self, data: DataFrame, target: str) -> PipelineModel:
+        usable = data.filter(F.col(target).isNotNull()).select(
+            "features", F.col(target).cast("double").alias("label")
+        )
+        if self.objective == "tweedie":
+            return _fit_tweedie(usable, self.settings)
+        return _fit_trees(usable, self.objective, self.settings)
+
     def fit(self, train: DataFrame) -> BoostedForecast:
         absent = sorted(set(self.feature_cols) - set(train.columns))
         if absent:
@@ -216,18 +228,17 @@ class BoostedForecaster:
             .select("features", *targets)
             .persist()
         )
-        models = {}
+        # fills the cache, and tells which steps have any target at all
+        counts = data.agg(*[F.count(t).alias(t) for t in targets]).first()
+        fit_step = inheritable_thread_target(train.sparkSession)(self._fit_step)
         try:
-            for h, target in enumerate(targets, start=1):
-                usable = data.filter(F.col(target).isNotNull()).select(
-                    "features", F.col(target).cast("double").alias("label")
-                )
-                if usable.isEmpty():
-                    continue
-                if self.objective == "tweedie":
-                    models[h] = _fit_tweedie(usable, self.settings)
-                else:
-                    models[h] = _fit_trees(usable, self.objective, self.settings)
+            with ThreadPoolExecutor(self.settings.parallel_fits) as pool:
+                running = {
+                    h: pool.submit(fit_step, data, target)
+                    for h, target in enumerate(targets, start=1)
+                    if counts[target]
+                }
+                models = {h: f.result() for h, f in running.items()}
         finally:
             data.unpersist()
         end = train.agg(F.max("date").alias("d")).first()["d"]

@@ -83,30 +83,48 @@ def lagged_level_means(
     lag: int = 1,
     date_col: str = "date",
     sales_col: str = "sales",
-) -> dict[str, DataFrame]:
-    """Per level: mean sales per (level value, date), lagged by rows of that level.
+) -> DataFrame:
+    """Per tuple of level values and date: the lagged mean sales of each level.
 
-    The panel is first summed to the tuples of all levels; the per-level means follow from those
-    few rows, so one exchange of the panel (after map-side combine) serves every level. The lag
-    runs over the small means, never over the panel partitioned by level, where one department
-    could hold a third of all rows.
+    The panel is first summed to the tuples (map-side combine does most of it); everything after
+    runs on those few rows. The lag runs over the means of a level, never over the panel partitioned
+    by level, where one department could hold a third of all rows. Rows without a level value have
+    no level mean.
     """
     base = track.groupBy(*levels, date_col).agg(
         F.sum(sales_col).alias("_s"), F.count(sales_col).alias("_n")
     )
-    out = {}
-    for level in levels:
-        means = base.groupBy(level, date_col).agg(
-            F.try_divide(F.sum("_s").cast("double"), F.sum("_n").cast("double")).alias("_mean")
-        )
-        out[level] = means.select(
-            level,
-            date_col,
-            F.lag("_mean", lag)
-            .over(series_window(level, date_col))
-            .alias(f"{level}_avg_sales_lag_{lag}"),
+    each = F.array(
+        *[F.struct(F.lit(x).alias("name"), F.col(x).cast("string").alias("value")) for x in levels]
+    )
+    long = base.withColumn("_level", F.explode(each)).select(
+        *levels, date_col, "_s", "_n", F.col("_level.name").alias("_name"), F.col("_level.value").alias("_value")
+    )
+    mean = F.try_divide(F.sum("_s").cast("double"), F.sum("_n").cast("double"))
+    lagged = F.lag("_mean", lag).over(series_window(["_name", "_value"], date_col))
+    means = (
+        long.groupBy("_name", "_value", date_col)
+        .agg(mean.alias("_mean"))
+        .select(
+            F.col("_name").alias("_n1"),
+            F.col("_value").alias("_v1"),
+            F.col(date_col).alias("_d1"),
+            lagged.alias("_lagged"),
         )
-    return out
+    )
+    # the date is compared null-safe: plain equality would push IS NOT NULL below one of the two
+    # uses of `base`, and Spark could no longer reuse its exchange
+    on = (
+        (F.col("_name") == F.col("_n1"))
+        & (F.col("_value") == F.col("_v1"))
+        & F.col(date_col).eqNullSafe(F.col("_d1"))
+    )
+    by_level = [
+        F.max(F.when(F.col("_name") == x, F.col("_lagged"))).alias(f"{x}_avg_sales_lag_{lag}")
+        for x in levels
+    ]
+    tuples = long.join(means, on, "left").groupBy(*levels, date_col).agg(*by_level)
+    return tuples.withColumnsRenamed({**{x: f"_{x}" for x in levels}, date_col: "_date"})
 
 
 def hint_if_small(df: DataFrame, max_rows: int) -> DataFrame:
@@ -129,9 +147,9 @@ def add_level_lags(
     """Add ``<level>_avg_sales_lag_<lag>`` for each level.
 
     ``hierarchy`` maps the track id to the level columns; leave it out when the track carries them.
-    With ``checked_rows`` each table of level means is counted and broadcast if it stays within the
-    bound, so the panel is not shuffled again; otherwise Spark chooses, and AQE splits hot
-    (level, date) partitions.
+    The panel joins one table that holds the means of all levels, so it is shuffled once at most.
+    With ``checked_rows`` that table is counted and broadcast if it stays within the bound;
+    otherwise Spark chooses, and AQE splits hot keys.
     """
     source = track if hierarchy is None else hierarchy
     absent = sorted(set(levels) - set(source.columns))
@@ -140,11 +158,14 @@ def add_level_lags(
     rows = track
     if hierarchy is not None:
         rows = track.join(hierarchy.select("id", *levels), "id", "left")
-    for level, means in lagged_level_means(rows, levels, lag, date_col, sales_col).items():
-        if checked_rows is not None:
-            means = hint_if_small(means, checked_rows)
-        rows = rows.join(means, [level, date_col], "left")
-    return rows.select(*track.columns, *[f"{level}_avg_sales_lag_{lag}" for level in levels])
+    means = lagged_level_means(rows, levels, lag, date_col, sales_col)
+    if checked_rows is not None:
+        means = hint_if_small(means, checked_rows)
+    on = F.col(date_col).eqNullSafe(F.col("_date"))
+    for level in levels:
+        on = on & F.col(level).eqNullSafe(F.col(f"_{level}"))
+    added = [f"{level}_avg_sales_lag_{lag}" for level in levels]
+    return rows.join(means, on, "left").select(*track.columns, *added)
 
 
 def latest_per_series(

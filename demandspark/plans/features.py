@@ -57,12 +57,16 @@ def feature_columns(levels: Sequence[str] = ("dept_id", "store_id", "cat_id")) -
     )
 
 
-def basic_features(panel: DataFrame) -> DataFrame:
-    """Lags, rolling statistics and time features: one exchange and one sort by series."""
+def basic_features(panel: DataFrame, keys: str | Sequence[str] = "id") -> DataFrame:
+    """Lags, rolling statistics and time features: one exchange and one sort by series.
+
+    ``keys`` may name the columns the id was built from. A track that was just rolled up by them is
+    then partitioned for the windows already, which it is not for the id built from them.
+    """
     return panel.withColumns(
         {
-            **lag_columns(FEATURE_LAGS),
-            **rolling_columns(FEATURE_WINDOWS, statistics=FEATURE_STATS),
+            **lag_columns(FEATURE_LAGS, keys=keys),
+            **rolling_columns(FEATURE_WINDOWS, keys=keys, statistics=FEATURE_STATS),
             **time_columns(),
         }
     )
@@ -85,7 +89,7 @@ def features_from_track(
     levels = level_columns(track_name)
     states = store_states(daily) if t.id_format == "item_state" else None
     signal, keys = promo_signal(prices, t.id_format, states)
-    matrix = basic_features(rows)
+    matrix = basic_features(rows, LEVEL_KEYS[t.level])
     matrix = add_level_lags(matrix, levels=levels, checked_rows=checked_rows)
     matrix = matrix.join(weekly_calendar(calendar), "date", "left")
     matrix = finish_promo(matrix.join(signal, keys, "left"))
