@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from demandspark.functions.columns import check_frequency, clip_at_zero, ratio
 from demandspark.operators.folds import assign_folds, folds_array
 from demandspark.operators.naive import drift_value, last_date, points_to_rows, steps
+from demandspark.sources.storage import shuffle_partitions
 
 # Longer seasons are not modelled: too many initial states for one series
 MAX_SEASON = 24
@@ -239,8 +240,7 @@ def series_arrays(panel: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     The panel is repartitioned by id before the grouping, which then needs no further exchange; the
     explicit number keeps AQE from packing the costly fits into few tasks.
     """
-    spark = panel.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = shuffle_partitions(panel.sparkSession)
     y = F.col("sales").cast("double").alias("y")
     point = F.when(F.col("sales").isNotNull(), F.struct("date", y))
     return (

@@ -64,12 +64,14 @@ def _ends() -> list[Column]:
     ]
 
 
-def _season_hits(step: Column, horizon: int) -> Column:
-    hit = step.between(1, horizon)
-    # at most `horizon` elements per series
-    return F.collect_list(
-        F.when(hit, F.struct(step.alias("step"), F.col("sales").cast("double").alias("prediction")))
-    ).alias("_hits")
+def _season_hits(step: Column, horizon: int) -> list[Column]:
+    # one pair of plain aggregates per step: collect_list would turn the whole aggregation into an
+    # object aggregate, which falls back to sorting the panel after a few keys
+    aggs = []
+    for h in range(1, horizon + 1):
+        aggs.append(F.count(F.when(step == h, 1)).alias(f"_hit_{h}"))
+        aggs.append(F.max(F.when(step == h, F.col("sales").cast("double"))).alias(f"_value_{h}"))
+    return aggs
 
 
 def _flat_points(value: Column, horizon: int) -> Column:
@@ -83,8 +85,19 @@ def _mean_points(horizon: int) -> Column:
 
 
 def _season_points(horizon: int) -> Column:
+    found = F.array_compact(
+        F.array(
+            *[
+                F.when(
+                    F.col(f"_hit_{h}") > 0,
+                    F.struct(F.lit(h).alias("step"), F.col(f"_value_{h}").alias("prediction")),
+                )
+                for h in range(1, horizon + 1)
+            ]
+        )
+    )
     # a series without any look-back value falls back to its mean; partly covered ones do not
-    return F.when(F.size("_hits") > 0, F.col("_hits")).otherwise(_mean_points(horizon))
+    return F.when(F.size(found) > 0, found).otherwise(_mean_points(horizon))
 
 
 def drift_value(first: Column, last: Column, n: Column, step: Column) -> Column:
@@ -144,7 +157,7 @@ def seasonal_naive(
     series = (
         train.withColumn("_end", end)
         .groupBy(*by, "id", "_end")
-        .agg(_mean(), _season_hits(step, horizon))
+        .agg(_mean(), *_season_hits(step, horizon))
     )
     return points_to_rows(series, _season_points(horizon), F.col("_end"), frequency, [*by, "id"])
 
@@ -172,7 +185,7 @@ def all_naive(
     series = (
         train.withColumn("_end", last_date(train, by))
         .groupBy(*by, "id", "_end")
-        .agg(_mean(), *_ends(), _season_hits(step, horizon))
+        .agg(_mean(), *_ends(), *_season_hits(step, horizon))
     )
     points = (_mean_points(horizon), _season_points(horizon), _drift_points(horizon))
     models = F.array(

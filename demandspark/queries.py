@@ -740,10 +740,18 @@ def feat_promo_week_state(spark, sf):
     return _promo_weeks(spark, sf, rollup.rollup_time(level, "W"), "item_state")
 
 
-def _matrix(spark, sf, grain: str = "brand") -> DataFrame:
-    matrix = features.feature_matrix(
-        star.daily_sales(spark, sf, grain), star.calendar(spark, sf), star.prices(spark, sf, grain)
+def _plain_matrix(spark, sf, grain: str = "brand") -> DataFrame:
+    # the track is persisted: both the windows and the level means read it
+    return features.features_from_track(
+        fresh(spark, sf, grain, attributes=True),
+        star.daily_sales(spark, sf, grain),
+        star.calendar(spark, sf),
+        star.prices(spark, sf, grain),
     )
+
+
+def _matrix(spark, sf, grain: str = "brand") -> DataFrame:
+    matrix = _plain_matrix(spark, sf, grain)
     flags = [*cal.event_columns(NAMED_EVENTS), "is_on_promo"]
     matrix = matrix.withColumns({c: F.col(c).cast("int") for c in flags})
     means = [c for c in matrix.columns if "_roll" in c or "_avg_" in c] + ["price_relative_to_ref"]
@@ -845,9 +853,7 @@ def fc_ses_grid(spark, sf):
 
 
 def _boosted(spark, sf, objective: str, correction: str = "none"):
-    matrix = features.feature_matrix(
-        star.daily_sales(spark, sf), star.calendar(spark, sf), star.prices(spark, sf)
-    ).persist()
+    matrix = _plain_matrix(spark, sf).persist()
     forecaster = BoostedForecaster(
         features.feature_columns(),
         FRESH.horizon,

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from demandspark.schemas import CALENDAR, ID_COLUMNS
+from demandspark.sources.storage import shuffle_partitions
 
 # Fixed values -------------------------------------------------------------
 
@@ -166,7 +167,9 @@ def daily_sales(spark: SparkSession, sf_dir: str, grain: str = "brand") -> DataF
         .agg(F.sum("l_quantity").cast("bigint").alias("sales"))
     )
     # item and store determine the other columns; the narrow partitioning also serves every later
-    # grouping or window by item and store
+    # grouping or window by item and store. The number is explicit because the gaps multiply the
+    # rows: AQE would size the partitions by the few rows before that.
+    facts = facts.repartition(shuffle_partitions(spark), "item_id", "store_id")
     w = W.partitionBy("item_id", "store_id").orderBy("date")
     last_day = bounds.select("d1").scalar()
     first_day = bounds.select("d0").scalar()

@@ -56,6 +56,11 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def shuffle_partitions(spark: SparkSession) -> int:
+    """The session's number of shuffle partitions, for exchanges that AQE must not shrink."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder; survives the loss of executors."""
     shared_folder(df.sparkSession)
