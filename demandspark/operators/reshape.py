@@ -86,7 +86,8 @@ def keep_ids(df: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
 
 def missing_ids(requested: DataFrame, known: DataFrame, id_col: str = "id") -> DataFrame:
     """Requested ids that ``known`` does not hold."""
-    return requested.select(id_col).distinct().join(known.select(id_col), id_col, "left_anti")
+    # both sides are reduced to distinct ids map-side before the shuffle
+    return requested.select(id_col).distinct().join(known.select(id_col).distinct(), id_col, "left_anti")
 
 
 def common_ids(left: DataFrame, right: DataFrame, id_col: str = "id") -> DataFrame:

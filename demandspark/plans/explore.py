@@ -135,9 +135,12 @@ def zero_share_histogram(daily: DataFrame, bins: int = 50) -> DataFrame:
     return zero_shares(daily).groupBy(position.alias("bin")).agg(F.count(F.lit(1)).alias("n_series"))
 
 
+SERIES_KEYS = ("item_id", "store_id")
+
+
 def suspicious_share(daily: DataFrame) -> DataFrame:
     return (
-        flag_daily(daily)
+        flag_daily(daily, id_col=SERIES_KEYS)
         .agg(
             F.count_if(F.col("sales") == 0).alias("n_zeros"),
             F.count_if("suspicious_zero").alias("n_suspicious"),
@@ -149,7 +152,7 @@ def suspicious_share(daily: DataFrame) -> DataFrame:
 def stockout_top(daily: DataFrame, n: int = 10) -> DataFrame:
     """Series with the most suspicious zeros among those that sell at all."""
     return (
-        stockout_by_series(flag_daily(daily))
+        stockout_by_series(flag_daily(daily, id_col=SERIES_KEYS))
         .filter(F.col("avg_sales") > 0)
         .orderBy(F.desc("n_suspicious"), "id")
         .limit(n)

@@ -74,20 +74,19 @@ def basic_features(panel: DataFrame, keys: str | Sequence[str] = "id") -> DataFr
 
 def features_from_track(
     rows: DataFrame,
-    daily: DataFrame,
     calendar: DataFrame,
     prices: DataFrame,
     track_name: str = "fresh_weekly",
+    states: DataFrame | None = None,
     checked_rows: int | None = None,
 ) -> DataFrame:
     """Feature matrix of a track that carries its hierarchy columns.
 
     The calendar is reduced to one row per week and joined once for SNAP days, event flags and the
-    price week. ``daily`` is only read for the store -> state map of state-level tracks.
+    price week. State-level tracks also need ``states``, the store -> state map.
     """
     t = track(track_name)
     levels = level_columns(track_name)
-    states = store_states(daily) if t.id_format == "item_state" else None
     signal, keys = promo_signal(prices, t.id_format, states)
     matrix = basic_features(rows, LEVEL_KEYS[t.level])
     matrix = add_level_lags(matrix, levels=levels, checked_rows=checked_rows)
@@ -112,7 +111,8 @@ def feature_matrix(
 ) -> DataFrame:
     """Track preparation and features in one lazy plan."""
     rows = prepare_track(daily, track_name, with_attributes=True)
-    return features_from_track(rows, daily, calendar, prices, track_name, checked_rows)
+    states = store_states(daily) if track(track_name).id_format == "item_state" else None
+    return features_from_track(rows, calendar, prices, track_name, states, checked_rows)
 
 
 def attach_hierarchy(panel: DataFrame, hierarchy: DataFrame) -> DataFrame:

@@ -53,8 +53,9 @@ def prepare(
     if sample:
         rows = reshape.sample_series(rows, sample)
     rows = materialize(rows, f"{work_dir}/track={track_name}/panel")
+    states = reshape.store_states(daily) if t.id_format == "item_state" else None
     matrix = features.features_from_track(
-        rows, daily, tables["calendar"], tables["prices"], track_name, checked_rows=LEVEL_ROWS
+        rows, tables["calendar"], tables["prices"], track_name, states, LEVEL_ROWS
     )
     matrix = materialize(matrix, f"{work_dir}/track={track_name}/features")
     panel = rows.select("id", "date", "sales")

@@ -307,13 +307,13 @@ def track_non_food_monthly(spark, sf):
 
 @query
 def stockout_by_series(spark, sf):
-    flagged = stockout.flag_daily(star.daily_sales(spark, sf))
+    flagged = stockout.flag_daily(star.daily_sales(spark, sf), id_col=explore.SERIES_KEYS)
     return rounded(stockout.stockout_by_series(flagged), "avg_sales", "suspicious_share")
 
 
 @query
 def stockout_by_category(spark, sf):
-    flagged = stockout.flag_daily(star.daily_sales(spark, sf))
+    flagged = stockout.flag_daily(star.daily_sales(spark, sf), id_col=explore.SERIES_KEYS)
     return rounded(
         stockout.stockout_by_category(flagged),
         "pct_suspicious_among_zeros",
@@ -621,7 +621,7 @@ def feat_targets(spark, sf):
 
 @query
 def stockout_daily_flags(spark, sf):
-    flagged = stockout.flag_daily(star.daily_sales(spark, sf))
+    flagged = stockout.flag_daily(star.daily_sales(spark, sf), id_col=explore.SERIES_KEYS)
     # the mean times its count of days is a whole number of fifteenths or so; round before summing
     mean = F.round(F.coalesce("rolling_mean", F.lit(0.0)) * 360360, 0).cast("bigint")
     return digest(flagged, ["id"], ("suspicious", F.coalesce(_flag("suspicious_zero"), F.lit(0))), ("mean", mean))
@@ -744,7 +744,6 @@ def _plain_matrix(spark, sf, grain: str = "brand") -> DataFrame:
     # the track is persisted: both the windows and the level means read it
     return features.features_from_track(
         fresh(spark, sf, grain, attributes=True),
-        star.daily_sales(spark, sf, grain),
         star.calendar(spark, sf),
         star.prices(spark, sf, grain),
     )
