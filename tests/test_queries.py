@@ -10,6 +10,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1] / "tools"))
 
 import __spark_entry__ as contract
 from check_queries import rows_of
+from demandspark import oracle, queries as registry
 
 SF = "/root/testdata/sf0.001"
 SAMPLE = [
@@ -36,8 +37,8 @@ def duck():
 
 
 def test_every_statement_belongs_to_a_query():
-    queries, sql = contract.queries(), contract.oracle_sql()
-    assert set(sql) <= set(queries)
+    assert set(contract.oracle_sql()) <= set(contract.queries())
+    queries, sql = registry.registered(), oracle.statements()
     # what SQL cannot say: model fits, and a row that carries a time stamp
     assert set(queries) - set(sql) == {
         "fc_ets", "eval_ets", "fc_gbt_l1", "fc_gbt_l2", "fc_tweedie", "fc_tweedie_corrected",
