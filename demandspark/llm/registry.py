@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from demandspark.llm import decontamination, mixing, quality, simhash, token_files
+from demandspark.llm import (
+    decontamination, exact_dedup, language, mixing, quality, quotations, secrets, simhash, token_counts, token_files,
+)
 from demandspark.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,11 +21,31 @@ def op1_quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality.judged(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+def op2_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    return secrets.secrets(table(spark, sf, "documents"))
+
+
+def op3_quotations(spark: SparkSession, sf: str) -> DataFrame:
+    return quotations.linked(table(spark, sf, "conversations"))
+
+
+def op4_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, sf, "documents"))
+
+
+def op5_language(spark: SparkSession, sf: str) -> DataFrame:
+    return language.languages(table(spark, sf, "documents"))
+
+
 def op6_token_files(spark: SparkSession, sf: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     return token_files.with_crc32(token_files.token_table(table(spark, sf, "documents"), path, end_id=2))
 
 
+def op7_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op8_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(table(spark, sf, "documents"))
 
@@ -41,7 +63,12 @@ def op10_decontamination(spark: SparkSession, sf: str) -> DataFrame:
 def registered() -> dict[str, Query]:
     return {
         "op1_quality": op1_quality,
+        "op2_secrets": op2_secrets,
+        "op3_quotations": op3_quotations,
+        "op4_exact_dedup": op4_exact_dedup,
+        "op5_language": op5_language,
         "op6_token_files": op6_token_files,
+        "op7_token_counts": op7_token_counts,
         "op8_mixing": op8_mixing,
         "op9_simhash": op9_simhash,
         "op10_decontamination": op10_decontamination,
@@ -50,4 +77,4 @@ def registered() -> dict[str, Query]:
 
 
 def statements() -> dict[str, str]:
-    return {}
+    return {"op2_secrets": secrets.SECRETS_SQL}
