@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from demandspark.llm.tables import (
-    BETWEEN_SPACES, LOWER, dictionary_of, ids_and_texts, small_batches, utf8, word_spans,
+    BETWEEN_SPACES, LOWER, dictionary_of, ids_and_texts, small_batches, stored, utf8, word_spans,
 )
 from demandspark.sources.storage import new_folder
 
@@ -143,6 +143,7 @@ def read_tokens(spark: SparkSession, path: str, low: int | None = None, high: in
     totals = store.groupBy("shard").agg(F.max(F.col("shard_start") + F.col("n_tokens")).alias("total"))
     before = F.sum("total").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
     offsets = totals.select("shard", F.coalesce(before, F.lit(0)).alias("before"))  # one row a shard
+    offsets = stored(offsets, "shard-offsets")  # of known size, so the ids are joined where they are read
     rows = store
     if low is not None:
         rows = rows.where(F.col("doc_id") >= low)
