@@ -9,9 +9,11 @@ at least two segments at once: the pairs of indexes of two segments are the join
 a common key is verified on the fingerprints inside the join, so only real links leave it.
 
 Equal fingerprints are one class from the start. Links between classes are found in two rounds that
-emit no quadratic sets: first every member of a key is compared with the smallest member; then, in
-keys that still hold more than one component, the members outside the key's largest component are
-compared with all others of the key. What the second round skips are pairs already in one component.
+emit no quadratic sets: first every member of a key is compared with the smallest member, which ties
+large groups together. Then members of small components are compared with all others of their keys,
+and members of large ones with those of other large ones, except inside the key's largest component.
+So the pairs that are skipped are in one component already, and only verified links between different
+components leave a join.
 
 Defined cases: null, empty and word-less texts have fingerprint zero and are linked like any other;
 a text of fewer words than a shingle is one shingle. Repeated ``doc_id`` values are rows of their own
@@ -36,6 +38,8 @@ from demandspark.llm.tables import BETWEEN_SPACES, LOWER, ids_and_texts, small_b
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Generator polynomial of the binary Golay code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GENERATOR = 0b110001110101
+#: From this number of fingerprints on, a component counts as large.
+LARGE = 32
 
 
 @cache
@@ -162,17 +166,21 @@ def linked_classes(marks: DataFrame, most: int = 4) -> DataFrame:
     )
     labelled = stored(labelled, "labelled")
 
-    # round 2: in keys of several components, members outside the largest one against all others
+    # round 2: members of small components against all others of the key ...
     members = with_keys(labelled)
-    homes = members.groupBy("key").agg(
+    small = members.where(F.col("weight") < LARGE)
+    other = [F.col(c).alias(f"{c}_b") for c in ("key", "simhash", "label")]
+    apart = (F.col("key") == F.col("key_b")) & (F.col("label") != F.col("label_b")) & (distance("simhash", "simhash_b") <= most)
+    second = small.join(members.select(*other), apart).select(F.col("label").alias("u"), F.col("label_b").alias("v"))
+    # ... and of large ones against all of other large ones, but for those in the key's largest
+    large = with_keys(labelled.where(F.col("weight") >= LARGE))
+    homes = large.groupBy("key").agg(
         F.min("label").alias("low"), F.max("label").alias("high"), F.max_by("label", F.struct("weight", "label")).alias("home")
     )
     homes = homes.where("low <> high").select(F.col("key").alias("home_key"), "home")
-    strays = members.join(homes, (F.col("key") == F.col("home_key")) & (F.col("label") != F.col("home"))).select(
-        F.col("key").alias("key_a"), F.col("simhash").alias("simhash_a"), F.col("label").alias("label_a")
-    )
-    apart = (F.col("key") == F.col("key_a")) & (F.col("label") != F.col("label_a")) & (distance("simhash", "simhash_a") <= most)
-    second = strays.join(members, apart).select(F.col("label_a").alias("u"), F.col("label").alias("v")).distinct()
+    strays = large.join(homes, (F.col("key") == F.col("home_key")) & (F.col("label") != F.col("home"))).select("key", "simhash", "label")
+    third = strays.join(large.select(*other), apart).select(F.col("label").alias("u"), F.col("label_b").alias("v"))
+    second = second.unionByName(third).distinct()
     joint = components(second).select(F.col("node").alias("label"), "component")
 
     merged = labelled.join(joint, "label", "left").select("simhash", F.coalesce("component", "label").alias("label"))
