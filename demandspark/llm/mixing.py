@@ -84,46 +84,56 @@ def uniform(*parts: Column) -> Column:
     return (bits.cast("double") + 0.5) / float(1 << 52)
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def hypergeometric(total: Column, marked: Column, taken: Column, u: Column) -> Column:
     """How many marked ones are among ``taken`` of ``total``, by inverse transform of ``u``.
 
     Probabilities follow from their ratios, outward from the mode to 9 standard deviations.
     """
     mode = F.floor((taken + 1).cast("double") * (marked + 1) / (total + 2)).cast("long")
-    low = F.greatest(F.lit(0).cast("long"), taken + marked - total)
-    high = F.least(taken, marked)
     share = marked.cast("double") / F.greatest(total, F.lit(1))
-    spread = F.sqrt(taken * share * (1 - share)) * 9 + 10
-    mode = F.least(F.greatest(mode, low), high)
-    up = F.least(high, mode + F.ceil(spread).cast("long"))
-    down = F.greatest(low, mode - F.ceil(spread).cast("long"))
-
-    def ratio(k: Column) -> Column:  # probability of k + 1 over that of k
-        k = k.cast("double")
-        return (marked - k) * (taken - k) / ((k + 1) * (total - marked - taken + k + 1))
-
-    # outward walks; weights are relative to the mode's
-    state = lambda **c: F.struct(*(v.cast("double").alias(n) for n, v in c.items()))
-    rise = lambda a, k: F.when(k == mode, a["w"]).otherwise(a["w"] * ratio(k - 1))
-    fall = lambda a, k: a["w"] / ratio(k)
-    ups = F.sequence(mode, up)
-    downs = F.filter(F.sequence(mode, down, F.lit(-1).cast("long")), lambda k: k < mode)
-    one = state(w=F.lit(1.0), sum=F.lit(0.0), at=F.lit(-1.0))
-    add = lambda step: lambda a, k: state(w=step(a, k), sum=a["sum"] + step(a, k), at=a["at"])
-    above = F.aggregate(ups, one, add(rise))["sum"]
-    below = F.aggregate(downs, one, add(fall))["sum"]
-
-    def pick(step):
-        def merge(a, k):
-            mass = a["sum"] + step(a, k)
-            return state(w=step(a, k), sum=mass, at=F.when((a["at"] < 0) & (mass >= u * (above + below)), k).otherwise(a["at"]))
-
-        return merge
-
-    risen = F.aggregate(ups, one, pick(rise))
-    fallen = F.aggregate(downs, state(w=F.lit(1.0), sum=above, at=F.lit(-1.0)), pick(fall))["at"]
-    found = F.when(risen["at"] >= 0, risen["at"]).when(fallen >= 0, fallen).otherwise(mode)
-    return found.cast("long")
+    given = F.struct(
+        total.cast("double").alias("total"), marked.cast("double").alias("marked"), taken.cast("double").alias("taken"), u.alias("u"),
+        F.greatest(F.lit(0).cast("long"), taken + marked - total).alias("low"), F.least(taken, marked).alias("high"),
+        mode.alias("mode"), F.ceil(F.sqrt(taken * share * (1 - share)) * 9 + 10).cast("long").alias("reach"),
+    )
+
+    def ratio(g: Column, k: Column) -> Column:  # probability of k + 1 over that of k
+        return (g["marked"] - k) * (g["taken"] - k) / ((k + 1) * (g["total"] - g["marked"] - g["taken"] + k + 1))
+
+    def ranges(g: Column) -> Column:
+        mode = F.least(F.greatest(g["mode"], g["low"]), g["high"])
+        ups = F.sequence(mode, F.least(g["high"], mode + g["reach"]))
+        downs = F.sequence(mode, F.greatest(g["low"], mode - g["reach"]), F.lit(-1).cast("long"))
+        return F.struct(mode.alias("mode"), ups.alias("ups"), F.slice(downs, 2, F.size(downs)).alias("downs"))
+
+    def walk(g: Column, r: Column, start: Column, goal: Column) -> Column:
+        """Adds up weights relative to the mode's, upward and then downward; ``at`` is where ``goal`` is reached."""
+        state = lambda w, mass, at: F.struct(w.alias("w"), mass.alias("sum"), at.alias("at"))
+
+        def merge(step):
+            def one(a: Column, k: Column) -> Column:
+                return let(step(a, k.cast("double")), lambda w: state(
+                    w, a["sum"] + w, F.when((a["at"] < 0) & (a["sum"] + w >= goal), k).otherwise(a["at"])))
+
+            return one
+
+        up = merge(lambda a, k: F.when(k == r["mode"], F.lit(1.0)).otherwise(a["w"] * ratio(g, k - 1)))
+        down = merge(lambda a, k: a["w"] / ratio(g, k))
+        risen = F.aggregate(r["ups"], state(F.lit(1.0), start, F.lit(-1).cast("long")), up)
+        return let(risen, lambda a: F.aggregate(r["downs"], state(F.lit(1.0), a["sum"], a["at"]), down))
+
+    def drawn(g: Column) -> Column:
+        zero, never = F.lit(0.0), F.lit(float("inf"))
+        return let(ranges(g), lambda r: let(
+            walk(g, r, zero, never)["sum"], lambda mass: let(
+                walk(g, r, zero, g["u"] * mass)["at"], lambda at: F.when(at < 0, r["mode"]).otherwise(at))))
+
+    return let(given, drawn)
 
 
 def split_tree(quotas: DataFrame, shards: int) -> DataFrame:
@@ -147,16 +157,11 @@ def split_tree(quotas: DataFrame, shards: int) -> DataFrame:
             F.array().cast("array<bigint>").alias("out"),
         )
 
-        def draw(a, marked):
+        def merge(a: Column, marked: Column) -> Column:
             u = uniform(F.col("low"), F.col("high"), F.size(a["out"]))
-            return F.struct(a["total"].alias("total"), a["room"].alias("room"), marked.alias("marked"), a["out"].alias("out"),
-                            hypergeometric(a["total"], marked, a["room"], u).alias("drawn"))
-
-        def merge(a, marked):
-            drawn = F.transform(F.array(draw(a, marked)), lambda d: F.struct(
-                (d["total"] - d["marked"]).alias("total"), (d["room"] - d["drawn"]).alias("room"),
-                F.concat(d["out"], F.array(d["drawn"])).alias("out")))
-            return drawn[0]
+            return let(hypergeometric(a["total"], marked, a["room"], u), lambda drawn: F.struct(
+                (a["total"] - marked).alias("total"), (a["room"] - drawn).alias("room"),
+                F.concat(a["out"], F.array(drawn)).alias("out")))
 
         nodes = nodes.withColumn("left", F.aggregate("counts", start, merge)["out"]).withColumn("middle", middle)
         right = F.zip_with("counts", "left", lambda a, b: a - b)
@@ -185,7 +190,7 @@ def draws(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST
     rows = sizes.join(owed, F.col("source").eqNullSafe(F.col("of"))).drop("of")
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copies")
     blocks = rows.withColumn("block", F.explode_outer(F.expr(f"IF(size > 0, sequence(0, CAST((size - 1) DIV {BLOCK} AS int)), null)")))
-    held = F.coalesce(F.least(F.lit(BLOCK), F.col("size") - BLOCK * F.col("block")), F.lit(0))
+    held = F.when(F.col("block").isNull(), 0).otherwise(F.least(F.lit(BLOCK), F.col("size") - BLOCK * F.col("block")))
     mixed_up = F.xxhash64(F.lit(SEED), *KEY, "copy", "block")
     blocks = blocks.select("*", held.alias("held"), mixed_up.alias("h"))
     blocks = blocks.withColumn("range", F.shiftrightunsigned("h", 64 - bits))
@@ -210,8 +215,8 @@ def draws(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST
     blocks = blocks.withColumn("place", F.col("blocks_before") + F.col("blocks_here"))
     blocks = stored(blocks.drop("range", "words_before", "words_here", "blocks_before", "blocks_here", "rest", "h"), "blocks")
 
-    taken = F.col("passes") + F.when(F.col("part") > 0, 1).otherwise(0)
-    quotas = blocks.where("block IS NOT NULL").groupBy("number").agg(F.sum(taken).alias("quota"))
+    taken = F.when(F.col("block").isNull(), 0).otherwise(F.col("passes") + F.when(F.col("part") > 0, 1).otherwise(0))
+    quotas = blocks.groupBy("number").agg(F.sum(taken).alias("quota"))
     quotas = plan.select("number").join(quotas, "number", "left").select("number", F.coalesce("quota", F.lit(0).cast("long")).alias("quota"))
     dealt = split_tree(quotas, shards).select("shard", F.posexplode("counts").alias("number", "n"))
     ends = F.sum("n").over(Window.partitionBy("number").orderBy("shard"))  # a row a shard
