@@ -78,7 +78,8 @@ def linked(messages: DataFrame) -> DataFrame:
     ).withColumn("copy", F.xxhash64("role", "text"))
     rows = rows.withColumn("passages", passages(F.col("text")))
     own = F.array_join(F.flatten(F.transform(F.filter("passages", lambda p: p["level"] == 0), lambda p: p["lines"])), "\n")
-    rows = stored(rows.withColumn("own", F.trim(F.regexp_replace(own, r"\n{3,}", "\n\n"))), "messages")
+    own = F.regexp_replace(F.regexp_replace(own, r"\n{3,}", "\n\n"), f"^[{SPACES}]+|[{SPACES}]+$", "")
+    rows = stored(rows.withColumn("own", own), "messages")
 
     said = units(rows.where("own <> ''"), quoted=False)
     quotes = stored(units(rows, quoted=True).distinct(), "quotes")
