@@ -58,7 +58,7 @@ def tokenizer(path: str):
 class WordIds:
     """Ids of words under one tokenizer; remembers the first ``most`` words it meets."""
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 300_000):
         self.path, self.most, self.known = path, most, {}
 
     def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -120,7 +120,7 @@ def write_tokens(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, start = word_ids(tokenizer_path), 0
         shard = pyspark.TaskContext.get().partitionId()
-        for batch in small_batches(batches, "text", 8 << 20):
+        for batch in small_batches(batches, "text", 6 << 20):
             ids, at = encode(batch.column("text"), words, end_id)
             size = np.diff(at)
             yield pa.RecordBatch.from_arrays(
