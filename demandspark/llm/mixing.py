@@ -32,7 +32,7 @@ BLOCK = 256
 WEIGHTS = (5, 2, 1)
 MOST_PASSES = 3
 #: Blocks of one hash range, and draws of one output shard, on average at most.
-RANGE_BLOCKS, SHARD_DRAWS = 8192, 65536
+RANGE_BLOCKS, SHARD_DRAWS = 512, 65536
 SEED = 20_240_501
 KEY = ["doc_id", "source", "size", "mark"]
 
