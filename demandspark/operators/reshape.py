@@ -22,7 +22,7 @@ def melt_days(
 ) -> DataFrame:
     """One row per series and day out of the wide ``d_*`` columns.
 
-    The day columns go through one array and ``posexplode``: a row-local generator whose generated
+    The day columns go through one array and ``explode``: a row-local generator whose generated
     code does not grow with the ~2,000 day columns as an Expand would.
 
     ``from_first_sale`` drops the days before the first positive sale, and series that never sold.
@@ -33,17 +33,16 @@ def melt_days(
     ids = [c for c in ID_COLUMNS if c in wide.columns]
     # SQL text, since thousands of Column objects are slow to build from Python
     rows = wide.select(*ids, F.expr(f"array({', '.join(days)})").alias("_sales"))
+    points = F.transform("_sales", lambda s, i: F.struct(i.alias("pos"), s.alias("sales")))
     if from_first_sale:
-        # array_position is 1-based and 0 when nothing was ever sold
-        rows = rows.withColumn(
-            "_first", F.array_position(F.transform("_sales", lambda s: s > 0), True) - 1
-        ).filter("_first >= 0")
+        # array_position is 1-based and 0 when nothing was ever sold; it is found once per row
+        first = F.array(F.array_position(F.transform("_sales", lambda s: s > 0), True).cast("int"))
+        sold = F.transform(first, lambda p: F.when(p > 0, F.slice(points, F.greatest(p, F.lit(1)), F.size("_sales"))))
+        points = F.element_at(sold, 1)
     labels = F.split(F.lit(",".join(days)), ",")
-    kept = [*ids, "_first"] if from_first_sale else ids
-    long = rows.select(*kept, F.posexplode("_sales").alias("_pos", "sales"))
-    if from_first_sale:
-        long = long.filter("_pos >= _first")
-    long = long.select(*ids, F.element_at(labels, F.col("_pos") + 1).alias("d"), "sales")
+    long = rows.select(*ids, F.explode(points).alias("_p")).select(
+        *ids, F.element_at(labels, F.col("_p.pos") + 1).alias("d"), F.col("_p.sales").alias("sales")
+    )
     if calendar is not None:
         long = join_day(long, calendar, ["date"])
     return long

@@ -127,14 +127,6 @@ def lagged_level_means(
     return tuples.withColumnsRenamed({**{x: f"_{x}" for x in levels}, date_col: "_date"})
 
 
-def hint_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast hint only after counting that ``df`` has at most ``max_rows`` rows.
-
-    This is an action; beyond the bound the frame is returned as it is and joins by shuffle.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def add_level_lags(
     track: DataFrame,
     hierarchy: DataFrame | None = None,
@@ -142,14 +134,12 @@ def add_level_lags(
     levels: Sequence[str] = ("dept_id", "store_id", "cat_id"),
     date_col: str = "date",
     sales_col: str = "sales",
-    checked_rows: int | None = None,
 ) -> DataFrame:
     """Add ``<level>_avg_sales_lag_<lag>`` for each level.
 
     ``hierarchy`` maps the track id to the level columns; leave it out when the track carries them.
     The panel joins one table that holds the means of all levels, so it is shuffled once at most.
-    With ``checked_rows`` that table is counted and broadcast if it stays within the bound;
-    otherwise Spark chooses, and AQE splits hot keys.
+    AQE broadcasts that table where it is small and splits hot keys where it is not.
     """
     source = track if hierarchy is None else hierarchy
     absent = sorted(set(levels) - set(source.columns))
@@ -159,8 +149,6 @@ def add_level_lags(
     if hierarchy is not None:
         rows = track.join(hierarchy.select("id", *levels), "id", "left")
     means = lagged_level_means(rows, levels, lag, date_col, sales_col)
-    if checked_rows is not None:
-        means = hint_if_small(means, checked_rows)
     on = F.col(date_col).eqNullSafe(F.col("_date"))
     for level in levels:
         on = on & F.col(level).eqNullSafe(F.col(f"_{level}"))

@@ -89,6 +89,7 @@ test as (select fold_id, id, date, sales from fresh join folds on date between t
 
 BASE = _base("replace(p_brand, '#', '_')")
 FINE = _base("replace(p_brand, '#', '_') || '_' || p_type")
+PART = _base("replace(p_brand, '#', '_') || '_' || cast(p_partkey as varchar)")
 
 
 def _sql(body: str, *ctes: str, base: str = BASE) -> str:
@@ -204,15 +205,14 @@ FLAG4 = """flagged as (
            (select median(case when x.sales > 0 then x.sales end) from fresh x where x.id = fresh.id) as positive_median
     from fresh window p as (partition by id order by date rows between 4 preceding and 1 preceding)))"""
 
-_DIGEST_DAY = "cast(day(date) as bigint)"
-
-
-def _digest(keys: str, source: str, *values: tuple[str, str], where: str = "") -> str:
-    cols = ", ".join(
-        f"cast(sum({v}) as bigint) as {n}, cast(sum({v} * {_DIGEST_DAY}) as bigint) as {n}_by_day"
-        for n, v in values
+def _digest(source: str, *columns: str, where: str = "", part: str = MONTH) -> str:
+    """Rows per series and month, and MD5 over the text of every cell; NULL is marked."""
+    cells = ", ".join(f"coalesce(cast({c} as varchar), '\\N')" for c in columns)
+    row = f"concat_ws('|', {cells})"
+    return (
+        f"select id, {part} as part, count(*) as n, md5(string_agg(row_text, chr(10) order by row_text)) as rows_md5 "
+        f"from (select *, {row} as row_text from {source} {where}) group by all"
     )
-    return f"select {keys}, {MONTH} as month, count(*) as n, {cols} from {source} {where} group by {keys}, {MONTH}"
 
 
 LAUNCHED = """launched as (
@@ -286,13 +286,14 @@ from (select {group}, avg(case when not ({cond}) then sales end) as f, avg(case
 
 
 _PROMO_DAILY = (
-    "(select d.*, coalesce(on_promo, false) as on_promo, coalesce(price_relative_to_ref, 1.0) as rel "
+    "(select d.*, wm_yr_wk, coalesce(on_promo, false) as on_promo, coalesce(price_relative_to_ref, 1.0) as rel "
     "from daily d left join calendar c using (d) left join promo p using (item_id, store_id, wm_yr_wk))"
 )
 _SNAP_DAY = "case state_id when 'CA' then snap_CA = 1 when 'TX' then snap_TX = 1 when 'WI' then snap_WI = 1 else false end"
 _DAYCAL = "daily join (select d, wday, weekday, wm_yr_wk, event_name_1, event_type_1, snap_CA, snap_TX, snap_WI from calendar) c using (d)"
 ZEROS = "zeros as (select id, avg(cast(sales = 0 as int)) as zero_share from daily group by id)"
 _IDS = "id, item_id, dept_id, cat_id, store_id, state_id"
+DAILY = (*_IDS.split(", "), "d", "date", "sales")
 _DAYNO = "cast(substr(d, 3) as bigint)"
 _LABEL = (
     "case when zero_share < 0.1 then 'high_volume' when zero_share < 0.5 then 'medium' "
@@ -332,20 +333,19 @@ def statements() -> dict[str, str]:
     q["src_calendar"] = _sql("select * from calendar")
     q["src_prices"] = _sql("select * from prices")
     q["src_sales_wide"] = _sql(
-        f"select {_IDS}, count(*) as n_days, cast(sum(sales) as bigint) as total, "
-        f"cast(sum(sales * {_DAYNO}) as bigint) as total_by_day from daily group by {_IDS}"
+        f"select {_IDS}, count(*) as n_days, md5(string_agg(cast(sales as varchar), ',' order by date)) as days_md5 "
+        f"from daily group by {_IDS}"
     )
     q["feature_store_latest"] = _sql(
         "select * from matrix where date = (select max(date) from fresh)", MATRIX
     )
     q["melt_sales"] = _sql(
-        f"select {_IDS}, count(*) as n, cast(sum(sales) as bigint) as sales, "
-        f"cast(sum(sales * {_DAYNO}) as bigint) as sales_by_day from daily group by {_IDS}"
+        _digest("daily", *_IDS.split(", "), "d", "sales", part=f"cast(floor({_DAYNO} / 32.0) as bigint)")
     )
-    q["melt_sales_dated"] = _sql(_digest("id", "daily", ("sales", "sales")))
-    q["drop_pre_launch"] = _sql(_digest("id", "launched", ("sales", "sales")), LAUNCHED)
+    q["melt_sales_dated"] = _sql(_digest("daily", *DAILY))
+    q["drop_pre_launch"] = _sql(_digest("launched", *DAILY), LAUNCHED)
     q["subset_stores"] = _sql(
-        _digest("id, store_id", "daily", ("sales", "sales"), where="where store_id in ('NATION_1', 'NATION_2')")
+        _digest("daily", *DAILY, where="where store_id in ('NATION_1', 'NATION_2')")
     )
     q["sample_series"] = _sql(
         "select id, date, sales from fresh where id in (select id from (select distinct id from fresh) "
@@ -365,7 +365,7 @@ def statements() -> dict[str, str]:
         "select id, date, sales from fresh where date >= (select max(date) from fresh) - 730"
     )
     # joins and sets
-    q["join_calendar_left"] = _sql(_digest("id", _DAYCAL, ("wday", "wday"), ("week", "wm_yr_wk")))
+    q["join_calendar_left"] = _sql(_digest(_DAYCAL, *DAILY, "wday", "wm_yr_wk"))
     q["eval_inner_join"] = _sql(
         "select model_name, fold_id, id, date, sales, round(prediction, 6) as prediction from joined", PREDS, JOINED
     )
@@ -384,11 +384,11 @@ def statements() -> dict[str, str]:
             f"select item_id, store_id, {trunc} as date, cast(sum(sales) as bigint) as sales from daily group by item_id, store_id, {trunc}"
         )
     q["agg_sku_store"] = _sql(
-        _digest("id, item_id, store_id", "lv", ("sales", "sales")),
+        _digest("lv", "id", "item_id", "store_id", "date", "sales"),
         f"lv as ({_rollup('item_id, store_id', chr(39).join(['item_id || ', '__', ' || store_id']))})",
     )
     q["agg_sku_state"] = _sql(
-        _digest("id, item_id, state_id", "lv", ("sales", "sales")),
+        _digest("lv", "id", "item_id", "state_id", "date", "sales"),
         "lv as (" + _rollup("item_id, state_id", "item_id || '__' || state_id") + ")",
     )
     q["agg_sku_national"] = _sql(
@@ -397,6 +397,7 @@ def statements() -> dict[str, str]:
     q["agg_dept_state"] = _sql(_rollup("dept_id, state_id", "dept_id || '__' || state_id"))
     q["track_fresh_weekly"] = _sql("select id, date, sales from fresh")
     q["track_fresh_weekly_fine"] = _sql("select id, date, sales from fresh", base=FINE)
+    q["track_fresh_weekly_part"] = _sql("select id, date, sales from fresh", base=PART)
     q["track_dry_monthly"] = _sql("select * from dry", DRY)
     q["track_non_food_monthly"] = _sql(
         f"select item_id || '__' || state_id as id, {MONTH} as date, cast(sum(sales) as bigint) as sales "
@@ -432,6 +433,7 @@ from (select cat_id, count(*) filter (suspicious_zero) as n_suspicious, count(*)
     q["eval_naive"] = _sql(FOLD_OUT + " where model_name = 'HistoricalMean'", PREDS, JOINED, BY_FOLD)
     q["eval_all_naive"] = _sql(FOLD_OUT, PREDS, JOINED, BY_FOLD)
     q["eval_all_naive_fine"] = _sql(FOLD_OUT, PREDS, JOINED, BY_FOLD, base=FINE)
+    q["eval_all_naive_part"] = _sql(FOLD_OUT, PREDS, JOINED, BY_FOLD, base=PART)
     q["metrics_by_segment"] = _sql(
         f"select model_name, fold_id, intermittence_label, {ALL_METRICS}, count(*) as n_obs "
         "from joined join labels using (id) group by model_name, fold_id, intermittence_label",
@@ -575,12 +577,7 @@ from (select count(*) as n_series, count(*) filter (f > d0) as n_cold_start from
         + f" from fresh {_WS}"
     )
     q["stockout_daily_flags"] = _sql(
-        _digest(
-            "id",
-            "flagged",
-            ("suspicious", "cast(coalesce(suspicious_zero, false) as int)"),
-            ("mean", "cast(round(coalesce(rolling_mean, 0.0) * 360360, 0) as bigint)"),
-        ),
+        _digest("flagged", *DAILY, "suspicious_zero", "cast(round(rolling_mean * 360360, 0) as bigint)"),
         FLAG15,
     )
     q["stockout_weekly_flags"] = _sql("select id, date, sales, is_suspicious_zero from flagged", FLAG4)
@@ -602,30 +599,16 @@ from (select count(*) as n_series, count(*) filter (f > d0) as n_cold_start from
     q["feat_hier_lags"] = _sql(f"select id, date, sales, {_LEVEL_COLS} from fresh {_LEVEL_JOINS}", LEVELS)
     q["feat_time_basic"] = _sql(f"select id, date, sales, {_TIME} from fresh")
     q["feat_calendar_daily"] = _sql(
-        _digest(
-            "id",
-            "daily",
-            ("s_dow", "isodow(date)"),
-            ("s_month", "month(date)"),
-            ("s_year", "year(date)"),
-            ("s_day_of_month", "day(date)"),
-            ("s_is_weekend", "cast(isodow(date) >= 6 as int)"),
-        )
+        _digest("daily", *DAILY, "isodow(date)", "month(date)", "year(date)", "day(date)", "cast(isodow(date) >= 6 as int)")
     )
-    q["feat_snap_day"] = _sql(_digest("id, state_id", _DAYCAL, ("snap", f"cast({_SNAP_DAY} as int)")))
+    q["feat_snap_day"] = _sql(_digest(_DAYCAL, *DAILY, f"cast({_SNAP_DAY} as int)"))
     q["feat_event_day"] = _sql(
-        _digest(
-            "id, event_name, event_type",
-            f"(select *, event_name_1 as event_name, event_type_1 as event_type from {_DAYCAL})",
-            ("sales", "sales"),
-        )
+        _digest(_DAYCAL, *DAILY, "event_name_1", "event_type_1")
     )
     q["feat_snap_week"] = _sql(f"select id, date, sales, {_SNAPW} from fresh left join weeks using (date)", WEEKS)
     q["feat_event_week"] = _sql(f"select id, date, sales, {_EVENTS} from fresh left join weeks using (date)", WEEKS)
     q["feat_promo_daily"] = _sql(
-        _digest(
-            "id", _PROMO_DAILY, ("promo", "cast(on_promo as int)"), ("relative", "cast(round(rel * 1000000, 0) as bigint)")
-        )
+        _digest(_PROMO_DAILY, *DAILY, "wm_yr_wk", "cast(on_promo as int)", "cast(round(rel * 1000000, 0) as bigint)")
     )
     q["feat_promo_week_store"] = _sql(
         f"select id, date, sales, {_PROMO_OUT} from fresh left join weeks using (date) left join promo using (item_id, store_id, wm_yr_wk)",
@@ -641,6 +624,7 @@ from promo join (select distinct store_id, state_id from keys) using (store_id)
     )
     q["feature_matrix"] = _sql("select * from matrix", MATRIX)
     q["feature_matrix_fine"] = _sql("select * from matrix", MATRIX, base=FINE)
+    q["feature_matrix_part"] = _sql("select * from matrix", MATRIX, base=PART)
     q["feature_matrix_basic"] = _sql(f"select id, date, sales, {_LAGS}, {_ROLLS}, {_TIME} from fresh {_WS}")
     # folds and forecasts
     q["folds"] = _sql("select * from folds")
@@ -678,15 +662,15 @@ from (select id, arg_min(level, (sse, alpha)) as level from smooth where t = (se
         f"select id, horizon, model_name, reason, 'rejected' as status from (select *, {reason} as reason from requests) where reason is not null",
         REQUESTS,
     )
-    q["score_batch"] = _sql(
+    scored = (
         f"""select id, horizon, r.model_name, case when any_value(p.prediction) is null then 'unknown series' else 'ok' end as status,
        cast(count(p.prediction) filter (step <= horizon) as int) as n_points,
        coalesce(string_agg(cast(p.date as varchar) || '=' || cast(cast(round(p.prediction, 6) as decimal(18, 6)) as varchar), ';' order by p.date)
                 filter (step <= horizon), '') as points
 from (select * from requests where {reason} is null) r
      left join (select *, row_number() over (partition by id order by date) as step from preds where model_name = 'DriftNaive') p using (id)
-group by id, horizon, r.model_name""",
-        REQUESTS,
-        FULL_PREDS,
+group by id, horizon, r.model_name"""
     )
+    q["score_batch"] = _sql(scored, REQUESTS, FULL_PREDS)
+    q["score_batch_part"] = _sql(scored, REQUESTS, FULL_PREDS, base=PART)
     return q

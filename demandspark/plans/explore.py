@@ -1,4 +1,4 @@
-"""Exploratory queries over the dense daily panel.
+"""Exploratory queries over the dense daily panel (``daily``) or the days with sales (``sold``).
 
 All are partial aggregates of the panel followed by work on the few result rows. The calendar joins
 on a day label; where a query only needs totals per day, the panel is reduced to days first.
@@ -17,8 +17,12 @@ from demandspark.operators.segments import lift, zero_shares
 from demandspark.operators.stockout import flag_daily, stockout_by_series
 
 
-def daily_total(daily: DataFrame) -> DataFrame:
-    return daily.groupBy("date").agg(F.sum("sales").alias("total_sales"))
+def daily_total(sold: DataFrame, calendar: DataFrame) -> DataFrame:
+    """Total of every calendar day, 0 without sales; ``sold`` need not hold the empty days."""
+    totals = sold.groupBy("date").agg(F.sum("sales").alias("total_sales"))
+    return calendar.select("date").join(totals, "date", "left").select(
+        "date", F.coalesce("total_sales", F.lit(0)).alias("total_sales")
+    )
 
 
 def weekday_means(daily: DataFrame, calendar: DataFrame) -> DataFrame:
@@ -58,9 +62,10 @@ def month_amplitude_by_category(daily: DataFrame) -> DataFrame:
     )
 
 
-def totals_on(daily: DataFrame, month: int, day: int) -> DataFrame:
+def totals_on(sold: DataFrame, calendar: DataFrame, month: int, day: int) -> DataFrame:
     """Totals of one calendar day of every year; the filter runs before the aggregation."""
-    return daily_total(daily.filter((F.month("date") == month) & (F.dayofmonth("date") == day)))
+    chosen = (F.month("date") == month) & (F.dayofmonth("date") == day)
+    return daily_total(sold.filter(chosen), calendar.filter(chosen))
 
 
 def event_day_share(calendar: DataFrame) -> DataFrame:
@@ -110,13 +115,13 @@ def event_type_lift(daily: DataFrame, calendar: DataFrame) -> DataFrame:
     )
 
 
-def event_days(daily: DataFrame, calendar: DataFrame, n: int = 15, highest: bool = False) -> DataFrame:
+def event_days(sold: DataFrame, calendar: DataFrame, n: int = 15, highest: bool = False) -> DataFrame:
     """The ``n`` event days with the lowest or highest total; ties by date."""
     days = calendar.filter(F.col("event_name_1").isNotNull()).select(
         "d", "date", "event_name_1", "event_type_1"
     )
     order = F.desc("total_sales") if highest else F.asc("total_sales")
-    return days.join(daily_total(daily), "date", "left").orderBy(order, "date").limit(n)
+    return days.join(daily_total(sold, calendar), "date", "left").orderBy(order, "date").limit(n)
 
 
 def zero_share_counts(daily: DataFrame) -> DataFrame:
@@ -166,31 +171,31 @@ def promo_frequency(prices: DataFrame) -> DataFrame:
     )
 
 
-def first_sales(daily: DataFrame) -> DataFrame:
+def first_sales(sold: DataFrame) -> DataFrame:
     return (
-        daily.filter(F.col("sales") > 0)
+        sold.filter(F.col("sales") > 0)
         .groupBy("id")
         .agg(F.min("date").alias("first_sale_date"))
     )
 
 
-def cold_start_share(daily: DataFrame) -> DataFrame:
+def cold_start_share(sold: DataFrame) -> DataFrame:
     """Series, those first sold after the first day of the panel, and their percentage."""
-    start = daily.agg(F.min("date")).scalar()
+    start = sold.agg(F.min("date")).scalar()
     late = F.count_if(F.col("first_sale_date") > F.col("_start"))
     return (
-        first_sales(daily)
+        first_sales(sold)
         .withColumn("_start", start)
         .agg(F.count(F.lit(1)).alias("n_series"), late.alias("n_cold_start"))
         .withColumn("pct", ratio(F.col("n_cold_start"), F.col("n_series")) * 100)
     )
 
 
-def cold_start_histogram(daily: DataFrame) -> DataFrame:
+def cold_start_histogram(sold: DataFrame) -> DataFrame:
     """Cold-start series per month of their first sale."""
-    start = daily.agg(F.min("date")).scalar()
+    start = sold.agg(F.min("date")).scalar()
     return (
-        first_sales(daily)
+        first_sales(sold)
         .filter(F.col("first_sale_date") > start)
         .groupBy(F.trunc("first_sale_date", "month").alias("month"))
         .agg(F.count(F.lit(1)).alias("n_series"))

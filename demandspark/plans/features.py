@@ -78,7 +78,6 @@ def features_from_track(
     prices: DataFrame,
     track_name: str = "fresh_weekly",
     states: DataFrame | None = None,
-    checked_rows: int | None = None,
 ) -> DataFrame:
     """Feature matrix of a track that carries its hierarchy columns.
 
@@ -89,7 +88,7 @@ def features_from_track(
     levels = level_columns(track_name)
     signal, keys = promo_signal(prices, t.id_format, states)
     matrix = basic_features(rows, LEVEL_KEYS[t.level])
-    matrix = add_level_lags(matrix, levels=levels, checked_rows=checked_rows)
+    matrix = add_level_lags(matrix, levels=levels)
     matrix = matrix.join(weekly_calendar(calendar), "date", "left")
     matrix = finish_promo(matrix.join(signal, keys, "left"))
     # a track above state level has no state of its own, hence no SNAP days
@@ -107,12 +106,11 @@ def feature_matrix(
     calendar: DataFrame,
     prices: DataFrame,
     track_name: str = "fresh_weekly",
-    checked_rows: int | None = None,
 ) -> DataFrame:
     """Track preparation and features in one lazy plan."""
     rows = prepare_track(daily, track_name, with_attributes=True)
     states = store_states(daily) if track(track_name).id_format == "item_state" else None
-    return features_from_track(rows, calendar, prices, track_name, states, checked_rows)
+    return features_from_track(rows, calendar, prices, track_name, states)
 
 
 def attach_hierarchy(panel: DataFrame, hierarchy: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ do not repeat the way from the raw files and a lost executor costs no more than
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -19,9 +20,6 @@ from demandspark.schemas import FOLD_COUNT, Track, track
 from demandspark.sources import files
 from demandspark.sources.storage import materialize
 
-# Level means up to this many rows (some tens of MB) are broadcast after they were counted
-LEVEL_ROWS = 500_000
-
 BOOSTED = "boosted-tweedie"
 SMOOTHING = "exponential-smoothing"
 MODELS = (BOOSTED, SMOOTHING)
@@ -52,16 +50,24 @@ def prepare(
     rows = rollup.prepare_track(daily, track_name, with_attributes=True, require_rows=True)
     if sample:
         rows = reshape.sample_series(rows, sample)
-    rows = materialize(rows, f"{work_dir}/track={track_name}/panel")
+    # one place for each choice of rows: another choice never reads what this one stored
+    chosen = f"{work_dir}/track={track_name}/{selection(data_dir, stores, sample)}"
+    rows = materialize(rows, f"{chosen}/panel")
     states = reshape.store_states(daily) if t.id_format == "item_state" else None
     matrix = features.features_from_track(
-        rows, tables["calendar"], tables["prices"], track_name, states, LEVEL_ROWS
+        rows, tables["calendar"], tables["prices"], track_name, states
     )
-    matrix = materialize(matrix, f"{work_dir}/track={track_name}/features")
+    matrix = materialize(matrix, f"{chosen}/features")
     panel = rows.select("id", "date", "sales")
     return Inputs(t, panel, matrix, features.feature_columns(features.level_columns(track_name)))
 
 
+def selection(data_dir: str, stores: Sequence[str] | None, sample: int | None) -> str:
+    """A folder name for the inputs and the chosen series."""
+    text = repr((data_dir, sorted(stores) if stores else None, sample or None))
+    return f"rows={hashlib.sha256(text.encode()).hexdigest()[:16]}"
+
+
 def fold_table(panel: DataFrame, t: Track, n_folds: int = FOLD_COUNT) -> DataFrame:
     return fold_ops.walk_forward(panel, t.horizon_days, n_folds)
 

@@ -1,12 +1,12 @@
 """Registered queries: every operator over the whole star-schema tables.
 
-Operators on the daily panel (one row per series and day) report a digest per series and month:
-the operator runs on every row, and sums weighted by the day keep the digest sensitive to order.
+Operators on the daily panel (one row per series and day) report, per series and month, the number of
+their rows and one hash over every cell of them, NULLs included.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,19 +83,32 @@ def fresh_predictions(panel: DataFrame, folds: DataFrame) -> tuple[DataFrame, Da
     return rows.filter("role = 'test'"), predictions
 
 
-def all_ids(spark: SparkSession, sf: str) -> DataFrame:
+def all_ids(spark: SparkSession, sf: str, grain: str = "brand") -> DataFrame:
     """Track-format ids of every series, also of departments outside the track."""
-    pairs = star.sold(spark, sf).select("item_id", "store_id", "dept_id", "state_id").distinct()
+    pairs = star.sold(spark, sf, grain).select("item_id", "store_id", "dept_id", "state_id").distinct()
     return pairs.withColumn("id", features.track_id("sku_store"))
 
 
-def digest(daily: DataFrame, keys: list[str], *values: tuple[str, Column]) -> DataFrame:
-    """Rows, sums and day-weighted sums per key and month."""
-    day = F.dayofmonth("date")
-    aggs = [F.count(F.lit(1)).alias("n")]
-    for name, value in values:
-        aggs += [F.sum(value).alias(name), F.sum(value * day).alias(f"{name}_by_day")]
-    return daily.groupBy(*keys, F.trunc("date", "month").alias("month")).agg(*aggs)
+def row_text(columns: Sequence[Column | str]) -> Column:
+    """All columns of a row as one text; a NULL is marked, so it differs from any value."""
+    cells = [F.col(c) if isinstance(c, str) else c for c in columns]
+    return F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("\\N")) for c in cells])
+
+
+def digest(daily: DataFrame, columns: Sequence[Column | str], part: Column | None = None) -> DataFrame:
+    """Rows and MD5 over every cell of every row, per series and month (or ``part``).
+
+    The operator's rows are as many as the panel's; any altered cell changes the digest.
+    """
+    part = F.trunc("date", "month") if part is None else part
+    return daily.groupBy("id", part.alias("part")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.md5(F.array_join(F.array_sort(F.collect_list(row_text(columns))), "\n")).alias("rows_md5"),
+    )
+
+
+IDS = ("id", "item_id", "dept_id", "cat_id", "store_id", "state_id")
+DAILY = (*IDS, "d", "date", "sales")
 
 
 def _flag(column: str) -> Column:
@@ -123,30 +136,16 @@ def src_prices(spark, sf):
     return files.read_prices(spark, root)
 
 
-_WIDE_FILES: dict[tuple[str, str], str] = {}
-
-
-def _wide(spark: SparkSession, sf: str) -> DataFrame:
-    """The wide sales file, written once per session and read through the CSV source."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _WIDE_FILES:
-        _WIDE_FILES[key] = _csv_folder(star.sales_wide(spark, sf), "sales")
-    return files.read_sales_wide(spark, _WIDE_FILES[key])
-
-
 @query
 def src_sales_wide(spark, sf):
-    wide = _wide(spark, sf)
+    """The wide file, written and read as CSV: one digest of all day columns per series."""
+    root = _csv_folder(star.sales_wide(spark, sf), "sales")
+    wide = files.read_sales_wide(spark, root)
     days = reshape.day_columns(wide)
-    ids = ["id", "item_id", "dept_id", "cat_id", "store_id", "state_id"]
-    series = wide.select(*ids, F.expr(f"array({', '.join(days)})").alias("s"))
-    zero = F.lit(0).cast("bigint")
-    position = F.transform("s", lambda s, i: s.cast("bigint") * (i + 1))
+    series = wide.select(*IDS, F.expr(f"array({', '.join(days)})").alias("s"))
+    cells = F.transform("s", lambda v: F.coalesce(v.cast("string"), F.lit("\\N")))
     return series.select(
-        *ids,
-        F.size("s").cast("bigint").alias("n_days"),
-        F.aggregate("s", zero, lambda a, s: a + s).alias("total"),
-        F.aggregate(position, zero, lambda a, s: a + s).alias("total_by_day"),
+        *IDS, F.size("s").cast("bigint").alias("n_days"), F.md5(F.array_join(cells, ",")).alias("days_md5")
     )
 
 
@@ -160,34 +159,28 @@ def feature_store_latest(spark, sf):
 
 @query
 def melt_sales(spark, sf):
-    long = reshape.melt_days(_wide(spark, sf))
+    long = reshape.melt_days(star.sales_wide(spark, sf))
     no = F.substring("d", 3, 10).cast("bigint")
-    return long.groupBy("id", "item_id", "dept_id", "cat_id", "store_id", "state_id").agg(
-        F.count("d").alias("n"),
-        F.sum("sales").alias("sales"),
-        F.sum(F.col("sales") * no).alias("sales_by_day"),
-    )
+    return digest(long, [*IDS, "d", "sales"], F.floor(no / 32).cast("bigint"))
 
 
 @query
 def melt_sales_dated(spark, sf):
-    long = reshape.melt_days(_wide(spark, sf), star.calendar(spark, sf))
-    return digest(long, ["id"], ("sales", F.col("sales").cast("bigint")))
+    return digest(reshape.melt_days(star.sales_wide(spark, sf), star.calendar(spark, sf)), DAILY)
 
 
 def _launched(spark, sf) -> DataFrame:
-    return reshape.melt_days(_wide(spark, sf), star.calendar(spark, sf), from_first_sale=True)
+    return reshape.melt_days(star.sales_wide(spark, sf), star.calendar(spark, sf), from_first_sale=True)
 
 
 @query
 def drop_pre_launch(spark, sf):
-    return digest(_launched(spark, sf), ["id"], ("sales", F.col("sales").cast("bigint")))
+    return digest(_launched(spark, sf), DAILY)
 
 
 @query
 def subset_stores(spark, sf):
-    daily = reshape.keep_values(star.daily_sales(spark, sf), "store_id", ["NATION_1", "NATION_2"])
-    return digest(daily, ["id", "store_id"], ("sales", F.col("sales")))
+    return digest(reshape.keep_values(star.daily_sales(spark, sf), "store_id", ["NATION_1", "NATION_2"]), DAILY)
 
 
 @query
@@ -197,12 +190,12 @@ def sample_series(spark, sf):
 
 @query
 def id_hierarchy_item_store(spark, sf):
-    return reshape.hierarchy_map(star.daily_sales(spark, sf), "item_store")
+    return reshape.hierarchy_map(star.sold(spark, sf), "item_store")
 
 
 @query
 def id_hierarchy_item_state(spark, sf):
-    return reshape.hierarchy_map(star.daily_sales(spark, sf), "item_state")
+    return reshape.hierarchy_map(star.sold(spark, sf), "item_state")
 
 
 @query
@@ -224,7 +217,7 @@ def history_last_2y(spark, sf):
 @query
 def join_calendar_left(spark, sf):
     rows = reshape.join_day(star.daily_sales(spark, sf), star.calendar(spark, sf), ["wday", "wm_yr_wk"])
-    return digest(rows, ["id"], ("wday", F.col("wday").cast("bigint")), ("week", F.col("wm_yr_wk").cast("bigint")))
+    return digest(rows, [*DAILY, "wday", "wm_yr_wk"])
 
 
 @query
@@ -263,13 +256,13 @@ def agg_monthly(spark, sf):
 @query
 def agg_sku_store(spark, sf):
     level = rollup.rollup_level(star.daily_sales(spark, sf), "sku_store")
-    return digest(level, ["id", "item_id", "store_id"], ("sales", F.col("sales")))
+    return digest(level, ["id", "item_id", "store_id", "date", "sales"])
 
 
 @query
 def agg_sku_state(spark, sf):
     level = rollup.rollup_level(star.daily_sales(spark, sf), "sku_state")
-    return digest(level, ["id", "item_id", "state_id"], ("sales", F.col("sales")))
+    return digest(level, ["id", "item_id", "state_id", "date", "sales"])
 
 
 @query
@@ -292,6 +285,11 @@ def track_fresh_weekly_fine(spark, sf):
     return rollup.prepare_track(star.daily_sales(spark, sf, "brand_type"), "fresh_weekly")
 
 
+@query
+def track_fresh_weekly_part(spark, sf):
+    return rollup.prepare_track(star.daily_sales(spark, sf, "part"), "fresh_weekly")
+
+
 @query
 def track_dry_monthly(spark, sf):
     return rollup.prepare_track(star.daily_sales(spark, sf), "dry_monthly")
@@ -426,6 +424,11 @@ def eval_all_naive_fine(spark, sf):
     return rounded(_evaluated(spark, sf, "brand_type"), *METRIC_NAMES)
 
 
+@query
+def eval_all_naive_part(spark, sf):
+    return rounded(_evaluated(spark, sf, "part"), *METRIC_NAMES)
+
+
 @query
 def summary_by_model(spark, sf):
     return rounded(
@@ -458,9 +461,8 @@ def series_stats(spark, sf):
 @query
 def hierarchy_cardinality(spark, sf):
     columns = ["state_id", "store_id", "cat_id", "dept_id", "item_id", "id", "d"]
-    daily = star.daily_sales(spark, sf)
     days = star.calendar(spark, sf).agg(F.count_distinct("d").alias("n_d"))
-    return reshape.cardinalities(daily, columns[:-1]).withColumn("n_d", days.scalar())
+    return reshape.cardinalities(star.sold_daily(spark, sf), columns[:-1]).withColumn("n_d", days.scalar())
 
 
 @query
@@ -479,7 +481,7 @@ def ets_coverage(spark, sf):
 
 @query
 def eda_daily_total(spark, sf):
-    return explore.daily_total(star.daily_sales(spark, sf))
+    return explore.daily_total(star.sold_daily(spark, sf), star.calendar(spark, sf))
 
 
 @query
@@ -513,7 +515,7 @@ def eda_month_amplitude(spark, sf):
 
 @query
 def eda_christmas_totals(spark, sf):
-    return explore.totals_on(star.daily_sales(spark, sf), 12, 25)
+    return explore.totals_on(star.sold_daily(spark, sf), star.calendar(spark, sf), 12, 25)
 
 
 @query
@@ -541,12 +543,12 @@ def eda_event_type_lift(spark, sf):
 
 @query
 def eda_event_days_bottom(spark, sf):
-    return explore.event_days(star.daily_sales(spark, sf), star.calendar(spark, sf), 15)
+    return explore.event_days(star.sold_daily(spark, sf), star.calendar(spark, sf), 15)
 
 
 @query
 def eda_event_days_top(spark, sf):
-    return explore.event_days(star.daily_sales(spark, sf), star.calendar(spark, sf), 15, highest=True)
+    return explore.event_days(star.sold_daily(spark, sf), star.calendar(spark, sf), 15, highest=True)
 
 
 @query
@@ -586,12 +588,12 @@ def eda_promo_lift(spark, sf):
 
 @query
 def cold_start_share(spark, sf):
-    return rounded(explore.cold_start_share(star.daily_sales(spark, sf)), "pct")
+    return rounded(explore.cold_start_share(star.sold_daily(spark, sf)), "pct")
 
 
 @query
 def eda_cold_start_hist(spark, sf):
-    return explore.cold_start_histogram(star.daily_sales(spark, sf))
+    return explore.cold_start_histogram(star.sold_daily(spark, sf))
 
 
 # Windows and features -----------------------------------------------------
@@ -623,8 +625,8 @@ def feat_targets(spark, sf):
 def stockout_daily_flags(spark, sf):
     flagged = stockout.flag_daily(star.daily_sales(spark, sf), id_col=explore.SERIES_KEYS)
     # the mean times its count of days is a whole number of fifteenths or so; round before summing
-    mean = F.round(F.coalesce("rolling_mean", F.lit(0.0)) * 360360, 0).cast("bigint")
-    return digest(flagged, ["id"], ("suspicious", F.coalesce(_flag("suspicious_zero"), F.lit(0))), ("mean", mean))
+    mean = F.round(F.col("rolling_mean") * 360360, 0).cast("bigint")
+    return digest(flagged, [*DAILY, "suspicious_zero", mean])
 
 
 @query
@@ -657,7 +659,7 @@ def promo_flags(spark, sf):
 @query
 def feat_hier_lags(spark, sf):
     panel = fresh(spark, sf)
-    hierarchy = reshape.hierarchy_map(star.daily_sales(spark, sf))
+    hierarchy = reshape.hierarchy_map(star.sold(spark, sf))
     rows = windows.add_level_lags(panel, hierarchy)
     return rounded(rows, *rows.columns[3:]).select("id", "date", "sales", *rows.columns[3:])
 
@@ -670,30 +672,25 @@ def feat_time_basic(spark, sf):
 @query
 def feat_calendar_daily(spark, sf):
     rows = cal.add_day_features(star.daily_sales(spark, sf))
-    values = [(f"s_{c}", F.col(c).cast("bigint")) for c in ("dow", "month", "year", "day_of_month", "is_weekend")]
-    # the digest's own month key is named apart from the feature
-    return digest(rows.withColumnRenamed("month", "month_no").withColumn("month", F.col("month_no")), ["id"], *values)
+    numbers = [F.col(c).cast("bigint") for c in ("dow", "month", "year", "day_of_month", "is_weekend")]
+    return digest(rows, [*DAILY, *numbers])
 
 
 @query
 def feat_snap_day(spark, sf):
     rows = cal.add_snap_day(star.daily_sales(spark, sf), star.calendar(spark, sf))
-    return digest(rows, ["id", "state_id"], ("snap", _flag("is_snap_day")))
+    return digest(rows, [*DAILY, _flag("is_snap_day")])
 
 
 @query
 def feat_event_day(spark, sf):
     rows = cal.add_event_day(star.daily_sales(spark, sf), star.calendar(spark, sf))
-    return digest(
-        rows,
-        ["id", "event_name", "event_type"],
-        ("sales", F.col("sales")),
-    )
+    return digest(rows, [*DAILY, "event_name", "event_type"])
 
 
 @query
 def feat_snap_week(spark, sf):
-    states = reshape.hierarchy_map(star.daily_sales(spark, sf))
+    states = reshape.hierarchy_map(star.sold(spark, sf))
     return cal.add_snap_weeks(fresh(spark, sf), star.calendar(spark, sf), states)
 
 
@@ -711,18 +708,18 @@ def feat_promo_daily(spark, sf):
         star.calendar(spark, sf),
     )
     scaled = F.round(F.col("price_relative_to_ref") * 1000000, 0).cast("bigint")
-    return digest(rows, ["id"], ("promo", _flag("on_promo")), ("relative", scaled))
+    return digest(rows, [*DAILY, "wm_yr_wk", _flag("on_promo"), scaled])
 
 
 def _promo_weeks(spark, sf, panel: DataFrame, id_format: str) -> DataFrame:
-    daily = star.daily_sales(spark, sf)
+    facts = star.sold(spark, sf)
     rows = promo.add_promo_weeks(
         panel,
         star.prices(spark, sf),
         star.calendar(spark, sf),
-        reshape.hierarchy_map(daily, id_format),
+        reshape.hierarchy_map(facts, id_format),
         id_format,
-        reshape.store_states(daily),
+        reshape.store_states(facts),
     )
     return rows.select(
         "id", "date", "sales", F.col("is_on_promo").cast("int").alias("is_on_promo"), r6("price_relative_to_ref").alias("price_relative_to_ref")
@@ -767,6 +764,11 @@ def feature_matrix_fine(spark, sf):
     return _matrix(spark, sf, "brand_type")
 
 
+@query
+def feature_matrix_part(spark, sf):
+    return _matrix(spark, sf, "part")
+
+
 @query
 def feature_matrix_basic(spark, sf):
     rows = features.basic_features(fresh(spark, sf))
@@ -901,20 +903,19 @@ def model_info(spark, sf):
     return scoring.model_info(spark, root)
 
 
-def _requests(spark, sf) -> DataFrame:
+def _requests(spark, sf, grain: str = "brand") -> DataFrame:
     """One request per known series of any department; the horizon runs from 0 to 14."""
     number = F.regexp_extract("item_id", "[0-9]+", 0).cast("int")
     nation = F.regexp_extract("store_id", "[0-9]+", 0).cast("int")
-    return all_ids(spark, sf).select(
+    return all_ids(spark, sf, grain).select(
         "id", ((number * 7 + nation) % 15).alias("horizon"), F.lit("drift").alias("model_name")
     )
 
 
-@query
-def score_batch(spark, sf):
-    requests = scoring.check_requests(_requests(spark, sf), FRESH.horizon)
+def _scored(spark, sf, grain: str = "brand"):
+    requests = scoring.check_requests(_requests(spark, sf, grain), FRESH.horizon)
     accepted = requests.filter("status = 'accepted'").drop("status", "reason")
-    answered = scoring.score_batch(accepted, naive.drift(fresh(spark, sf), FRESH.horizon))
+    answered = scoring.score_batch(accepted, naive.drift(fresh(spark, sf, grain), FRESH.horizon))
     text = F.transform(
         "points",
         lambda p: F.concat(
@@ -926,6 +927,16 @@ def score_batch(spark, sf):
     )
 
 
+@query
+def score_batch(spark, sf):
+    return _scored(spark, sf)
+
+
+@query
+def score_batch_part(spark, sf):
+    return _scored(spark, sf, "part")
+
+
 @query
 def score_rejects(spark, sf):
     checked = scoring.check_requests(_requests(spark, sf), FRESH.horizon, ["drift"])

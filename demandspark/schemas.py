@@ -44,7 +44,6 @@ SOURCE_FILES = {
     "calendar": "calendar.csv",
     "sales": "sales_train_evaluation.csv",
     "prices": "sell_prices.csv",
-    "submission_template": "sample_submission.csv",
 }
 
 # Schemas ------------------------------------------------------------------
@@ -128,7 +127,7 @@ def wide_sales(day_columns: list[str]) -> T.StructType:
     )
 
 
-# Tracks -------------------------------------------------------------------
+# Tracks ------------------------------------------------------
 
 
 @dataclass(frozen=True)

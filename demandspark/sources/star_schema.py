@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from demandspark.schemas import CALENDAR, ID_COLUMNS
-from demandspark.sources.storage import shuffle_partitions
 
 # Fixed values -------------------------------------------------------------
 
@@ -161,25 +160,37 @@ def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return days.withColumns(columns).select(*CALENDAR.names)
 
 
-def daily_sales(spark: SparkSession, sf_dir: str, grain: str = "brand") -> DataFrame:
-    """Dense daily panel: the id columns, ``d``, ``date`` and ``sales``.
+PLACES = tuple(c for c in ID_COLUMNS if c != "id")
+
+
+def sold_daily(spark: SparkSession, sf_dir: str, grain: str = "brand") -> DataFrame:
+    """Days with shipments only: the id columns, ``date`` and ``sales``.
 
-    Shipments are summed per series and day first (a hot product collapses map-side to one row per
-    day). The gaps are then filled from each row to the next one of its series: a window over at
-    most one row per day and a row-local explode, instead of a join with all series x all days.
+    A hot product collapses map-side to one row per day. Enough for totals, first sales and the
+    hierarchy, which days without shipments do not change.
     """
-    places = [c for c in ID_COLUMNS if c != "id"]
-    bounds = _bounds(spark, sf_dir)
-    facts = (
+    return (
         sold(spark, sf_dir, grain)
-        .groupBy(*places, "date")
+        .groupBy(*PLACES, "date")
         .agg(F.sum("l_quantity").cast("bigint").alias("sales"))
+        .select(F.concat("item_id", F.lit("_"), "store_id", F.lit("_evaluation")).alias("id"), *PLACES, "date", "sales")
     )
-    # item and store determine the other columns; the narrow partitioning also serves every later
-    # grouping or window by item and store. The number is explicit because the gaps multiply the
-    # rows: AQE would size the partitions by the few rows before that.
-    facts = facts.repartition(shuffle_partitions(spark), "item_id", "store_id")
-    w = W.partitionBy("item_id", "store_id").orderBy("date")
+
+
+def daily_sales(spark: SparkSession, sf_dir: str, grain: str = "brand") -> DataFrame:
+    """Dense daily panel: the id columns, ``d``, ``date`` and ``sales``.
+
+    Shipments are summed per series and day first. The gaps are then filled from each row to the
+    next one of its series: a window over at most one row per day and a row-local explode, instead
+    of a join with all series x all days.
+    """
+    places = list(PLACES)
+    bounds = _bounds(spark, sf_dir)
+    # item and store determine the other columns, so the narrow partitioning serves the window and
+    # every later grouping by item and store. The window names all of them: a filter on any of them
+    # then passes below it, down to the scans.
+    facts = sold_daily(spark, sf_dir, grain).drop("id").repartition("item_id", "store_id")
+    w = W.partitionBy(*places).orderBy("date")
     last_day = bounds.select("d1").scalar()
     first_day = bounds.select("d0").scalar()
     gaps = facts.withColumns({"_next": F.lead("date").over(w), "_prev": F.lag("date").over(w)})

@@ -89,3 +89,29 @@ def test_evaluation_aggregates_by_hash(spark):
     _, predictions = queries.fresh_predictions(panel, queries.fresh_folds(panel))
     plan = physical(predictions)
     assert "SortAggregate" not in plan
+
+
+def test_a_digest_sees_every_cell(spark):
+    rows = [("A", "2020-01-01", 1, "x"), ("A", "2020-01-02", 2, None), ("A", "2020-01-03", 3, "z")]
+
+    def digest_of(rows):
+        df = spark.createDataFrame(rows, "id string, date string, sales int, flag string")
+        df = df.withColumn("date", df["date"].cast("date"))
+        return registry.digest(df, ["id", "date", "sales", "flag"]).first()["rows_md5"]
+
+    plain = digest_of(rows)
+    assert plain == digest_of(rows[::-1])
+    for k, changed in enumerate([("A", "2020-01-01", 2, "x"), ("A", "2020-01-02", 2, "N"), ("A", "2020-01-03", None, "z")]):
+        assert digest_of([changed if i == k else r for i, r in enumerate(rows)]) != plain
+
+
+@pytest.mark.parametrize("name", ["id_hierarchy_item_store", "cold_start_share", "eda_christmas_totals"])
+def test_sparse_facts_are_not_densified(spark, name):
+    plan = contract.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("Generate") <= ("calendar" in name or name == "eda_christmas_totals")
+
+
+def test_department_filter_lies_below_the_joins(spark):
+    plan = physical(contract.queries()["track_fresh_weekly"](spark, SF))
+    joins = plan.index("Join")
+    assert "FOODS_3" in plan[joins:] and "FOODS_3" not in plan[:joins]

@@ -68,7 +68,7 @@ def test_clean_and_none(spark):
 def test_flags_by_fold_do_not_leak(spark):
     p = panel(spark, {"X": [10] * 10 + [0] + [100] * 5})
     two = p.filter("date < '2020-03-23'").withColumn("fold_id", F.lit(0)).unionByName(p.withColumn("fold_id", F.lit(1)))
-    got = stockout.flag_periods(two, by=["fold_id"]).filter("is_suspicious_zero")
+    got = stockout.flag_periods(two, series=["fold_id", "id"]).filter("is_suspicious_zero")
     assert {r["fold_id"] for r in got.collect()} == {0}
 
 

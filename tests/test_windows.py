@@ -97,13 +97,6 @@ def test_level_lags_average_siblings(spark, hierarchy):
     assert last[("B__S2",)]["store_id_avg_sales_lag_1"] == 5.0
 
 
-def test_level_lags_with_counted_broadcast(spark, hierarchy):
-    p = panel(spark, {"A__S1": [1, 5], "B__S2": [3, 5]})
-    plain = by_key(windows.add_level_lags(p, hierarchy), "id", "date")
-    assert by_key(windows.add_level_lags(p, hierarchy, checked_rows=1000), "id", "date") == plain
-    assert by_key(windows.add_level_lags(p, hierarchy, checked_rows=0), "id", "date") == plain
-
-
 def test_missing_level(spark, hierarchy):
     with pytest.raises(ValueError):
         windows.add_level_lags(panel(spark, {"A__S1": [1]}), hierarchy.drop("dept_id"))
