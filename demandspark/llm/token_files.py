@@ -19,6 +19,7 @@ store. Further columns are not written.
 
 from __future__ import annotations
 
+import os
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -50,6 +51,7 @@ LAYOUT = {
 
 @cache
 def tokenizer(path: str):
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
@@ -58,16 +60,18 @@ def tokenizer(path: str):
 class WordIds:
     """Ids of words under one tokenizer; remembers the first ``most`` words it meets."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 250_000):
         self.path, self.most, self.known = path, most, {}
 
     def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the number of ids of each word."""
         known = self.known
         new = [w for w in words if w not in known]
-        texts = [w.decode() for w in new]
-        encoded = tokenizer(self.path).encode_batch_fast(texts, add_special_tokens=False)
-        fresh = {w: array("i", e.ids).tobytes() for w, e in zip(new, encoded, strict=True)}
+        fresh: dict[bytes, bytes] = {}
+        for a in range(0, len(new), 4096):  # an encoding takes far more memory than its ids
+            part = new[a : a + 4096]
+            encoded = tokenizer(self.path).encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
+            fresh.update((w, array("i", e.ids).tobytes()) for w, e in zip(part, encoded, strict=True))
         if len(known) < self.most:
             known.update(fresh)
             fresh = known
@@ -120,7 +124,7 @@ def write_tokens(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, start = word_ids(tokenizer_path), 0
         shard = pyspark.TaskContext.get().partitionId()
-        for batch in small_batches(batches, "text", 6 << 20):
+        for batch in small_batches(batches, "text", 3 << 20):
             ids, at = encode(batch.column("text"), words, end_id)
             size = np.diff(at)
             yield pa.RecordBatch.from_arrays(
