@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import Window as W
 from pyspark.sql import WindowSpec
@@ -82,3 +84,8 @@ def series_window(keys: str | list[str] | tuple[str, ...], order: str) -> Window
 def with_minimum(value: Column, counted: Column, frame: WindowSpec, minimum: int) -> Column:
     """``value`` over ``frame``, NULL unless at least ``minimum`` non-null inputs lie in it."""
     return F.when(F.count(counted).over(frame) >= minimum, value.over(frame))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, inside lambdas too."""
+    return F.element_at(F.transform(F.array(value), use), 1)

@@ -1,8 +1,9 @@
 """Exponential smoothing with the form chosen per series, and drift for short series.
 
 Spark shuffles the panel once into one sorted array per series (bounded by the number of periods).
-Arrow batches of series then go through a vectorised numpy recursion that scores a grid of
-smoothing parameters for every form at once. The grid replaces a numerical optimizer per series.
+Every row of a parameter grid is then folded over the array by ``aggregate``: one recursion serves all
+forms, since a missing trend or season is one that stays 0. The form and parameters with the least
+AICc win. The grid replaces a numerical optimizer per series; no Python runs on the executors.
 """
 
 from __future__ import annotations
@@ -10,21 +11,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import product
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from demandspark.functions.columns import check_frequency, clip_at_zero, ratio
+from demandspark.functions.columns import check_frequency, clip_at_zero, future_period, let, ratio
 from demandspark.operators.folds import assign_folds, folds_array
-from demandspark.operators.naive import drift_value, last_date, points_to_rows, steps
+from demandspark.operators.naive import drift_value, last_date, steps
+from demandspark.schemas import SMOOTHING_FORMS
 from demandspark.sources.storage import shuffle_partitions
 
-# Longer seasons are not modelled: too many initial states for one series
-MAX_SEASON = 24
 INITIAL_PERIODS = 10
-BLOCK = 256
 
 # Parameter grids
 ALPHAS = (0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 0.9)
@@ -32,213 +28,161 @@ BETAS = (0.01, 0.1, 0.3)
 GAMMAS = (0.05, 0.1, 0.3)
 PHIS = (0.85, 0.95)
 
-# error, trend and season of each form; errors A and M share a recursion unless the season is M
-FORMS = (
-    "ANN", "MNN", "AAN", "MAN", "AAdN", "MAdN",
-    "ANA", "MNA", "MNM", "AAA", "MAA", "MAM", "AAdA", "MAdA", "MAdM",
-)
-
-FIT = T.StructType(
-    [
-        T.StructField("form", T.StringType()),
-        T.StructField("alpha", T.DoubleType()),
-        T.StructField("aicc", T.DoubleType()),
-        T.StructField("forecast", T.ArrayType(T.DoubleType())),
-    ]
-)
-
-
-def _grid(trend: str, season: str, alphas: Sequence[float]) -> np.ndarray:
-    """Rows of (alpha, beta, gamma, phi) inside the usual bounds."""
-    betas = BETAS if trend != "N" else (0.0,)
-    gammas = GAMMAS if season != "N" else (0.0,)
-    phis = PHIS if trend == "Ad" else (1.0,)
-    rows = [
-        (a, b, g, p)
-        for a, b, g, p in product(alphas, betas, gammas, phis)
-        if (trend == "N" or b < a) and (season == "N" or g < 1 - a)
-    ]
-    return np.array(rows)
-
-
-def _initial_season(y: np.ndarray, start: np.ndarray, m: int, multiplicative: bool) -> np.ndarray:
-    """Seasonal indices from the first two cycles, laid out by absolute phase (column t % m)."""
-    n_rows = y.shape[0]
-    at = start[:, None] + np.arange(2 * m)[None, :]
-    first = np.take_along_axis(y, at, axis=1)
-    level = first.mean(axis=1, keepdims=True)
-    rel = (first / level if multiplicative else first - level).reshape(n_rows, 2, m).mean(axis=1)
-    rel = rel / rel.mean(axis=1, keepdims=True) if multiplicative else rel - rel.mean(axis=1, keepdims=True)
-    out = np.empty_like(rel)
-    np.put_along_axis(out, at[:, :m] % m, rel, axis=1)
-    return out
-
-
-def _initial_level(y, start, n, season, m, multiplicative, trend):
-    """Level and slope before the first observation, from the first periods of each series."""
-    k = np.minimum(INITIAL_PERIODS, n)[:, None]
-    i = np.arange(INITIAL_PERIODS)[None, :]
-    used = (i < k).astype(float)
-    at = np.minimum(start[:, None] + i, y.shape[1] - 1)
-    v = np.take_along_axis(y, at, axis=1)
-    if season is not None:
-        s = np.take_along_axis(season, at % m, axis=1)
-        v = v / s if multiplicative else v - s
-    v = np.where(used > 0, v, 0.0)
-    kk = k[:, 0].astype(float)
-    mean_v = v.sum(axis=1) / kk
-    if trend == "N":
-        return mean_v, np.zeros_like(mean_v)
-    x = i + 1.0
-    mean_x = (used * x).sum(axis=1) / kk
-    dx = used * (x - mean_x[:, None])
-    slope = (dx * v).sum(axis=1) / np.maximum((dx * (x - mean_x[:, None])).sum(axis=1), 1e-12)
-    return mean_v - slope * mean_x, slope
-
-
-def _run(y, start, n, m, horizon, trend, season, errors, alphas):
-    """Smooth a block with every parameter row; yields (error, aicc, alpha, forecast) bests."""
-    grid = _grid(trend, season, alphas)
-    a, b_, g, p = (grid[:, j][None, :] for j in range(4))
-    rows, length = y.shape
-    mult = season == "M"
-    s0 = _initial_season(y, start, m, mult) if season != "N" else None
-    l0, b0 = _initial_level(y, start, n, s0, m, mult, trend)
-    shape = (rows, grid.shape[0])
-    level = np.broadcast_to(l0[:, None], shape).copy()
-    slope = np.broadcast_to(b0[:, None], shape).copy()
-    seas = [np.broadcast_to(s0[:, j][:, None], shape).copy() for j in range(m)] if s0 is not None else None
-    sse, rel, logs = np.zeros(shape), np.zeros(shape), np.zeros(shape)
-    bad = np.zeros(shape, dtype=bool)
-    for t in range(length):
-        active = (t >= start)[:, None]
-        base = level + p * slope if trend != "N" else level
-        s = seas[t % m] if seas is not None else None
-        fit = base if s is None else (base * s if mult else base + s)
-        # same recursion as level + alpha * (y - level); padding leaves the state alone
-        err = np.where(active, y[:, t][:, None] - fit, 0.0)
-        if "A" in errors:
-            sse += err * err
-        if "M" in errors:
-            bad |= active & (fit <= 0)
-            safe = np.where(active & (fit > 0), fit, 1.0)
-            rel += (err / safe) ** 2
-            logs += np.log(safe)
-        if mult:
-            e = err / np.where(fit > 0, fit, 1.0)
-            level = np.where(active, base * (1 + a * e), level)
-            if trend != "N":
-                slope = np.where(active, p * slope + b_ * base * e, slope)
-            seas[t % m] = s * (1 + g * e)
-        else:
-            level = np.where(active, base + a * err, level)
-            if trend != "N":
-                slope = np.where(active, p * slope + b_ * err, slope)
-            if s is not None:
-                seas[t % m] = s + g * err
-    n_trend, damped, n_season = trend != "N", trend == "Ad", season != "N"
-    k = 1 + n_trend + damped + n_season + 1 + n_trend + (m - 1 if n_season else 0) + 1
-    nn = n[:, None].astype(float)
-    room = np.where(nn > k + 1, nn - k - 1, np.nan)
-    penalty = 2.0 * k + 2.0 * k * (k + 1) / room
-    pick = np.arange(rows)
-    for error in errors:
-        if error == "A":
-            crit = nn * np.log(np.maximum(sse, 1e-12)) + penalty
-        else:
-            crit = nn * np.log(np.maximum(rel, 1e-12)) + 2 * logs + penalty
-            crit = np.where(bad, np.inf, crit)
-        crit = np.where(np.isnan(crit), np.inf, crit)
-        best = crit.argmin(axis=1)
-        lv, sl, ph = level[pick, best], slope[pick, best], grid[best, 3]
-        out = np.empty((rows, horizon))
-        damping = np.zeros(rows)
-        for h in range(1, horizon + 1):
-            damping = damping + ph**h
-            f = lv + damping * sl if trend != "N" else lv
-            if seas is not None:
-                sh = seas[(length + h - 1) % m][pick, best]
-                f = f * sh if mult else f + sh
-            out[:, h - 1] = f
-        yield error, crit[pick, best], grid[best, 0], out
-
-
-def _fit_block(series: list[np.ndarray], m: int, horizon: int, forms: Sequence[str], alphas) -> pd.DataFrame:
-    """Best form per series of a block; series are padded on the left to a common length."""
-    n = np.array([len(v) for v in series])
-    length = int(n.max())
-    y = np.zeros((len(series), length))
-    for i, v in enumerate(series):
-        y[i, length - len(v) :] = v
-    start = length - n
-    positive = np.array([v.min() > 0 for v in series])
-    best = np.full(len(series), np.inf)
-    form = np.full(len(series), None, dtype=object)
-    alpha = np.full(len(series), np.nan)
-    forecast = np.full((len(series), horizon), np.nan)
-    recursions: dict[tuple[str, str], list[str]] = {}
-    for f in forms:
-        recursions.setdefault((f[1:-1], f[-1]), []).append(f[0])
-    for (trend, season), errors in recursions.items():
-        fits = n >= 2 * m if season != "N" else np.ones(len(series), dtype=bool)
-        if season == "M":
-            fits = fits & positive
-        at = np.flatnonzero(fits)
-        if not len(at):
-            continue
-        for error, crit, a, points in _run(
-            y[at], start[at], n[at], m, horizon, trend, season, errors, alphas
-        ):
-            ok = (crit < best[at]) & (positive[at] if error == "M" else True)
-            to = at[ok]
-            best[to], alpha[to], forecast[to] = crit[ok], a[ok], points[ok]
-            form[to] = f"{error}{trend}{season}"
-    return pd.DataFrame({"form": form, "alpha": alpha, "aicc": best, "forecast": list(forecast)})
-
-
-def fit_series(
-    season_length: int,
-    horizon: int,
-    forms: Sequence[str] = FORMS,
-    alphas: Sequence[float] = ALPHAS,
-):
-    """Arrow UDF: history array -> chosen form, its alpha, AICc and the point forecasts."""
-    seasonal = 1 < season_length <= MAX_SEASON
-    m = season_length if seasonal else 1
-    chosen = [f for f in forms if seasonal or f.endswith("N")]
-
-    @F.pandas_udf(FIT)
-    def fit(history: pd.Series) -> pd.DataFrame:
-        out = pd.DataFrame(
-            {
-                "form": pd.Series([None] * len(history), dtype=object),
-                "alpha": np.nan,
-                "aicc": np.nan,
-                "forecast": pd.Series([None] * len(history), dtype=object),
-            }
+# error (A or M), trend (N, A or damped Ad) and season (N or A) of each form
+FORMS = (*SMOOTHING_FORMS, "ANA", "MNA", "AAA", "MAA", "AAdA", "MAdA")
+
+
+def grids(forms: Sequence[str], alphas: Sequence[float] = ALPHAS) -> dict[tuple[str, str], list[tuple]]:
+    """Rows (alpha, beta, gamma, phi) inside the usual bounds for every trend and season of the forms."""
+    unknown = sorted(set(forms) - set(FORMS))
+    if unknown or not forms:
+        raise ValueError(f"forms must be among {FORMS}, not {unknown}")
+    return {
+        (trend, season): [
+            (a, b, g, p)
+            for a, b, g, p in product(
+                alphas, BETAS if trend != "N" else (0.0,), GAMMAS if season != "N" else (0.0,), PHIS if trend == "Ad" else (1.0,)
+            )
+            if (trend == "N" or b < a) and (season == "N" or g < 1 - a)
+        ]
+        for trend, season in dict.fromkeys((f[1:-1], f[-1]) for f in forms)
+    }
+
+
+def free_parameters(trend: str, season: str, season_length: int) -> int:
+    """Smoothing parameters, initial states and the error variance."""
+    trends = (trend != "N") * 2 + (trend == "Ad")
+    return 3 + trends + (season != "N") * season_length
+
+
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
+
+
+def _start(values: Column, trend: bool) -> Column:
+    """Level and slope before the first observation, from the first periods."""
+    first = F.slice(values, 1, INITIAL_PERIODS)
+    k = F.size(first).cast("double")
+    mean = _total(first) / k
+    if not trend:
+        return F.struct(mean.alias("level"), F.lit(0.0).alias("slope"))
+    middle = (k + 1) / 2
+    offsets = F.transform(first, lambda v, i: i + 1 - middle)
+    rise = _total(F.zip_with(offsets, first, lambda x, v: x * v))
+    spread = _total(F.transform(offsets, lambda x: x * x))
+    return let(
+        F.struct(mean.alias("mean"), (rise / F.greatest(spread, F.lit(1e-12))).alias("slope")),
+        lambda s: F.struct((s["mean"] - s["slope"] * middle).alias("level"), s["slope"].alias("slope")),
+    )
+
+
+def _seasonal_start(values: Column, m: int) -> Column:
+    """Seasonal offsets of the phases 0 to m - 1 from the first two cycles; they sum to 0."""
+    first = F.slice(values, 1, 2 * m)
+    level = _total(first) / float(2 * m)
+    phases = F.transform(
+        F.sequence(F.lit(1), F.lit(m)),
+        lambda j: (F.get(first, j - 1) - level + F.get(first, j + m - 1) - level) / 2,
+    )
+    return let(phases, lambda s: F.transform(s, lambda v: v - _total(s) / float(m)))
+
+
+def _fold(values: Column, p: Column, start: Column, season: Column, m: int) -> Column:
+    """The smoothing recursion over all observations, with the sums that the criteria need."""
+    zero = F.lit(0.0)
+    state = F.struct(
+        start["level"].alias("level"), start["slope"].alias("slope"), season.alias("season"),
+        zero.alias("sse"), zero.alias("relative"), zero.alias("logs"), F.lit(False).alias("bad"),
+    )
+    points = F.transform(values, lambda y, i: F.struct(y.alias("y"), (i % m).alias("phase")))
+
+    def step(a: Column, point: Column) -> Column:
+        seen = F.struct(
+            (a["level"] + p["phi"] * a["slope"]).alias("base"), F.get(a["season"], point["phase"]).alias("s"), point["y"].alias("y")
         )
-        rows = [i for i, v in enumerate(history) if v is not None and len(v)]
-        # blocks of similar length need little padding; results do not depend on the blocks
-        rows.sort(key=lambda i: len(history.iloc[i]))
-        for lo in range(0, len(rows), BLOCK):
-            at = rows[lo : lo + BLOCK]
-            block = [np.asarray(history.iloc[i], dtype=float) for i in at]
-            fitted = _fit_block(block, m, horizon, chosen, alphas)
-            fitted.index = at
-            done = fitted[fitted["form"].notna()]
-            out.loc[done.index, ["form", "alpha", "aicc"]] = done[["form", "alpha", "aicc"]]
-            for i, points in done["forecast"].items():
-                out.at[i, "forecast"] = points.tolist()
-        return out
-
-    return fit
+
+        def judged(b: Column) -> Column:
+            fit = b["base"] + b["s"]
+            return let(F.struct(fit.alias("fit"), (b["y"] - fit).alias("err")), lambda e: moved(b, e))
+
+        def moved(b: Column, e: Column) -> Column:
+            part = F.when(e["fit"] > 0, e["err"] / e["fit"]).otherwise(zero)
+            turned = a["season"] if m == 1 else F.transform(
+                a["season"], lambda v, k: F.when(k == point["phase"], b["s"] + p["gamma"] * e["err"]).otherwise(v)
+            )
+            return F.struct(
+                (b["base"] + p["alpha"] * e["err"]).alias("level"),
+                (p["phi"] * a["slope"] + p["beta"] * e["err"]).alias("slope"),
+                turned.alias("season"),
+                (a["sse"] + e["err"] * e["err"]).alias("sse"),
+                (a["relative"] + part * part).alias("relative"),
+                (a["logs"] + F.when(e["fit"] > 0, F.log(e["fit"])).otherwise(zero)).alias("logs"),
+                (a["bad"] | (e["fit"] <= 0)).alias("bad"),
+            )
+
+        return let(seen, judged)
+
+    return F.aggregate(points, state, step)
+
+
+def _candidates(values: Column, trend: str, kind: str, rows: list[tuple], forms: dict[str, int], season_length: int) -> Column:
+    """Every usable form of one trend and season with every row of its grid, as an array of structs."""
+    n = F.size(values).cast("double")
+    m = season_length if kind != "N" else 1
+    k = free_parameters(trend, kind, season_length)
+    penalty = 2.0 * k + 2.0 * k * (k + 1) / (n - k - 1)
+    names = ("alpha", "beta", "gamma", "phi")
+    params = F.array(*[
+        F.struct(F.lit(i).alias("number"), *(F.lit(v).alias(c) for c, v in zip(names, r, strict=True))) for i, r in enumerate(rows)
+    ])
+
+    def judged(a: Column, p: Column) -> Column:
+        out = []
+        for form, order in forms.items():
+            usable = n > k + 1
+            if form[0] == "A":
+                score = n * F.log(F.greatest(a["sse"], F.lit(1e-12))) + penalty
+            else:
+                score = n * F.log(F.greatest(a["relative"], F.lit(1e-12))) + 2 * a["logs"] + penalty
+                usable = usable & ~a["bad"] & (F.array_min(values) > 0)
+            out.append(F.when(usable, F.struct(
+                score.alias("aicc"), F.lit(order).alias("order"), p["number"].alias("number"), F.lit(form).alias("form"),
+                p["alpha"].alias("alpha"), p["phi"].alias("phi"), a["level"].alias("level"), a["slope"].alias("slope"),
+                a["season"].alias("season"))))
+        return F.array(*out)
+
+    def fitted(season: Column) -> Column:
+        plain = F.transform(values, lambda y, i: y - F.get(season, i % m)) if kind != "N" else values
+        return let(_start(plain, trend != "N"), lambda start: F.flatten(F.transform(
+            params, lambda p: let(_fold(values, p, start, season, m), lambda a: judged(a, p)))))
+
+    season = _seasonal_start(values, m) if kind != "N" else F.array(F.lit(0.0))
+    return F.when(F.size(values) >= (2 * m if kind != "N" else 1), let(season, fitted))
+
+
+def best_fit(values: Column, season_length: int, forms: Sequence[str], alphas: Sequence[float] = ALPHAS) -> Column:
+    """The form with the least AICc: ``aicc, order, number, form, alpha, phi, level, slope, season``; NULL
+    if none can be used. Ties go to the earlier form, then to the earlier row of the grid."""
+    found = [
+        _candidates(values, trend, kind, rows, {f: i for i, f in enumerate(forms) if (f[1:-1], f[-1]) == (trend, kind)}, season_length)
+        for (trend, kind), rows in grids(forms, alphas).items()
+    ]
+    every = F.flatten(F.filter(F.array(*found), lambda c: c.isNotNull()))
+    return F.array_min(F.filter(every, lambda c: c.isNotNull()))
+
+
+def forecast_at(fit: Column, n: Column, h: Column) -> Column:
+    """The point forecast ``h`` steps after the ``n``-th observation."""
+    damping = F.aggregate(F.sequence(F.lit(1), h), F.lit(0.0), lambda a, i: a + F.pow(fit["phi"], i))
+    phase = F.pmod(n + h - 1, F.size(fit["season"]))
+    return fit["level"] + damping * fit["slope"] + F.get(fit["season"], phase)
 
 
 def series_arrays(panel: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """One row per series with its sorted ``(date, y)`` history.
 
     The panel is repartitioned by id before the grouping, which then needs no further exchange; the
-    explicit number keeps AQE from packing the costly fits into few tasks.
+    explicit number keeps AQE from packing the costly fits of few bytes into few tasks.
     """
     n = shuffle_partitions(panel.sparkSession)
     y = F.col("sales").cast("double").alias("y")
@@ -263,30 +207,31 @@ def _forecast(
     alphas: Sequence[float],
 ) -> DataFrame:
     check_frequency(frequency)
+    if season_length < 2 and any(f[-1] != "N" for f in forms):
+        raise ValueError(f"seasonal forms need a season of at least 2 periods, not {season_length}")
     need = 2 * season_length if min_history is None else min_history
-    fit = fit_series(season_length, horizon, forms, alphas)
-    n = F.size("_y")
-    fitted = (
-        series.filter(n > 0)
-        .withColumn("_end", end)
-        # short series pass NULL and are skipped inside the kernel
-        .withColumn("_fit", fit(F.when(n >= need, F.col("_y"))))
-    )
-    first, last = F.element_at("_y", 1), F.element_at("_y", -1)
-    forecast = F.col("_fit")["forecast"]
-    # no usable form (for instance too few periods for any AICc) also routes to drift
-    points = F.transform(
-        steps(horizon),
-        lambda h: F.struct(
+
+    def points(y: Column, fit: Column) -> Column:
+        first, last, n = F.element_at(y, 1), F.element_at(y, -1), F.size(y)
+        # no usable form (for instance too few periods for any AICc) also routes to drift
+        return F.transform(steps(horizon), lambda h: F.struct(
             h.alias("step"),
-            F.when(forecast.isNotNull(), clip_at_zero(F.element_at(forecast, h)))
-            .otherwise(drift_value(first, last, n, h))
-            .alias("prediction"),
-        ),
+            F.when(fit.isNotNull(), clip_at_zero(forecast_at(fit, n, h)))
+            .otherwise(drift_value(first, last, n, h)).alias("prediction"),
+            F.coalesce(fit["form"], F.lit("drift")).alias("route"),
+        ))
+
+    def routed(y: Column) -> Column:
+        return let(F.when(F.size(y) >= need, best_fit(y, season_length, forms, alphas)), lambda fit: points(y, fit))
+
+    # one expression: the optimizer would repeat a fit that stands in a column of its own
+    return (
+        series.filter(F.size("_y") > 0)
+        .select(*keys, end.alias("_end"), F.explode(let(F.col("_y"), routed)).alias("_p"))
+        .select(
+            *keys, "_p.route", future_period(F.col("_end"), F.col("_p.step"), frequency).alias("date"), "_p.prediction"
+        )
     )
-    route = F.coalesce(F.col("_fit")["form"], F.lit("drift")).alias("route")
-    rows = fitted.select(*keys, "_end", route, points.alias("_points"))
-    return points_to_rows(rows, F.col("_points"), F.col("_end"), frequency, [*keys, "route"])
 
 
 def ets(
@@ -296,7 +241,7 @@ def ets(
     frequency: str = "W",
     min_history: int | None = None,
     by: Sequence[str] = (),
-    forms: Sequence[str] = FORMS,
+    forms: Sequence[str] = SMOOTHING_FORMS,
     alphas: Sequence[float] = ALPHAS,
 ) -> DataFrame:
     """Predictions with the ``route`` taken: the chosen form, or drift for short series.
@@ -317,7 +262,7 @@ def ets_folds(
     season_length: int,
     frequency: str = "W",
     min_history: int | None = None,
-    forms: Sequence[str] = FORMS,
+    forms: Sequence[str] = SMOOTHING_FORMS,
     alphas: Sequence[float] = ALPHAS,
 ) -> DataFrame:
     """:func:`ets` for all folds; each history is shuffled once and cut per fold in place."""

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from demandspark.operators.naive import NAIVE_MODELS
-from demandspark.queries import COVERAGE_MINIMUM, SES_ALPHAS
-from demandspark.schemas import FEATURE_LAGS, FEATURE_WINDOWS, NAMED_EVENTS
+from demandspark.operators.ets import free_parameters, grids
+from demandspark.queries import COVERAGE_MINIMUM
+from demandspark.schemas import FEATURE_LAGS, FEATURE_WINDOWS, NAMED_EVENTS, SMOOTHING_FORMS, TRACKS
 from demandspark.sources.star_schema import DEPARTMENTS, SNAP_DAYS
 
 WEEK = "cast(date_trunc('week', date) as date)"
@@ -275,7 +276,66 @@ requests as (
                    + cast(regexp_extract(store_id, '[0-9]+') as int)) % 15 as int) as horizon, 'drift' as model_name
   from ids)"""
 
-_ALPHAS = ", ".join(f"cast({a} as double)" for a in SES_ALPHAS)
+
+def _smooth(name: str, source: str, by: str, forms: tuple[str, ...], m: int, horizon: int, date: str) -> str:
+    """Point forecasts of the best form per series: every grid row reduced over the list of observations."""
+    groups = grids(forms)
+    params = ", ".join(
+        f"('{t}', '{s}', {i}, {a}::double, {b}::double, {g}::double, {p}::double)"
+        for (t, s), rows in groups.items()
+        for i, (a, b, g, p) in enumerate(rows)
+    )
+    kinds = ", ".join(
+        f"('{f}', {i}, '{f[0]}', '{f[1:-1]}', '{f[-1]}', {free_parameters(f[1:-1], f[-1], m)})" for i, f in enumerate(forms)
+    )
+    seasonal = f"""
+  union all
+  select {by}id, n, lo, ys, 'A' as season, {m} as m, list_transform(ph, lambda v: v - list_sum(ph) / {m}.0) as seas from (
+    select {by}id, n, lo, ys, list_transform(range(1, {m + 1}), lambda j: (ys[j] - lev + ys[j + {m}] - lev) / 2) as ph
+    from (select *, list_sum(ys[1:{2 * m}]) / {2 * m}.0 as lev from {name}_s where n >= {2 * m}))""" if any(f[-1] == "A" for f in forms) else ""
+    return f"""{name}_s as materialized (
+  select {by}id, count(*) as n, min(cast(sales as double)) as lo, list(cast(sales as double) order by date) as ys
+  from {source} where sales is not null group by {by}id),
+{name}_p(trend, season, number, alpha, beta, gamma, phi) as (values {params}),
+{name}_f(form, ord, error, trend, season, k) as (values {kinds}),
+{name}_c as (select {by}id, n, lo, ys, 'N' as season, 1 as m, [0.0::double] as seas from {name}_s{seasonal}),
+{name}_v as (select *, list_transform(range(1, least(10, n) + 1), lambda j: ys[j] - seas[(j - 1) % m + 1]) as v from {name}_c),
+{name}_m as (select *, cast(len(v) as double) as c, list_sum(v) / len(v) as mean, (len(v) + 1) / 2.0 as middle from {name}_v),
+{name}_b as (
+  select *, list_sum(list_transform(range(1, len(v) + 1), lambda j: (j - middle) * v[j]))
+            / greatest(list_sum(list_transform(range(1, len(v) + 1), lambda j: (j - middle) * (j - middle))), 1e-12::double) as rise
+  from {name}_m),
+{name}_r as materialized (
+  select {by}id, n, lo, m, p.trend, p.season, p.number, p.alpha, p.phi, list_reduce(
+    list_transform(ys, lambda y, i: {{'y': y, 'ph': (i - 1) % m + 1, 'level': 0.0::double, 'slope': 0.0::double, 'seas': seas,
+      'sse': 0.0::double, 'rel': 0.0::double, 'logs': 0.0::double, 'bad': false}}),
+    lambda a, x: {{'y': 0.0::double, 'ph': x.ph,
+      'level': (a.level + phi * a.slope) + alpha * (x.y - ((a.level + phi * a.slope) + a.seas[x.ph])),
+      'slope': phi * a.slope + beta * (x.y - ((a.level + phi * a.slope) + a.seas[x.ph])),
+      'seas': case when p.season = 'N' then a.seas else list_transform(a.seas, lambda s, k:
+        case when k = x.ph then s + gamma * (x.y - ((a.level + phi * a.slope) + s)) else s end) end,
+      'sse': a.sse + (x.y - ((a.level + phi * a.slope) + a.seas[x.ph])) * (x.y - ((a.level + phi * a.slope) + a.seas[x.ph])),
+      'rel': a.rel + case when (a.level + phi * a.slope) + a.seas[x.ph] > 0
+        then pow((x.y - ((a.level + phi * a.slope) + a.seas[x.ph])) / ((a.level + phi * a.slope) + a.seas[x.ph]), 2) else 0 end,
+      'logs': a.logs + case when (a.level + phi * a.slope) + a.seas[x.ph] > 0 then ln((a.level + phi * a.slope) + a.seas[x.ph]) else 0 end,
+      'bad': a.bad or (a.level + phi * a.slope) + a.seas[x.ph] <= 0}},
+    {{'y': 0.0::double, 'ph': 1::bigint, 'level': case when p.trend = 'N' then mean else mean - rise * middle end,
+      'slope': case when p.trend = 'N' then 0.0::double else rise end, 'seas': seas,
+      'sse': 0.0::double, 'rel': 0.0::double, 'logs': 0.0::double, 'bad': false}}) as e
+  from {name}_b b join {name}_p p on b.season = p.season),
+{name}_j as (
+  select *, row_number() over (partition by {by}id order by aicc, ord, number) as place from (
+    select r.*, f.form, f.ord,
+           n * ln(greatest(case when f.error = 'A' then e.sse else e.rel end, 1e-12::double))
+           + case when f.error = 'A' then 0 else 2 * e.logs end + (2.0 * k + 2.0 * k * (k + 1) / (n - k - 1)) as aicc
+    from {name}_r r join {name}_f f on r.trend = f.trend and r.season = f.season
+    where n > k + 1 and (f.error = 'A' or (not e.bad and lo > 0)))),
+{name} as (
+  select {by}id, form as route, {date} as date,
+         greatest(0.0, e.level + list_sum(list_transform(range(1, h + 1), lambda i: pow(phi, i))) * e.slope
+                       + e.seas[(n + h - 1) % len(e.seas) + 1]) as prediction
+  from {name}_j join (select {by}max(date) as last from {source} group by all) l {'using (fold_id)' if by else 'on true'},
+       range(1, {horizon + 1}) t(h) where place = 1)"""
 
 
 def _lift(rows: str, group: str, cond: str) -> str:
@@ -641,18 +701,19 @@ from promo join (select distinct store_id, state_id from keys) using (store_id)
         _seasonal("fresh", "", 4, W_DATE, W_BACK), _seasonal("dry", "", 3, M_DATE, M_BACK)
     )
     q["fc_drift"] = _both(_drift("fresh", "", 4, W_DATE), _drift("dry", "", 3, M_DATE))
-    q["fc_ses_grid"] = _sql(
-        f"""select id, 'ANN' as route, last + cast(7 * h as int) as date, round(greatest(0.0, level), 6) as prediction
-from (select id, arg_min(level, (sse, alpha)) as level from smooth where t = (select max(t) from y) group by id),
-     (select max(date) as last from fresh), range(1, 5) r(h)""",
-        "y as (select id, row_number() over (partition by id order by date) as t, cast(sales as double) as y from fresh)",
-        f"""smooth(id, alpha, t, level, sse) as (
-  select id, alpha, cast(0 as bigint), avg(y), cast(0 as double)
-  from y, unnest([{_ALPHAS}]) a(alpha) where t <= 10 group by id, alpha
-  union all
-  select s.id, s.alpha, y.t, s.level + s.alpha * (y.y - s.level), s.sse + (y.y - s.level) * (y.y - s.level)
-  from smooth s join y on y.id = s.id and y.t = s.t + 1)""",
-    ).replace("with ", "with recursive ", 1)
+    out = "select id, route, date, round(prediction, 6) as prediction from "
+    q["fc_ses"] = _sql(out + "ses", _smooth("ses", "fresh", "", ("ANN",), 52, 4, W_DATE))
+    q["fc_ets"] = _sql(
+        out + "sw union all " + out + "sm", DRY,
+        _smooth("sw", "fresh", "", SMOOTHING_FORMS, 52, 4, W_DATE),
+        _smooth("sm", "dry", "", TRACKS["dry_monthly"].forms, 12, 3, M_DATE),
+    )
+    q["eval_ets"] = _sql(
+        FOLD_OUT,
+        _smooth("se", "train", "fold_id, ", SMOOTHING_FORMS, 52, 4, W_DATE),
+        "joined as (select 'ExponentialSmoothing' as model_name, fold_id, id, date, sales, prediction from test join se using (fold_id, id, date))",
+        BY_FOLD,
+    )
     # scoring
     reason = (
         "case when horizon is null or horizon not between 1 and 12 then 'horizon out of bounds' "

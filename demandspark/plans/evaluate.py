@@ -13,6 +13,7 @@ from demandspark.operators.boosting import BoostedForecaster
 from demandspark.operators.ets import ets_folds
 from demandspark.operators.folds import assign_folds
 from demandspark.operators.segments import series_classes
+from demandspark.schemas import SMOOTHING_FORMS
 
 FOLD_COLUMNS = ("fold_id", "train_end", "test_start", "test_end")
 
@@ -31,7 +32,7 @@ def score(test: DataFrame, predictions: DataFrame, group: Sequence[str]) -> Data
 def describe_folds(metrics: DataFrame, folds: DataFrame) -> DataFrame:
     """Put the fold boundaries next to the metrics; both sides are a few rows."""
     rest = [c for c in metrics.columns if c not in ("model_name", "fold_id")]
-    return metrics.join(F.broadcast(folds), "fold_id").select("model_name", *FOLD_COLUMNS, *rest)
+    return metrics.join(folds, "fold_id").select("model_name", *FOLD_COLUMNS, *rest)
 
 
 def evaluate(
@@ -81,9 +82,10 @@ def evaluate_ets(
     frequency: str = "W",
     min_history: int | None = None,
     model_name: str = "ExponentialSmoothing",
+    forms: Sequence[str] = SMOOTHING_FORMS,
 ) -> DataFrame:
     rows = panel.select("id", "date", "sales")
-    predictions = ets_folds(rows, folds, horizon, season_length, frequency, min_history).withColumn(
+    predictions = ets_folds(rows, folds, horizon, season_length, frequency, min_history, forms).withColumn(
         "model_name", F.lit(model_name)
     )
     test = assign_folds(rows, folds).filter("role = 'test'")

@@ -97,7 +97,7 @@ def benchmark(
     ]
     if include_smoothing:
         parts.append(
-            evaluate.evaluate_ets(inputs.panel, folds, t.horizon, t.season_length, t.frequency)
+            evaluate.evaluate_ets(inputs.panel, folds, t.horizon, t.season_length, t.frequency, forms=t.forms)
         )
     files.write_result(evaluate.stack(parts), f"{out_dir}/per_fold")
     per_fold = files.read_result(spark, f"{out_dir}/per_fold", files.schemas.METRICS)
@@ -137,7 +137,7 @@ def train_and_publish(
             fitted = forecaster.fit(inputs.matrix)
             paths.append(scoring.publish_boosted(root, name, t.name, fitted, inputs.matrix))
         else:
-            predictions = ets.ets(inputs.panel, t.horizon, t.season_length, t.frequency)
+            predictions = ets.ets(inputs.panel, t.horizon, t.season_length, t.frequency, forms=t.forms)
             paths.append(
                 scoring.publish(
                     root, name, t.name, inputs.panel, predictions, t.horizon, t.frequency,

@@ -34,7 +34,6 @@ from demandspark.sources.storage import new_folder
 Query = Callable[[SparkSession, str], DataFrame]
 
 FRESH = TRACKS["fresh_weekly"]
-SES_ALPHAS = (0.1, 0.3, 0.5, 0.7, 0.9)
 COVERAGE_MINIMUM = 350
 
 # The registered boosted queries keep to a few shallow rounds; 200 rounds are the default
@@ -829,7 +828,7 @@ def fc_ets(spark, sf):
     dry = TRACKS["dry_monthly"]
     monthly = rollup.prepare_track(star.daily_sales(spark, sf), dry.name).persist()
     parts = [
-        ets.ets(p, t.horizon, t.season_length, t.frequency)
+        ets.ets(p, t.horizon, t.season_length, t.frequency, forms=t.forms)
         for p, t in ((fresh(spark, sf), FRESH), (monthly, dry))
     ]
     return rounded(evaluate.stack(parts), "prediction")
@@ -845,11 +844,9 @@ def eval_ets(spark, sf):
 
 
 @query
-def fc_ses_grid(spark, sf):
-    """Level-only smoothing on a fixed grid: the same kernel, small enough to restate in SQL."""
-    rows = ets.ets(
-        fresh(spark, sf), FRESH.horizon, FRESH.season_length, forms=("ANN",), alphas=SES_ALPHAS
-    )
+def fc_ses(spark, sf):
+    """Level-only smoothing over the whole grid."""
+    rows = ets.ets(fresh(spark, sf), FRESH.horizon, FRESH.season_length, forms=("ANN",))
     return rounded(rows, "prediction")
 
 

@@ -37,6 +37,9 @@ FOLD_COUNT = 4
 FOLD_GAP_DAYS = 0
 SEED = 42
 
+# Error, trend and season (none) of the non-seasonal smoothing forms
+SMOOTHING_FORMS = ("ANN", "MNN", "AAN", "MAN", "AAdN", "MAdN")
+
 REQUEST_HORIZON_MIN = 1
 REQUEST_HORIZON_MAX = 12
 
@@ -140,6 +143,8 @@ class Track:
     departments: tuple[str, ...]
     horizon: int
     season_length: int
+    # forms of exponential smoothing; a season of 52 weeks would need 52 initial states of a series
+    forms: tuple[str, ...] = SMOOTHING_FORMS
 
     @property
     def id_format(self) -> str:
@@ -161,8 +166,9 @@ TRACKS = {
             ("FOODS_1", "FOODS_2", "HOUSEHOLD_1", "HOUSEHOLD_2"),
             3,
             12,
+            (*SMOOTHING_FORMS, "ANA", "AAA", "AAdA"),
         ),
-        Track("non_food_monthly", "M", "sku_state", ("HOBBIES_1", "HOBBIES_2"), 3, 12),
+        Track("non_food_monthly", "M", "sku_state", ("HOBBIES_1", "HOBBIES_2"), 3, 12, (*SMOOTHING_FORMS, "ANA", "AAA", "AAdA")),
     )
 }
 

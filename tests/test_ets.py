@@ -1,7 +1,6 @@
 import math
 import random
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,36 +60,38 @@ def plain_loop(y, form, m, alpha, beta, gamma, phi, horizon):
     return aicc, out
 
 
-@pytest.mark.parametrize("form", ["ANN", "MAN", "AAdN", "ANA", "MAdA", "MNM", "MAM"])
-def test_kernel_against_plain_loop(form):
+def chosen(spark, series, season, horizon, forms, alphas=ets.ALPHAS):
+    df = spark.createDataFrame([(k, [float(v) for v in y]) for k, y in enumerate(series)], "k int, y array<double>")
+    fit = df.select("k", "y", ets.best_fit(F.col("y"), season, forms, alphas).alias("fit"))
+    ahead = F.transform(F.sequence(F.lit(1), F.lit(horizon)), lambda h: ets.forecast_at(F.col("fit"), F.size("y"), h))
+    return fit.select("k", "fit", ahead.alias("points")).orderBy("k").collect()
+
+
+@pytest.mark.parametrize("form", ["ANN", "MAN", "AAdN", "ANA", "MNA", "AAA", "MAdA"])
+def test_fold_against_plain_loop(spark, form):
     rng = random.Random(form)
-    m = 4
     series = [
-        np.array([20 + 0.3 * i + 4 * math.sin(i * math.pi / 2) + rng.random() for i in range(n)])
-        for n in (60, 37, 41)
+        [20 + 0.3 * i + 4 * math.sin(i * math.pi / 2) + rng.random() for i in range(n)] for n in (60, 37, 41)
     ]
-    got = ets._fit_block(series, m, 5, [form], (0.1, 0.5))
-    for i, y in enumerate(series):
-        best = min(
-            (
-                plain_loop(list(y), form, m, a, b, g, p, 5)
-                for a, b, g, p in ets._grid(form[1:-1], form[-1], (0.1, 0.5))
-            ),
-            key=lambda r: r[0],
-        )
-        assert got["aicc"][i] == pytest.approx(best[0], rel=1e-9)
-        assert got["forecast"][i] == pytest.approx(best[1], rel=1e-9)
-        assert got["form"][i] == form
-
-
-def test_blocks_do_not_change_results():
-    rng = np.random.default_rng(5)
-    series = [rng.poisson(3, size=n).astype(float) for n in (30, 80, 55)]
-    together = ets._fit_block(series, 4, 3, ets.FORMS, ets.ALPHAS)
-    for i, y in enumerate(series):
-        alone = ets._fit_block([y], 4, 3, ets.FORMS, ets.ALPHAS)
-        assert alone["form"][0] == together["form"][i]
-        assert alone["forecast"][0] == pytest.approx(together["forecast"][i])
+    for y, got in zip(series, chosen(spark, series, 4, 5, [form], (0.1, 0.5))):
+        rows = ets.grids([form], (0.1, 0.5))[form[1:-1], form[-1]]
+        best = min((plain_loop(y, form, 4, a, b, g, p, 5) for a, b, g, p in rows), key=lambda r: r[0])
+        assert got["fit"]["aicc"] == pytest.approx(best[0], rel=1e-9) and got["fit"]["form"] == form
+        assert got["points"] == pytest.approx(best[1], rel=1e-9)
+
+
+def test_forms_that_cannot_serve(spark):
+    with pytest.raises(ValueError):
+        ets.grids(["MNM"])
+    with pytest.raises(ValueError):
+        ets.ets(panel(spark, {"X": range(30)}), 2, 1, forms=["ANA"])
+    zero, short = chosen(spark, [[0, 1, 2] * 5, [1, 2]], 4, 2, ["MNN"])
+    assert zero["fit"] is None and short["fit"] is None
+
+
+def test_no_python_in_the_plan(spark):
+    plan = ets.ets(panel(spark, {"X": range(30)}), 2, 4)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
 
 
 def test_routing_by_history(spark):
@@ -115,7 +116,7 @@ def test_trend_with_yearly_spikes(spark):
 def test_monthly_season_is_followed(spark):
     y = [100 + 30 * math.sin(2 * math.pi * i / 12) for i in range(72)]
     p = panel(spark, {"X": y}, step=30)
-    got = [r["prediction"] for r in ets.ets(p, 3, 12).orderBy("date").collect()]
+    got = [r["prediction"] for r in ets.ets(p, 3, 12, forms=ets.FORMS).orderBy("date").collect()]
     assert got == pytest.approx([100 + 30 * math.sin(2 * math.pi * i / 12) for i in (72, 73, 74)], abs=1.0)
 
 
