@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -9,8 +11,8 @@ from dataclasses import dataclass, field
 from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, RandomForestRegressor
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from demandspark.functions.columns import check_frequency, clip_at_zero, future_period
@@ -18,7 +20,7 @@ from demandspark.operators.reshape import keep_ids
 from demandspark.operators.stockout import STRATEGIES, correct_stockouts, stockout_stats
 from demandspark.operators.windows import latest_per_series, lead_targets
 from demandspark.schemas import IMPORTANCE, SEED
-from demandspark.sources.storage import cut_lineage, require, subfolders
+from demandspark.sources.storage import cut_lineage, require, shared_folder, subfolders
 
 OBJECTIVES = {"l1": "absolute", "l2": "squared", "tweedie": None}
 
@@ -26,6 +28,8 @@ OBJECTIVES = {"l1": "absolute", "l2": "squared", "tweedie": None}
 # -1 keeps missing values apart on the low side.
 MISSING = -1.0
 
+ROWS_PER_PARTITION = 100_000
+
 
 @dataclass(frozen=True)
 class BoostingSettings:
@@ -36,7 +40,7 @@ class BoostingSettings:
     feature_fraction: float = 0.8
     row_fraction: float = 0.8
     max_bins: int = 64
-    checkpoint_rounds: int = 5
+    checkpoint_rounds: int = 10
     tweedie_power: float = 1.5
     seed: int = SEED
     # step models fitted at the same time; each is a chain of short jobs that leaves cores idle
@@ -55,6 +59,16 @@ def assemble(df: DataFrame, feature_cols: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=filled, outputCol="features").transform(rows).drop(*filled)
 
 
+def fixed_layout(data: DataFrame, rows: int) -> DataFrame:
+    """The rows in partitions and an order that depend on the rows alone.
+
+    Spark ML samples rows and candidate splits partition by partition; on this layout a seed gives the
+    same trees whatever the session's partition numbers are.
+    """
+    parts = max(8, math.ceil(rows / ROWS_PER_PARTITION))
+    return data.repartition(parts, "id").sortWithinPartitions("id", "date")
+
+
 def _fit_trees(rows: DataFrame, objective: str, s: BoostingSettings) -> PipelineModel:
     gbt = GBTRegressor(
         featuresCol="features",
@@ -68,52 +82,77 @@ def _fit_trees(rows: DataFrame, objective: str, s: BoostingSettings) -> Pipeline
         subsamplingRate=s.row_fraction,
         featureSubsetStrategy=str(s.feature_fraction),
         cacheNodeIds=False,
+        checkpointInterval=s.checkpoint_rounds,
         seed=s.seed,
     )
     return PipelineModel(stages=[gbt.fit(rows)])
 
 
+def _drawn(r: int, s: BoostingSettings) -> Column:
+    """Whether a row belongs to the sample of round ``r``, by a hash of its key."""
+    place = F.pmod(F.xxhash64(F.lit(s.seed + r), "id", "date"), F.lit(1 << 30)) / float(1 << 30)
+    return place < s.row_fraction
+
+
+def _ensemble(spark: SparkSession, trees: list, weight: float) -> GBTRegressionModel:
+    """One model that adds up the trees, each times ``weight``."""
+    jvm = spark.sparkContext._gateway
+    java_trees = jvm.new_array(jvm.jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, len(trees))
+    weights = jvm.new_array(jvm.jvm.double, len(trees))
+    for i, tree in enumerate(trees):
+        java_trees[i] = tree._java_obj
+        weights[i] = weight
+    made = jvm.jvm.org.apache.spark.ml.regression.GBTRegressionModel(f"tweedie_{uuid.uuid4().hex[:12]}", java_trees, weights)
+    made.setFeaturesCol("features")
+    made.setPredictionCol("margin")
+    return GBTRegressionModel(made)
+
+
 def _fit_tweedie(rows: DataFrame, s: BoostingSettings) -> PipelineModel:
     """Newton boosting on the Tweedie deviance with a log link.
 
     Each round fits a tree to -gradient/hessian weighted by the hessian; the weighted leaf mean is
-    then the Newton step of that leaf. Lineage is cut every few rounds.
+    then the Newton step of that leaf. The margins of a round are persisted and replace those of the
+    round before; every few rounds they go through a reliable checkpoint. The trees end up in one ensemble.
     """
-    power = s.tweedie_power
+    spark, power = rows.sparkSession, s.tweedie_power
     mean = rows.agg(F.avg("label").alias("m")).first()["m"] or 0.0
-    base = float(rows.sparkSession.range(1).select(F.log(F.lit(max(mean, 1e-6)))).first()[0])
-    data = rows.select("features", "label").withColumn("_margin", F.lit(base))
+    base = math.log(max(mean, 1e-6))
+    data = rows.select("id", "date", "features", "label").withColumn("_margin", F.lit(base)).persist()
     y, margin = F.col("label"), F.col("_margin")
     low, high = F.exp((1 - power) * margin), F.exp((2 - power) * margin)
     gradient = high - y * low
     hessian = (2 - power) * high - (1 - power) * y * low
     trees = []
     for r in range(s.rounds):
-        sample = data.filter(F.rand(s.seed + r) < s.row_fraction) if s.row_fraction < 1 else data
-        tree = DecisionTreeRegressor(
+        sample = data.filter(_drawn(r, s)) if s.row_fraction < 1 else data
+        # a forest of one tree, since only forests draw features per node
+        forest = RandomForestRegressor(
             featuresCol="features",
             labelCol="_target",
             weightCol="_weight",
-            predictionCol=f"_tree_{r}",
+            numTrees=1,
+            bootstrap=False,
+            featureSubsetStrategy=str(s.feature_fraction),
             maxDepth=s.max_depth,
             maxBins=s.max_bins,
             minInstancesPerNode=s.min_rows,
             seed=s.seed + r,
         ).fit(sample.withColumns({"_target": -gradient / hessian, "_weight": hessian}))
+        tree = forest.trees[0]
         trees.append(tree)
         if r + 1 < s.rounds:
-            data = (
-                tree.transform(data)
-                .withColumn("_margin", margin + s.step_size * F.col(f"_tree_{r}"))
-                .select("features", "label", "_margin")
-            )
+            scored = tree.setPredictionCol("_step").transform(data)
+            moved = scored.withColumn("_margin", margin + s.step_size * F.col("_step")).drop("_step")
             if (r + 1) % s.checkpoint_rounds == 0:
-                data = cut_lineage(data)
-    total = " + ".join(f"_tree_{r}" for r in range(s.rounds))
-    combine = SQLTransformer(
-        statement=f"SELECT *, exp({base!r}D + {s.step_size!r}D * ({total})) AS prediction FROM __THIS__"
-    )
-    return PipelineModel(stages=[*trees, combine])
+                moved = cut_lineage(moved)
+            moved = moved.persist()
+            moved.count()
+            data.unpersist()
+            data = moved
+    data.unpersist()
+    combine = SQLTransformer(statement=f"SELECT *, exp({base!r}D + margin) AS prediction FROM __THIS__")
+    return PipelineModel(stages=[_ensemble(spark, trees, s.step_size), combine])
 
 
 @dataclass
@@ -208,26 +247,28 @@ class BoostedForecaster:
 
     def _fit_step(self, data: DataFrame, target: str) -> PipelineModel:
         usable = data.filter(F.col(target).isNotNull()).select(
-            "features", F.col(target).cast("double").alias("label")
+            "id", "date", "features", F.col(target).cast("double").alias("label")
         )
         if self.objective == "tweedie":
             return _fit_tweedie(usable, self.settings)
         return _fit_trees(usable, self.objective, self.settings)
 
+    def training_rows(self, train: DataFrame) -> DataFrame:
+        """The rows with the corrected target of every step, ``target_h1`` and so on."""
+        if self.target_correction != "none":
+            train = correct_stockouts(train, self.target_correction)
+        return lead_targets(train, self.horizon)
+
     def fit(self, train: DataFrame) -> BoostedForecast:
         absent = sorted(set(self.feature_cols) - set(train.columns))
         if absent:
             raise ValueError(f"feature columns are missing: {absent}")
         stats = stockout_stats(train, self.target_correction)
-        if self.target_correction != "none":
-            train = correct_stockouts(train, self.target_correction)
         targets = [f"target_h{h}" for h in range(1, self.horizon + 1)]
+        shared_folder(train.sparkSession)  # checkpoints cut the lineage of long fits
         # one pass builds vectors and all targets; the step models read it from the cache
-        data = (
-            assemble(lead_targets(train, self.horizon), self.feature_cols)
-            .select("features", *targets)
-            .persist()
-        )
+        rows = assemble(self.training_rows(train), self.feature_cols).select("id", "date", "features", *targets)
+        data = fixed_layout(rows, train.count()).persist()
         # fills the cache, and tells which steps have any target at all
         counts = data.agg(*[F.count(t).alias(t) for t in targets]).first()
         fit_step = inheritable_thread_target(train.sparkSession)(self._fit_step)

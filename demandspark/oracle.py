@@ -714,6 +714,16 @@ from promo join (select distinct store_id, state_id from keys) using (store_id)
         "joined as (select 'ExponentialSmoothing' as model_name, fold_id, id, date, sales, prediction from test join se using (fold_id, id, date))",
         BY_FOLD,
     )
+    q["gbt_train_rows"] = _sql(
+        "select id, date, cast(step as int) as step, round(label, 6) as label from ("
+        + " union all ".join(f"select id, date, {h} as step, lead(y, {h}) over (partition by id order by date) as label from corrected" for h in range(1, 5))
+        + ") where label is not null",
+        FLAG4,
+        "corrected as (select id, date, cast(case when is_suspicious_zero then coalesce(recent, sales) else sales end as double) as y from flagged)",
+    )
+    q["gbt_prediction_rows"] = _sql(
+        f"select id, {W_DATE} as date, true as usable from (select distinct id from fresh), (select max(date) as last from fresh), range(1, 5) t(h)"
+    )
     # scoring
     reason = (
         "case when horizon is null or horizon not between 1 and 12 then 'horizon out of bounds' "

@@ -24,7 +24,7 @@ from demandspark.operators import (
     stockout,
     windows,
 )
-from demandspark.operators.boosting import BoostedForecaster, BoostingSettings
+from demandspark.operators.boosting import BoostedForecaster
 from demandspark.plans import evaluate, explore, features, scoring
 from demandspark.schemas import NAMED_EVENTS, TRACKS
 from demandspark.sources import files, star_schema as star
@@ -36,9 +36,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 FRESH = TRACKS["fresh_weekly"]
 COVERAGE_MINIMUM = 350
 
-# The registered boosted queries keep to a few shallow rounds; 200 rounds are the default
-QUICK = BoostingSettings(rounds=4, step_size=0.3, max_depth=4, max_bins=32)
-
 _REGISTRY: dict[str, Query] = {}
 
 
@@ -857,34 +854,55 @@ def _boosted(spark, sf, objective: str, correction: str = "none"):
         FRESH.horizon,
         objective,
         target_correction=correction,
-        settings=QUICK,
     )
-    return forecaster.fit(matrix), matrix
+    return forecaster, matrix
+
+
+def _fitted(spark, sf, objective: str, correction: str = "none"):
+    forecaster, matrix = _boosted(spark, sf, objective, correction)
+    return forecaster.fit(matrix)
+
+
+@query
+def gbt_train_rows(spark, sf):
+    """What the corrected models learn from: one row per series, date and step with a target."""
+    forecaster, matrix = _boosted(spark, sf, "tweedie", "rolling_mean")
+    wide = forecaster.training_rows(matrix)
+    steps = [F.struct(F.lit(h).alias("step"), F.col(f"target_h{h}").alias("label")) for h in range(1, FRESH.horizon + 1)]
+    long = wide.select("id", "date", F.explode(F.array(*steps)).alias("s"))
+    return rounded(long.select("id", "date", "s.step", "s.label").where("label IS NOT NULL"), "label")
+
+
+@query
+def gbt_prediction_rows(spark, sf):
+    """Which predictions the models make, and that they can be used."""
+    rows = _fitted(spark, sf, "l2").predict()
+    return rows.select("id", "date", (F.col("prediction") >= 0).alias("usable"))
 
 
 @query
 def fc_gbt_l1(spark, sf):
-    return _boosted(spark, sf, "l1")[0].predict()
+    return _fitted(spark, sf, "l1").predict()
 
 
 @query
 def fc_gbt_l2(spark, sf):
-    return _boosted(spark, sf, "l2")[0].predict()
+    return _fitted(spark, sf, "l2").predict()
 
 
 @query
 def fc_tweedie(spark, sf):
-    return _boosted(spark, sf, "tweedie")[0].predict()
+    return _fitted(spark, sf, "tweedie").predict()
 
 
 @query
 def fc_tweedie_corrected(spark, sf):
-    return _boosted(spark, sf, "tweedie", "rolling_mean")[0].predict()
+    return _fitted(spark, sf, "tweedie", "rolling_mean").predict()
 
 
 @query
 def gbt_importance(spark, sf):
-    return _boosted(spark, sf, "l2")[0].feature_importance()
+    return _fitted(spark, sf, "l2").feature_importance()
 
 
 # Scoring ------------------------------------------------------------------

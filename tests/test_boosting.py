@@ -1,7 +1,10 @@
+import dataclasses
+import random
+
 import pytest
 
 from demandspark.operators import windows
-from demandspark.operators.boosting import BoostedForecaster, BoostingSettings
+from demandspark.operators.boosting import BoostedForecaster, BoostingSettings, load_models
 from helpers import MONDAY, panel
 
 FEATURES = ["sales_lag_1", "sales_lag_4", "month"]
@@ -65,3 +68,30 @@ def test_step_without_targets_is_nan(spark):
     assert sorted(fitted.models) == [1]
     second = fitted.predict(2).orderBy("date").collect()[1]
     assert second["prediction"] != second["prediction"]
+
+
+@pytest.mark.parametrize("objective", ["l2", "tweedie"])
+def test_forecasts_do_not_depend_on_partitions(spark, objective):
+    rng = random.Random(4)
+    series = {f"S{k}": [rng.randrange(1, 9) + (i + k) % 4 for i in range(50)] for k in range(12)}
+    settings = dataclasses.replace(QUICK, row_fraction=0.7, feature_fraction=0.7)
+    found = []
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (3, 7):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            rows = BoostedForecaster(FEATURES, 2, objective, settings=settings).fit(matrix(spark, series).repartition(n)).predict()
+            found.append({(r["id"], r["date"]): r["prediction"] for r in rows.collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0].keys() == found[1].keys()
+    assert all(found[0][k] == pytest.approx(found[1][k], rel=1e-9) for k in found[0])
+
+
+def test_tweedie_ensemble_can_be_stored(spark, tmp_path):
+    fitted = BoostedForecaster(FEATURES, 1, "tweedie", settings=QUICK).fit(matrix(spark, {"X": range(60)}))
+    assert len(fitted.models[1].stages) == 2
+    fitted.save_models(str(tmp_path))
+    want = [r["prediction"] for r in fitted.predict().collect()]
+    fitted.models = load_models(spark, str(tmp_path))
+    assert [r["prediction"] for r in fitted.predict().collect()] == want
