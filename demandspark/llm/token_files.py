@@ -27,6 +27,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyspark
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -58,25 +59,35 @@ def tokenizer(path: str):
 
 
 class WordIds:
-    """Ids of words under one tokenizer; remembers the first ``most`` words it meets."""
-
-    def __init__(self, path: str, most: int = 250_000):
-        self.path, self.most, self.known = path, most, {}
-
-    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in a row, and the number of ids of each word."""
-        known = self.known
-        new = [w for w in words if w not in known]
-        fresh: dict[bytes, bytes] = {}
-        for a in range(0, len(new), 4096):  # an encoding takes far more memory than its ids
-            part = new[a : a + 4096]
-            encoded = tokenizer(self.path).encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            fresh.update((w, array("i", e.ids).tobytes()) for w, e in zip(part, encoded, strict=True))
-        if len(known) < self.most:
-            known.update(fresh)
-            fresh = known
-        found = [known[w] if w in known else fresh[w] for w in words]
-        return np.frombuffer(b"".join(found), np.int32), np.fromiter(map(len, found), np.int64, len(found)) // 4
+    """Ids of words under one tokenizer; remembers words, as Arrow values, up to ``most`` of them."""
+
+    def __init__(self, path: str, most: int = 1_000_000):
+        self.path, self.most = path, most
+        self.words, self.ids, self.starts = pa.array([], pa.binary()), np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A run of ids that holds those of every word, and where each word's begin and how many they are."""
+        at = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = np.flatnonzero(at < 0)
+        unknown = words.take(pa.array(new))
+        more, many = self.encoded(unknown)
+        ids = np.concatenate([self.ids, more])
+        starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(many)])
+        at[new] = len(self.words) + np.arange(len(new))
+        if len(self.words) + len(new) <= self.most:
+            self.words, self.ids, self.starts = pa.concat_arrays([self.words, unknown]), ids, starts
+        return ids, starts[at], np.diff(starts)[at]
+
+    def encoded(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """What the library gives for each word: all ids in a row, and the number of each word's."""
+        ids, many = array("i"), array("q")
+        for a in range(0, len(words), 4096):  # an encoding takes far more memory than its ids
+            texts = [w.decode() for w in words.slice(a, 4096).to_pylist()]
+            for e in tokenizer(self.path).encode_batch_fast(texts, add_special_tokens=False):
+                own = e.ids
+                ids.extend(own)
+                many.append(len(own))
+        return np.frombuffer(ids, np.int32) if ids else np.zeros(0, np.int32), np.array(many, np.int64)
 
 
 @cache
@@ -101,8 +112,7 @@ def encode(texts: pa.Array, words: WordIds, end_id: int | None) -> tuple[np.ndar
         data = LOWER[data]
     begin, end, first = word_spans(mask, offsets, breaks)
     codes, distinct = dictionary_of(data, mask, end - begin)
-    ids, many = words.of(distinct.to_pylist())
-    place = np.cumsum(many) - many
+    ids, place, many = words.of(distinct)
     closing = int(end_id is not None)
     size = many[codes]
     before = np.concatenate([[0], np.cumsum(size)])
@@ -124,7 +134,7 @@ def write_tokens(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, start = word_ids(tokenizer_path), 0
         shard = pyspark.TaskContext.get().partitionId()
-        for batch in small_batches(batches, "text", 3 << 20):
+        for batch in small_batches(batches, "text", 4 << 20):
             ids, at = encode(batch.column("text"), words, end_id)
             size = np.diff(at)
             yield pa.RecordBatch.from_arrays(
