@@ -276,3 +276,27 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFr
         (n_hit > 0).alias("contaminated"),
         "spans",
     )
+
+
+CONTAMINATION_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+items AS (
+  SELECT CAST(item_id AS varchar) AS item, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+windows AS (
+  SELECT DISTINCT item, least(10, len(w)) AS n, array_to_string(w[a:a + least(10, len(w)) - 1], ' ') AS win
+  FROM (SELECT *, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS a FROM items WHERE len(w) > 0)),
+grams AS (
+  SELECT k, n, a, array_to_string(w[a:a + n - 1], ' ') AS win
+  FROM (SELECT k, w, n, unnest(range(1, len(w) - n + 2)) AS a FROM docs, (SELECT DISTINCT n FROM windows))),
+hits AS (SELECT k, a, n, item FROM grams JOIN windows USING (n, win)),
+places AS (SELECT k, count(DISTINCT p) AS n_hit FROM (SELECT k, unnest(range(a, a + n)) AS p FROM hits) GROUP BY k),
+found AS (SELECT k, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT k, item FROM hits) GROUP BY k)
+SELECT doc_id, CAST(len(w) AS bigint) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN places USING (k) LEFT JOIN found USING (k)
+"""

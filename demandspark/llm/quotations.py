@@ -137,3 +137,50 @@ def threads(replies: DataFrame) -> DataFrame:
 def conversations(messages: DataFrame) -> DataFrame:
     """The messages that still say something once quotes are gone, in reply order."""
     return linked(messages).where("text <> ''").orderBy("conv_id", "thread", "turn")
+
+
+_SAID = r"trim(regexp_replace(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ')"
+
+LINKED_SQL = rf"""
+WITH RECURSIVE messages AS (
+  SELECT row_number() OVER () AS k, conv_id, turn, role, regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g') AS t FROM conversations),
+lines AS (
+  SELECT k, i, len(marks) - len(replace(marks, '>', '')) AS level, line[len(marks) + 1:] AS body FROM (
+    SELECT k, i, line, regexp_extract(line, '^[\x20\x09]*(?:>[\x20\x09]?)+') AS marks FROM (
+      SELECT k, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM messages))),
+marked AS (
+  SELECT *, sum(CAST(NOT coalesce(level = before AND trim(body, ' ') <> '', false) AS int)) OVER (PARTITION BY k ORDER BY i) AS p
+  FROM (SELECT *, lag(level) OVER (PARTITION BY k ORDER BY i) AS before FROM lines)),
+passages AS (SELECT k, p, any_value(level) AS level, string_agg(body, ' ' ORDER BY i) AS joined, list(body ORDER BY i) AS bodies FROM marked GROUP BY k, p),
+owns AS (
+  SELECT k, regexp_replace(regexp_replace(string_agg(body, chr(10) ORDER BY i) FILTER (level = 0), '\n{{3,}}', chr(10) || chr(10), 'g'),
+    '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS own, max(level) AS max_level FROM lines GROUP BY k),
+base AS (
+  SELECT m.*, coalesce(own, '') AS own, max_level, (SELECT count(*) FROM passages p WHERE p.k = m.k AND p.level > 0) AS n_quotes
+  FROM messages m JOIN owns USING (k)),
+units AS (
+  SELECT DISTINCT k, level, said FROM (
+    SELECT k, level, {_SAID.format('joined')} AS said FROM passages
+    UNION ALL SELECT k, level, {_SAID.format('body')} FROM marked
+    UNION ALL SELECT k, 0, {_SAID.format('own')} FROM base) WHERE said <> ''),
+quoted AS (SELECT DISTINCT k, conv_id, turn, level, said FROM units JOIN base USING (k) WHERE level > 0),
+said AS (SELECT DISTINCT conv_id, turn, said FROM units JOIN base USING (k) WHERE level = 0 AND own <> ''),
+near AS (
+  SELECT q.k, q.said, max(s.turn) AS from_turn FROM quoted q JOIN said s ON q.conv_id = s.conv_id AND q.said = s.said AND s.turn < q.turn GROUP BY q.k, q.said),
+far AS (SELECT said, conv_id AS far_conv, turn AS far_turn FROM (
+  SELECT *, row_number() OVER (PARTITION BY said ORDER BY conv_id, turn) AS place FROM said) WHERE place = 1),
+origins AS (
+  SELECT q.k, q.level, from_turn IS NULL AS away, CASE WHEN from_turn IS NULL THEN far_conv ELSE q.conv_id END AS reply_conv,
+    coalesce(from_turn, far_turn) AS reply_turn
+  FROM quoted q LEFT JOIN near USING (k, said) LEFT JOIN far USING (said) WHERE from_turn IS NOT NULL OR far_conv <> q.conv_id),
+replies AS (SELECT k, reply_conv, reply_turn FROM (
+  SELECT *, row_number() OVER (PARTITION BY k ORDER BY level, away, -reply_turn, reply_conv) AS place FROM origins) WHERE place = 1),
+links AS (SELECT conv_id, turn, min(reply_turn) AS up FROM replies JOIN base USING (k) WHERE conv_id = reply_conv GROUP BY conv_id, turn),
+climb(conv_id, turn, thread, depth) AS (
+  SELECT conv_id, turn, up, 1 FROM links
+  UNION ALL SELECT c.conv_id, c.turn, l.up, c.depth + 1 FROM climb c JOIN links l ON l.conv_id = c.conv_id AND l.turn = c.thread),
+tops AS (SELECT conv_id, turn, arg_max(thread, depth) AS thread, max(depth) AS depth FROM climb GROUP BY conv_id, turn)
+SELECT b.conv_id, b.turn, role, own AS text, n_quotes, CAST(max_level AS bigint) AS max_level, reply_conv, reply_turn,
+  coalesce(thread, b.turn) AS thread, CAST(coalesce(depth, 0) AS bigint) AS depth
+FROM base b LEFT JOIN replies USING (k) LEFT JOIN tops t ON t.conv_id = b.conv_id AND t.turn = b.turn
+"""

@@ -77,4 +77,9 @@ def registered() -> dict[str, Query]:
 
 
 def statements() -> dict[str, str]:
-    return {"op2_secrets": secrets.SECRETS_SQL}
+    return {
+        "op2_secrets": secrets.SECRETS_SQL,
+        "op3_quotations": quotations.LINKED_SQL,
+        "op4_exact_dedup": exact_dedup.EXACT_SQL,
+        "op10_decontamination": decontamination.CONTAMINATION_SQL,
+    }

@@ -1,6 +1,8 @@
 import random
 import re
 
+import duckdb
+import pandas as pd
 from pyspark.sql import functions as F
 
 from demandspark.llm import quotations as op
@@ -89,6 +91,9 @@ def test_against_brute_force(spark):
             rows.append((conv, turn, "user", "\n".join(lines)))
     got = found(spark, rows)
     assert {k: (r.reply_conv, r.reply_turn) for k, r in got.items()} == brute(rows)
+    conversations = pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"])  # noqa: F841
+    sql = sorted(duckdb.connect().execute(op.LINKED_SQL).fetchall())
+    assert sql == sorted(map(tuple, got.values()))
 
 
 def test_a_phrase_everybody_says_and_quotes(spark):
