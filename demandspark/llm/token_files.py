@@ -61,7 +61,7 @@ def tokenizer(path: str):
 class WordIds:
     """Ids of words under one tokenizer; remembers words, as Arrow values, up to ``most`` of them."""
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 500_000):
         self.path, self.most = path, most
         self.words, self.ids, self.starts = pa.array([], pa.binary()), np.zeros(0, np.int32), np.zeros(1, np.int64)
 
@@ -134,7 +134,7 @@ def write_tokens(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, start = word_ids(tokenizer_path), 0
         shard = pyspark.TaskContext.get().partitionId()
-        for batch in small_batches(batches, "text", 4 << 20):
+        for batch in small_batches(batches, "text", 2 << 20):
             ids, at = encode(batch.column("text"), words, end_id)
             size = np.diff(at)
             yield pa.RecordBatch.from_arrays(
@@ -145,6 +145,7 @@ def write_tokens(
                 ["doc_id", "n_tokens", "shard", "shard_start", "tokens"],
             )
             start += int(at[-1])
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     ordered = ids_and_texts(docs, id_col, text_col).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(run, STORE).write.options(**LAYOUT).parquet(path)
@@ -176,7 +177,7 @@ def with_crc32(rows: DataFrame) -> DataFrame:
         for batch in batches:
             lists = batch.column(batch.schema.names.index("tokens"))
             at = lists.offsets.to_numpy()
-            flat = np.ascontiguousarray(lists.values.to_numpy(zero_copy_only=False).astype("<u4"))
+            flat = np.ascontiguousarray(lists.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False))
             crc = [zlib.crc32(flat[a:b].data) for a, b in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(batch.schema.names.index(c)) for c in kept), pa.array(crc, pa.int64())], [*kept, "ids_crc32"]
