@@ -2,7 +2,8 @@
 
 Each query is timed to the last row of its result (a no-op write), after one untimed run of the
 track on the same session. The cache is cleared before each query, so every time includes the way
-from the stored tables. Keys with ``_fine`` run on brand x type series instead of brand series.
+from the stored tables. Keys with ``_fine`` run on brand x type series instead of brand series, those
+with ``_part`` on the parts themselves, whose number grows with the data.
 """
 
 from __future__ import annotations
@@ -41,21 +42,25 @@ def ets_forecast_fine(spark, sf):
 QUERIES = {
     "track_fresh_weekly": q.track_fresh_weekly,
     "track_fresh_weekly_fine": q.track_fresh_weekly_fine,
+    "track_fresh_weekly_part": q.track_fresh_weekly_part,
     "track_dry_monthly": q.track_dry_monthly,
     "eda_event_type_lift": q.eda_event_type_lift,
     "stockout_by_series": q.stockout_by_series,
     "promo_flags": q.promo_flags,
     "feature_matrix": q.feature_matrix,
     "feature_matrix_fine": q.feature_matrix_fine,
+    "feature_matrix_part": q.feature_matrix_part,
     "eval_all_naive": q.eval_all_naive,
     "eval_all_naive_fine": q.eval_all_naive_fine,
+    "eval_all_naive_part": q.eval_all_naive_part,
     "eval_ets": q.eval_ets,
     "eval_ets_fine": ets_fine,
     "fc_ets_fine": ets_forecast_fine,
-    "fc_gbt_l2": q.fc_gbt_l2,
-    "fc_tweedie_corrected": q.fc_tweedie_corrected,
     "score_batch": q.score_batch,
     "score_batch_fine": drift_fine,
+    "score_batch_part": q.score_batch_part,
+    "fc_gbt_l2": q.fc_gbt_l2,
+    "fc_tweedie_corrected": q.fc_tweedie_corrected,
 }
 
 

@@ -28,7 +28,7 @@ OBJECTIVES = {"l1": "absolute", "l2": "squared", "tweedie": None}
 # -1 keeps missing values apart on the low side.
 MISSING = -1.0
 
-ROWS_PER_PARTITION = 100_000
+ROWS_PER_PARTITION = 25_000
 
 
 @dataclass(frozen=True)
@@ -65,7 +65,7 @@ def fixed_layout(data: DataFrame, rows: int) -> DataFrame:
     Spark ML samples rows and candidate splits partition by partition; on this layout a seed gives the
     same trees whatever the session's partition numbers are.
     """
-    parts = max(8, math.ceil(rows / ROWS_PER_PARTITION))
+    parts = max(2, math.ceil(rows / ROWS_PER_PARTITION))  # several steps are fitted side by side
     return data.repartition(parts, "id").sortWithinPartitions("id", "date")
 
 
@@ -123,7 +123,7 @@ def _fit_tweedie(rows: DataFrame, s: BoostingSettings) -> PipelineModel:
     low, high = F.exp((1 - power) * margin), F.exp((2 - power) * margin)
     gradient = high - y * low
     hessian = (2 - power) * high - (1 - power) * y * low
-    trees = []
+    trees, before = [], None
     for r in range(s.rounds):
         sample = data.filter(_drawn(r, s)) if s.row_fraction < 1 else data
         # a forest of one tree, since only forests draw features per node
@@ -146,11 +146,13 @@ def _fit_tweedie(rows: DataFrame, s: BoostingSettings) -> PipelineModel:
             moved = scored.withColumn("_margin", margin + s.step_size * F.col("_step")).drop("_step")
             if (r + 1) % s.checkpoint_rounds == 0:
                 moved = cut_lineage(moved)
-            moved = moved.persist()
-            moved.count()
-            data.unpersist()
-            data = moved
-    data.unpersist()
+            # the next fit fills the cache from this round's rows, which are needed until then
+            if before is not None:
+                before.unpersist()
+            before, data = data, moved.persist()
+    for cached in (before, data):
+        if cached is not None:
+            cached.unpersist()
     combine = SQLTransformer(statement=f"SELECT *, exp({base!r}D + margin) AS prediction FROM __THIS__")
     return PipelineModel(stages=[_ensemble(spark, trees, s.step_size), combine])
 

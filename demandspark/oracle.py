@@ -270,6 +270,16 @@ matrix as (
        left join promo using (item_id, store_id, wm_yr_wk))"""
 MATRIX = f"{WEEKS},\n{LEVELS},\n{MATRIX_CTE}"
 
+STATE_PROMO = """sp as (
+  select item_id, state_id, wm_yr_wk, avg(cast(on_promo as int)) > 0.5 as on_promo, avg(price_relative_to_ref) as price_relative_to_ref
+  from promo join (select distinct store_id, state_id from keys) using (store_id) group by item_id, state_id, wm_yr_wk)"""
+
+MONTH_FOLDS = """mfolds as (
+  select cast(3 - i as int) as fold_id, cast(hi - to_months(cast((i + 1) * 3 - 1 as int)) as date) - 1 as train_end,
+         cast(hi - to_months(cast((i + 1) * 3 - 1 as int)) as date) as test_start,
+         last_day(cast(hi - to_months(cast(i * 3 as int)) as date)) as test_end
+  from (select date_trunc('month', max(date)) as hi from dry), range(4) t(i))"""
+
 REQUESTS = """ids as (select distinct item_id, store_id, dept_id, state_id, item_id || '__' || store_id as id from sold),
 requests as (
   select id, cast((cast(regexp_extract(item_id, '[0-9]+') as int) * 7
@@ -678,16 +688,49 @@ from (select count(*) as n_series, count(*) filter (f > d0) as n_cold_start from
         f"select id, date, sales, {_PROMO_OUT} from st left join weeks using (date) left join sp using (item_id, state_id, wm_yr_wk)",
         WEEKS,
         f"st as (select item_id || '__' || state_id as id, item_id, state_id, {WEEK} as date, cast(sum(sales) as bigint) as sales from daily group by item_id, state_id, {WEEK})",
-        """sp as (select item_id, state_id, wm_yr_wk, avg(cast(on_promo as int)) > 0.5 as on_promo,
-       avg(price_relative_to_ref) as price_relative_to_ref
-from promo join (select distinct store_id, state_id from keys) using (store_id) group by item_id, state_id, wm_yr_wk)""",
+        STATE_PROMO,
     )
     q["feature_matrix"] = _sql("select * from matrix", MATRIX)
     q["feature_matrix_fine"] = _sql("select * from matrix", MATRIX, base=FINE)
     q["feature_matrix_part"] = _sql("select * from matrix", MATRIX, base=PART)
+    dry_levels = ("dept_id", "cat_id", "state_id")
+    dry_cols = ", ".join(f"{x}_avg_sales_lag_1" for x in dry_levels)
+    q["feature_matrix_dry_monthly"] = _sql(
+        f"""select id, date, sales, {', '.join(f'sales_lag_{k}' for k in FEATURE_LAGS)},
+         {', '.join(f'sales_roll{w}_{s}' for w in FEATURE_WINDOWS for s in ('mean', 'std'))},
+         month, week_of_year, year, day_of_year, {_SNAPW}, {_EVENTS}, {dry_cols}, {_PROMO_OUT}
+  from basic left join weeks using (date) {' '.join(f'left join lv_{x} using ({x}, date)' for x in dry_levels)}
+       left join sp using (item_id, state_id, wm_yr_wk)""",
+        WEEKS,
+        f"""dryf as materialized (
+  select item_id || '__' || state_id as id, {MONTH} as date, cast(sum(sales) as bigint) as sales, item_id, dept_id, cat_id, state_id
+  from daily where dept_id in ('FOODS_1', 'FOODS_2', 'HOUSEHOLD_1', 'HOUSEHOLD_2') group by item_id, state_id, dept_id, cat_id, {MONTH})""",
+        *[_level(x).replace("from fresh", "from dryf") for x in dry_levels],
+        STATE_PROMO,
+        f"basic as (select *, {_LAGS}, {_ROLLS}, {_TIME} from dryf {_WS})",
+    )
     q["feature_matrix_basic"] = _sql(f"select id, date, sales, {_LAGS}, {_ROLLS}, {_TIME} from fresh {_WS}")
+    now_rolls = _ROLLS
+    for w in FEATURE_WINDOWS:
+        now_rolls = now_rolls.replace(f"between {w} preceding and 1 preceding", f"between {w - 1} preceding and current row")
+    q["feature_matrix_basic_current"] = _sql(
+        f"select id, date, sales, sales as sales_lag_0, {_LAGS}, {now_rolls}, {_TIME} from fresh {_WS}"
+    )
     # folds and forecasts
     q["folds"] = _sql("select * from folds")
+    q["folds_monthly"] = _sql("select * from mfolds", DRY, MONTH_FOLDS)
+    q["eval_naive_monthly"] = _sql(
+        FOLD_OUT.replace("folds using", "mfolds using"),
+        DRY,
+        MONTH_FOLDS,
+        "mtrain as (select fold_id, id, date, sales from dry join mfolds on date <= train_end)",
+        "preds as (" + " union all ".join([
+            _hist_mean("mtrain", "fold_id, ", 3, M_DATE), _seasonal("mtrain", "fold_id, ", 3, M_DATE, M_BACK), _drift("mtrain", "fold_id, ", 3, M_DATE)
+        ]) + ")",
+        "joined as (select model_name, fold_id, id, date, sales, prediction from "
+        "(select fold_id, id, date, sales from dry join mfolds on date between test_start and test_end) join preds using (fold_id, id, date))",
+        BY_FOLD,
+    )
     q["fold_assignment"] = _sql(
         "select id, date, sales, fold_id, 'train' as role from train union all select id, date, sales, fold_id, 'test' from test"
     )
@@ -742,6 +785,28 @@ from (select * from requests where {reason} is null) r
      left join (select *, row_number() over (partition by id order by date) as step from preds where model_name = 'DriftNaive') p using (id)
 group by id, horizon, r.model_name"""
     )
+    q["model_info"] = _sql(
+        "select name as model_name, 'fresh_weekly' as track_name, (select max(date) from fresh) as train_end, "
+        "cast(0 as int) as feature_count, cast(4 as int) as horizon, 'W' as frequency from (values ('drift'), ('mean')) t(name)"
+    )
+    q["score_models"] = _sql(
+        """select id, horizon, r.model_name, reason,
+       case when reason is not null then 'rejected' when any_value(p.prediction) is null then 'unknown series' else 'ok' end as status,
+       case when reason is null then (select max(date) from fresh) end as train_end,
+       cast(count(p.prediction) filter (step <= horizon and reason is null) as int) as n_points,
+       coalesce(string_agg(cast(p.date as varchar) || '=' || cast(cast(round(p.prediction, 6) as decimal(18, 6)) as varchar), ';' order by p.date)
+                filter (step <= horizon and reason is null), '') as points
+from (select id, horizon, m.model_name, case when m.model_name = 'absent' then 'unknown model'
+        when horizon is null or horizon not between 1 and 12 then 'horizon out of bounds'
+        when horizon > 4 then 'horizon beyond the trained steps' end as reason
+      from requests, (values ('drift'), ('mean'), ('absent')) m(model_name)) r
+     left join (select case model_name when 'DriftNaive' then 'drift' else 'mean' end as model_name, id, date, prediction,
+                       row_number() over (partition by model_name, id order by date) as step
+                from preds where model_name in ('DriftNaive', 'HistoricalMean')) p using (model_name, id)
+group by id, horizon, r.model_name, reason""",
+        REQUESTS,
+        FULL_PREDS,
+    )
     q["score_batch"] = _sql(scored, REQUESTS, FULL_PREDS)
     q["score_batch_part"] = _sql(scored, REQUESTS, FULL_PREDS, base=PART)
     return q

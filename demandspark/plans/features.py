@@ -37,19 +37,26 @@ def level_columns(track_name: str) -> tuple[str, ...]:
     return ("dept_id", "cat_id", "state_id")
 
 
-def basic_feature_columns() -> list[str]:
+def used_lags(include_current: bool) -> tuple[int, ...]:
+    """The lags, with the period itself (lag 0) if it may be used."""
+    return (0, *FEATURE_LAGS) if include_current else FEATURE_LAGS
+
+
+def basic_feature_columns(include_current: bool = False) -> list[str]:
     """The 17 lag, rolling and time features."""
     return (
-        [f"sales_lag_{k}" for k in FEATURE_LAGS]
+        [f"sales_lag_{k}" for k in used_lags(include_current)]
         + [f"sales_roll{w}_{s}" for w in FEATURE_WINDOWS for s in FEATURE_STATS]
         + list(TIME_FEATURES)
     )
 
 
-def feature_columns(levels: Sequence[str] = ("dept_id", "store_id", "cat_id")) -> list[str]:
-    """All 31 features in order."""
+def feature_columns(
+    levels: Sequence[str] = ("dept_id", "store_id", "cat_id"), include_current: bool = False
+) -> list[str]:
+    """All 31 features in order, with ``include_current`` one more."""
     return (
-        basic_feature_columns()
+        basic_feature_columns(include_current)
         + ["snap_days_in_week"]
         + event_columns(NAMED_EVENTS)
         + [f"{level}_avg_sales_lag_1" for level in levels]
@@ -57,16 +64,21 @@ def feature_columns(levels: Sequence[str] = ("dept_id", "store_id", "cat_id")) -
     )
 
 
-def basic_features(panel: DataFrame, keys: str | Sequence[str] = "id") -> DataFrame:
+def basic_features(
+    panel: DataFrame, keys: str | Sequence[str] = "id", include_current: bool = False
+) -> DataFrame:
     """Lags, rolling statistics and time features: one exchange and one sort by series.
 
     ``keys`` may name the columns the id was built from. A track that was just rolled up by them is
     then partitioned for the windows already, which it is not for the id built from them.
+
+    A row describes the periods before its own. With ``include_current`` its own sales count too, as
+    lag 0 and at the end of the rolling windows; targets lie ahead of the row either way.
     """
     return panel.withColumns(
         {
-            **lag_columns(FEATURE_LAGS, keys=keys),
-            **rolling_columns(FEATURE_WINDOWS, keys=keys, statistics=FEATURE_STATS),
+            **lag_columns(used_lags(include_current), keys=keys),
+            **rolling_columns(FEATURE_WINDOWS, keys=keys, statistics=FEATURE_STATS, shift=0 if include_current else 1),
             **time_columns(),
         }
     )
@@ -78,6 +90,7 @@ def features_from_track(
     prices: DataFrame,
     track_name: str = "fresh_weekly",
     states: DataFrame | None = None,
+    include_current: bool = False,
 ) -> DataFrame:
     """Feature matrix of a track that carries its hierarchy columns.
 
@@ -87,7 +100,7 @@ def features_from_track(
     t = track(track_name)
     levels = level_columns(track_name)
     signal, keys = promo_signal(prices, t.id_format, states)
-    matrix = basic_features(rows, LEVEL_KEYS[t.level])
+    matrix = basic_features(rows, LEVEL_KEYS[t.level], include_current)
     matrix = add_level_lags(matrix, levels=levels)
     matrix = matrix.join(weekly_calendar(calendar), "date", "left")
     matrix = finish_promo(matrix.join(signal, keys, "left"))
@@ -97,7 +110,7 @@ def features_from_track(
     return (
         matrix.withColumns({"snap_days_in_week": snap, **flags})
         .drop(*[f"_snap_{s}" for s in SNAP_STATES])
-        .select("id", "date", "sales", *feature_columns(levels))
+        .select("id", "date", "sales", *feature_columns(levels, include_current))
     )
 
 

@@ -155,26 +155,4 @@ def publish_drift(inputs: Inputs, root: str) -> str:
 
 def score(spark: SparkSession, root: str, requests: DataFrame) -> DataFrame:
     """Answer ``(id, horizon, model_name)`` requests; refused ones carry their reason and no points."""
-    answered = []
-    published = scoring.scan(spark, root)
-    for name, model in published.items():
-        mine = scoring.check_requests(requests.filter(F.col("model_name") == name), model.horizon)
-        good = mine.filter("status = 'accepted'").drop("status")
-        answered.append(
-            scoring.score_batch(good, model.predict()).withColumn("train_end", F.lit(model.metadata["train_end"]))
-        )
-        answered.append(_refused(mine.filter("status = 'rejected'")))
-    unknown = requests.filter(~F.coalesce(F.col("model_name").isin(list(published)), F.lit(False)))
-    answered.append(
-        _refused(unknown.withColumns({"status": F.lit("rejected"), "reason": F.lit("unknown model")}))
-    )
-    return evaluate.stack(answered)
-
-
-def _refused(rows: DataFrame) -> DataFrame:
-    return rows.withColumns(
-        {
-            "points": F.array().cast("array<struct<date:date,prediction:double>>"),
-            "train_end": F.lit(None).cast("date"),
-        }
-    )
+    return scoring.answer(requests, scoring.published_models(spark, root), scoring.published_predictions(spark, root))

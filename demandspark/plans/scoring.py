@@ -103,7 +103,7 @@ def publish(
         )
         .select(*METADATA.names)
     )
-    row.coalesce(1).write.mode("overwrite").parquet(f"{path}/metadata")
+    row.repartition(1).write.mode("overwrite").parquet(f"{path}/metadata")
     return path
 
 
@@ -156,32 +156,66 @@ def load(spark: SparkSession, root: str, model_name: str, with_models: bool = Tr
     )
 
 
-def scan(spark: SparkSession, root: str) -> dict[str, Published]:
-    """All usable models under ``root``; folders that are broken or incomplete are skipped."""
-    out = {}
-    for name in subfolders(spark, root):
-        try:
-            model = load(spark, root, name, with_models=False)
-        except (ValueError, FileNotFoundError):
-            continue
-        out[model.metadata["model_name"]] = model
-    return out
+def _folders(spark: SparkSession, root: str) -> list[str]:
+    """Folders under ``root`` that hold what a model needs; only names are listed here."""
+    paths = [f"{root.rstrip('/')}/{name}" for name in subfolders(spark, root)]
+    return [p for p in paths if exists(spark, f"{p}/metadata") and exists(spark, f"{p}/predictions")]
+
+
+def _of_folder() -> Column:
+    return F.element_at(F.split(F.input_file_name(), "/"), -3)
+
+
+def published_models(spark: SparkSession, root: str) -> DataFrame:
+    """Metadata of all usable models under ``root`` as one table, read in one pass.
+
+    Folders of another format, with other content, or describing more than one model, are no models.
+    """
+    folders = _folders(spark, root)
+    if not folders:
+        return spark.createDataFrame([], METADATA)
+    rows = spark.read.schema(METADATA).parquet(*[f"{p}/metadata" for p in folders]).withColumn("_folder", _of_folder())
+    usable = rows.where((F.col("format_version") == FORMAT_VERSION) & F.col("model_name").isNotNull() & F.col("horizon").isNotNull())
+    single = rows.groupBy("_folder").agg(F.count(F.lit(1)).alias("_n")).where("_n = 1").select("_folder")
+    return usable.join(single, "_folder", "left_semi").select(*METADATA.names)
+
+
+def published_predictions(spark: SparkSession, root: str) -> DataFrame:
+    """Predictions of every model under ``root`` with their ``model_name`` and ``step``, as one table."""
+    schema = "id string, date date, prediction double, step int"
+    folders = _folders(spark, root)
+    if not folders:
+        return spark.createDataFrame([], f"model_name string, {schema}")
+    rows = spark.read.schema(schema).parquet(*[f"{p}/predictions" for p in folders])
+    return rows.select(_of_folder().alias("model_name"), "id", "date", "prediction", "step")
 
 
 def model_info(spark: SparkSession, root: str) -> DataFrame:
     """One row per usable model."""
-    rows = [
-        (
-            m.metadata["model_name"],
-            m.metadata["track_name"],
-            m.metadata["train_end"],
-            len(m.metadata["feature_cols"]),
-            m.metadata["trained_at"],
-        )
-        for m in scan(spark, root).values()
-    ]
-    schema = "model_name string, track_name string, train_end date, feature_count int, trained_at timestamp"
-    return spark.createDataFrame(rows, schema)
+    return published_models(spark, root).select(
+        "model_name", "track_name", "train_end", F.size("feature_cols").alias("feature_count"), "horizon", "frequency", "trained_at"
+    )
+
+
+def answer(requests: DataFrame, models: DataFrame, predictions: DataFrame) -> DataFrame:
+    """Answer ``(id, horizon, model_name)`` requests to any published model: one join with the models, one
+    with their predictions. Refused requests carry their reason and no points."""
+    known = models.select("model_name", F.col("horizon").alias("_trained"), "train_end")
+    h = F.col("horizon")
+    reason = F.when(F.col("_trained").isNull(), "unknown model")
+    reason = reason.when(F.col("id").isNull() | (F.col("id") == ""), "no series id")
+    reason = reason.when(h.isNull() | ~h.between(REQUEST_HORIZON_MIN, REQUEST_HORIZON_MAX), "horizon out of bounds")
+    reason = reason.when(h > F.col("_trained"), "horizon beyond the trained steps")
+    checked = requests.join(known, "model_name", "left").withColumn("reason", reason)
+    point = F.struct("date", "prediction")
+    series = predictions.groupBy("model_name", "id").agg(F.array_sort(F.collect_list(point)).alias("_points"))
+    empty = F.array().cast("array<struct<date:date,prediction:double>>")
+    good = F.col("reason").isNull()
+    status = F.when(~good, "rejected").when(F.col("_points").isNull(), "unknown series").otherwise("ok")
+    points = F.when(good & F.col("_points").isNotNull(), F.slice("_points", F.lit(1), F.greatest(h, F.lit(1)))).otherwise(empty)
+    return checked.join(series, ["model_name", "id"], "left").select(
+        *requests.columns, "reason", status.alias("status"), points.alias("points"), F.when(good, F.col("train_end")).alias("train_end")
+    )
 
 
 def check_requests(

@@ -765,12 +765,31 @@ def feature_matrix_part(spark, sf):
     return _matrix(spark, sf, "part")
 
 
+@query
+def feature_matrix_dry_monthly(spark, sf):
+    """State-level track: promotions and hierarchy means come from the state levels."""
+    dry = TRACKS["dry_monthly"]
+    rows = rollup.prepare_track(star.daily_sales(spark, sf), dry.name, with_attributes=True)
+    states = reshape.store_states(star.sold(spark, sf))
+    matrix = features.features_from_track(rows, star.calendar(spark, sf), star.prices(spark, sf), dry.name, states)
+    flags = [*cal.event_columns(NAMED_EVENTS), "is_on_promo"]
+    matrix = matrix.withColumns({c: F.col(c).cast("int") for c in flags})
+    means = [c for c in matrix.columns if "_roll" in c or "_avg_" in c] + ["price_relative_to_ref"]
+    return rounded(matrix, *means)
+
+
 @query
 def feature_matrix_basic(spark, sf):
     rows = features.basic_features(fresh(spark, sf))
     return rounded(rows, *[c for c in rows.columns if "_roll" in c])
 
 
+@query
+def feature_matrix_basic_current(spark, sf):
+    rows = features.basic_features(fresh(spark, sf), include_current=True)
+    return rounded(rows, *[c for c in rows.columns if "_roll" in c])
+
+
 # Folds and forecasts ------------------------------------------------------
 
 
@@ -779,6 +798,26 @@ def folds(spark, sf):
     return fresh_folds(fresh(spark, sf))
 
 
+def _dry(spark, sf) -> DataFrame:
+    return rollup.prepare_track(star.daily_sales(spark, sf), "dry_monthly")
+
+
+def _monthly_folds(panel: DataFrame) -> DataFrame:
+    return fold_ops.walk_forward(panel, TRACKS["dry_monthly"].horizon, frequency="M")
+
+
+@query
+def folds_monthly(spark, sf):
+    return _monthly_folds(_dry(spark, sf))
+
+
+@query
+def eval_naive_monthly(spark, sf):
+    panel, dry = _dry(spark, sf), TRACKS["dry_monthly"]
+    found = evaluate.evaluate_naive(panel, _monthly_folds(panel), dry.horizon, dry.season_length, dry.frequency)
+    return rounded(found, *METRIC_NAMES)
+
+
 @query
 def fold_assignment(spark, sf):
     panel = fresh(spark, sf)
@@ -908,14 +947,32 @@ def gbt_importance(spark, sf):
 # Scoring ------------------------------------------------------------------
 
 
-@query
-def model_info(spark, sf):
+def _published(spark, sf) -> str:
+    """A folder with two models of the track, drift and historical mean."""
     panel = fresh(spark, sf)
     root = new_folder(spark, "models")
-    scoring.publish(
-        root, "drift", FRESH.name, panel, naive.drift(panel, FRESH.horizon), FRESH.horizon, "W"
+    for name, predictions in (
+        ("drift", naive.drift(panel, FRESH.horizon)), ("mean", naive.historical_mean(panel, FRESH.horizon))
+    ):
+        scoring.publish(root, name, FRESH.name, panel, predictions, FRESH.horizon, "W")
+    return root
+
+
+@query
+def model_info(spark, sf):
+    return scoring.model_info(spark, _published(spark, sf)).drop("trained_at")
+
+
+@query
+def score_models(spark, sf):
+    """Requests to two published models and to one that does not exist."""
+    root = _published(spark, sf)
+    names = F.explode(F.array(F.lit("drift"), F.lit("mean"), F.lit("absent")))
+    requests = _requests(spark, sf).drop("model_name").withColumn("model_name", names)
+    answered = scoring.answer(requests, scoring.published_models(spark, root), scoring.published_predictions(spark, root))
+    return answered.select(
+        "id", "horizon", "model_name", "status", "reason", "train_end", F.size("points").alias("n_points"), _points_text().alias("points")
     )
-    return scoring.model_info(spark, root)
 
 
 def _requests(spark, sf, grain: str = "brand") -> DataFrame:
@@ -927,18 +984,18 @@ def _requests(spark, sf, grain: str = "brand") -> DataFrame:
     )
 
 
+def _points_text() -> Column:
+    cells = F.transform("points", lambda p: F.concat(
+        p["date"].cast("string"), F.lit("="), F.round(p["prediction"], 6).cast("decimal(18,6)").cast("string")))
+    return F.array_join(cells, ";")
+
+
 def _scored(spark, sf, grain: str = "brand"):
     requests = scoring.check_requests(_requests(spark, sf, grain), FRESH.horizon)
     accepted = requests.filter("status = 'accepted'").drop("status", "reason")
     answered = scoring.score_batch(accepted, naive.drift(fresh(spark, sf, grain), FRESH.horizon))
-    text = F.transform(
-        "points",
-        lambda p: F.concat(
-            p["date"].cast("string"), F.lit("="), F.round(p["prediction"], 6).cast("decimal(18,6)").cast("string")
-        ),
-    )
     return answered.select(
-        "id", "horizon", "model_name", "status", F.size("points").alias("n_points"), F.array_join(text, ";").alias("points")
+        "id", "horizon", "model_name", "status", F.size("points").alias("n_points"), _points_text().alias("points")
     )
 
 

@@ -116,8 +116,11 @@ def test_load_refuses_other_things(spark, published, tmp_path):
     with pytest.raises(ValueError, match="format"):
         scoring.load(spark, published, "old")
     meta.write.parquet(f"{published}/bare/metadata")
-    assert list(scoring.scan(spark, published)) == ["drift"]
-    assert scoring.scan(spark, str(tmp_path / "absent")) == {}
+    for name in ("wrong", "old"):
+        spark.read.parquet(f"{published}/drift/predictions").write.parquet(f"{published}/{name}/predictions")
+    assert [r["model_name"] for r in scoring.published_models(spark, published).collect()] == ["drift"]
+    assert scoring.published_models(spark, str(tmp_path / "absent")).collect() == []
+    assert scoring.published_predictions(spark, str(tmp_path / "absent")).collect() == []
 
 
 def test_batch_scoring(spark, published):
