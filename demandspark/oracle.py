@@ -548,14 +548,15 @@ from (select cat_id, count(*) filter (suspicious_zero) as n_suspicious, count(*)
     q["event_type_counts"] = _sql(
         "select event_type_1, count(*) as count from calendar where event_type_1 is not null group by event_type_1"
     )
-    q["ets_coverage"] = _sql(
-        f"""select count(*) as n_total, count(*) filter (n >= {COVERAGE_MINIMUM}) as n_ets,
-       count(*) filter (n < {COVERAGE_MINIMUM}) as n_fallback,
-       round(count(*) filter (n >= {COVERAGE_MINIMUM}) / cast(count(*) as double), 6) as ets_share
+    for name, least in (("ets_coverage", COVERAGE_MINIMUM), ("ets_coverage_default", 104)):
+        q[name] = _sql(
+            f"""select count(*) as n_total, count(*) filter (n >= {least}) as n_ets,
+       count(*) filter (n < {least}) as n_fallback,
+       round(count(*) filter (n >= {least}) / cast(count(*) as double), 6) as ets_share
 from (select id, count(sales) as n from launched_track group by id)""",
-        LAUNCHED,
-        LAUNCHED_TRACK,
-    )
+            LAUNCHED,
+            LAUNCHED_TRACK,
+        )
     # exploration
     q["eda_daily_total"] = _sql("select date, cast(sum(sales) as bigint) as total_sales from daily group by date")
     dow = f"dow as (select weekday, wday, avg(sales) as avg_sales from {_DAYCAL} group by all)"

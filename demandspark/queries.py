@@ -472,6 +472,13 @@ def ets_coverage(spark, sf):
     return rounded(ets.coverage(launched, FRESH.season_length, COVERAGE_MINIMUM), "ets_share")
 
 
+@query
+def ets_coverage_default(spark, sf):
+    """With the minimum that the models use, two seasons."""
+    launched = rollup.prepare_track(_launched(spark, sf), FRESH.name)
+    return rounded(ets.coverage(launched, FRESH.season_length), "ets_share")
+
+
 # Exploration --------------------------------------------------------------
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -35,7 +37,8 @@ def require(spark: SparkSession, path: str) -> str:
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that is unset (a local session) a folder of this machine is made and set.
+    Only where that is unset (a local session, as in tests) a folder of this machine is made and set;
+    it goes when the process ends.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -47,6 +50,7 @@ def shared_folder(spark: SparkSession) -> str:
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
     folder = tempfile.mkdtemp(prefix="demandspark-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     context.setCheckpointDir(folder)
     return folder
 
