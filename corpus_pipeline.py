@@ -1,11 +1,13 @@
 """From raw documents to token files: quality, near-duplicates, decontamination, mixing, token ids.
 
 Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame. All but the last return the columns
-of ``documents``. Decisions are carried by ``doc_id``: where it repeats, rows of one id share the
-verdict of the worst of them; rows without an id share one verdict as well.
+of ``documents``. Decisions are carried per row: the first three stages store their input with a row key
+and hand that key to the operator as its id, so rows that share a ``doc_id``, or have none, are judged
+one by one.
 
 * quality: documents scored below 0.3 go.
-* near_dedup: of each component of linked fingerprints the document with the smallest id stays.
+* near_dedup: of each component of linked fingerprints one row stays, that with the smallest id (rows
+  without an id come last); of several such rows the one with the smallest hash of all columns.
 * decontaminate: documents with words inside a benchmark window go.
 * mix: every document appears once for each pass of its source that takes some of it.
 * tokens: ids of every row in ascending order of ``doc_id``, as read back from the written files.
@@ -24,25 +26,49 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 2
 
 
-def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id is not among the ids of ``rejected``."""
-    ids = rejected.select(F.col("doc_id").alias("rejected_id")).distinct()
-    return docs.join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col("rejected_id")), "left_anti")
+#: Key of a row within a stage.
+ROW = "_stage_row"
+LEAST_SCORE = 0.3
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` stored with a key of their own."""
+    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
+def texts(rows: DataFrame) -> DataFrame:
+    """Row keys in place of ids, so that an operator answers row by row."""
+    return rows.select(F.col(ROW).alias("doc_id"), "text")
+
+
+def without(rows: DataFrame, rejected: DataFrame) -> DataFrame:
+    """Rows whose key is not among the ``doc_id`` of ``rejected``."""
+    keys = rejected.select(F.col("doc_id").alias("rejected_row"))
+    return rows.join(keys, F.col(ROW) == F.col("rejected_row"), "left_anti").drop(ROW)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    verdicts = stored(quality.judged(docs, table(spark, sf_dir, "labels")), "quality")
-    return without(docs, verdicts.where("predicted = 0"))
+    rows = keyed(docs)
+    model = quality.fit(rows, table(spark, sf_dir, "labels"), quality.HELD_OUT)
+    scores = stored(quality.score(texts(rows), model), "quality")
+    return without(rows, scores.where(F.col("score") < LEAST_SCORE))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(docs)
-    return without(docs, found.where("doc_id <> component_id OR doc_id IS NULL AND component_id IS NOT NULL"))
+    rows = keyed(docs)
+    found = simhash.near_duplicates(texts(rows)).select(F.col("doc_id").alias("found_row"), "component_id")
+    number = F.col("doc_id").cast("long")
+    rank = F.struct(number.isNull().alias("last"), number.alias("number"), F.xxhash64(*docs.columns).alias("mark"), F.col(ROW).alias("kept_row"))
+    ranks = rows.select(ROW, rank.alias("rank"))
+    best = found.join(ranks, F.col("found_row") == F.col(ROW)).groupBy("component_id").agg(F.min("rank").alias("best"))
+    kept = stored(best.select("best.kept_row"), "kept")
+    return rows.join(kept, F.col(ROW) == F.col("kept_row"), "left_semi").drop(ROW)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = stored(decontamination.contamination(docs, table(spark, sf_dir, "benchmark")), "contamination")
-    return without(docs, found.where("contaminated"))
+    rows = keyed(docs)
+    found = stored(decontamination.contamination(texts(rows), table(spark, sf_dir, "benchmark")), "contamination")
+    return without(rows, found.where("contaminated"))
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
