@@ -9,8 +9,9 @@ least nested linked passage. Threads follow from the replies inside a conversati
 the thread of what it replies to, and ``conv_id, thread, turn`` is an order in which every reply
 follows its original and threads stay together. All of it is DataFrame and SQL functions.
 
-Both joins meet one original per key, found by pre-aggregation, so a phrase in a third of all messages
-makes no pairs. Threads are found by pointer jumping on message keys, no conversation is gathered.
+Of other conversations the join meets the first messages of the two smallest that say a key, found by
+pre-aggregation: one of them is not the quoter's own. So a phrase in a third of all messages makes no
+pairs across conversations. Threads are found by pointer jumping on message keys, no conversation is gathered.
 
 Defined cases: a null text is an empty message. Rows that repeat ``conv_id`` and ``turn`` keep their own
 text and links, and share the thread of the one with the smallest original. Messages
@@ -20,7 +21,7 @@ empty results, further columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from demandspark.llm.tables import SPACES, stored
@@ -89,9 +90,15 @@ def linked(messages: DataFrame) -> DataFrame:
         said.select("conv_id", F.col("turn").alias("from_turn"), "hash").distinct(), ["conv_id", "hash"]
     )
     near = near.where("from_turn < turn").groupBy("conv_id", "turn", "hash").agg(F.max("from_turn").alias("from_turn"))
-    far = said.groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
+    # other conversations: the first messages of the two that come first, so one is not the quoter's own
+    firsts = said.groupBy("hash", "conv_id").agg(F.min("turn").alias("turn"))
+    place = F.row_number().over(Window.partitionBy("hash").orderBy(F.col("conv_id").asc_nulls_last()))
+    firsts = firsts.withColumn("place", place).where("place <= 2")  # Spark cuts each task's groups to two before the exchange
+    pick = lambda k: F.min(F.when(F.col("place") == k, F.struct("conv_id", "turn")))
+    far = firsts.groupBy("hash").agg(pick(1).alias("first"), pick(2).alias("second"))
     found = quotes.join(near, ["conv_id", "turn", "hash"], "left").join(far, "hash", "left")
-    elsewhere = F.when(F.col("first.conv_id") != F.col("conv_id"), F.col("first"))
+    away = lambda c: F.when(F.col(f"{c}.conv_id") != F.col("conv_id"), F.col(c))
+    elsewhere = F.coalesce(away("first"), away("second"))
     origin = F.when(F.col("from_turn").isNotNull(), F.struct("conv_id", F.col("from_turn").alias("turn"))).otherwise(elsewhere)
     replies = found.withColumn("origin", origin).where("origin IS NOT NULL").groupBy("conv_id", "turn", "copy").agg(
         F.min(F.struct("level", (F.col("origin.conv_id") != F.col("conv_id")).alias("away"),

@@ -96,6 +96,29 @@ def test_against_brute_force(spark):
     assert sql == sorted(map(tuple, got.values()))
 
 
+def test_other_conversations_when_the_quoters_own_comes_first(spark):
+    rows = [
+        (1, 0, "user", "> ask me\nask me"),  # says what it quotes in the same turn
+        (1, 1, "user", "> later on\nhm"), (1, 2, "user", "later on"),  # repeats a quote in a later turn
+        (2, 3, "user", "ask me"), (2, 5, "user", "ask me"), (3, 0, "user", "ask me"),
+        (4, 0, "user", "> ask me\nwhy"),
+        (5, 0, "user", "> only here\nso"), (5, 1, "user", "only here"),  # nobody else says it
+        (9, 4, "user", "later on"),
+    ]
+    got = {k: (r.reply_conv, r.reply_turn) for k, r in found(spark, rows).items()}
+    assert got[1, 0] == (2, 3) and got[1, 1] == (9, 4) and got[4, 0] == (1, 0) and got[5, 0] == (None, None)
+    rng = random.Random(4)
+    phrases = [f"phrase {k}" for k in range(6)]
+    rows = [(c, t, "user", f"> {rng.choice(phrases)}\n{rng.choice(phrases)}") for c in range(12) for t in range(3)]
+    for (conv, turn), r in found(spark, rows).items():
+        quote = next(x for c, t, _, x in rows if (c, t) == (conv, turn)).split("\n")[0][2:]
+        says = [(c, t) for c, t, _, x in rows if x.split("\n")[1] == quote]
+        earlier = [k for k in says if k[0] == conv and k[1] < turn]
+        others = [k for k in says if k[0] != conv]
+        want = max(earlier) if earlier else min(others, default=(None, None))
+        assert (r.reply_conv, r.reply_turn) == want
+
+
 def test_a_phrase_everybody_says_and_quotes(spark):
     rows = [(c, t, "user", "common phrase" if t == 0 else "> common phrase\nand more") for c in range(300) for t in range(3)]
     got = found(spark, rows)
