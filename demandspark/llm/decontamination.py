@@ -10,7 +10,8 @@ Words are compared as such, not as hashes, so a phrase match needs no second loo
 Test items reach the tasks in blocks of at most ``block_bytes`` of text, whatever their number.
 
 Defined cases: null and empty texts, and texts without words, have ``n_words`` 0 and no match. An item
-without words has no window; an item shorter than a window is one window. Repeated documents are
+without words has no window; an item shorter than a window is one window. An item without an id is searched
+like any other, so its words count in ``n_hit`` and the verdict, but it is in no list of items. Repeated documents are
 indexed and answered one by one, repeated items count as often as their distinct ids. Empty tables give
 empty results. Further columns are ignored.
 """
@@ -113,20 +114,22 @@ class Windows:
     items: list[str]
 
 
-def test_windows(items: list[tuple[str, str]], size: int) -> Windows:
-    """All windows of ``size`` consecutive words of the items (id, text)."""
+def test_windows(items: list[tuple[str | None, str]], size: int) -> Windows:
+    """All windows of ``size`` consecutive words of the items (id, text); those without id own none."""
     data, offsets = utf8(pa.array([t for _, t in items], pa.string()))
     data = LOWER[data]
     mask = ALPHANUMERIC[data]
     begin, end, first = word_spans(mask, offsets)
     codes, words = dictionary_of(data, mask, end - begin)
-    names = sorted({i for i, _ in items})
+    names = sorted({i for i, _ in items if i is not None})
     number = {n: k for k, n in enumerate(names)}
     found: dict[tuple[int, ...], set[int]] = {}
     for k, (name, _) in enumerate(items):
         own = codes[first[k] : first[k + 1]].tolist()
         for a in range(max(1, len(own) - size + 1) if own else 0):
-            found.setdefault(tuple(own[a : a + size]), set()).add(number[name])
+            owners = found.setdefault(tuple(own[a : a + size]), set())
+            if name is not None:
+                owners.add(number[name])
     rows = np.full((len(found), size), -1, np.int64)
     for k, w in enumerate(found):
         rows[k, : len(w)] = w
@@ -227,14 +230,14 @@ def search(
         raise ValueError(f"window and distance must be below {GAP}")
     spark = segments.sparkSession
     tests = items.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text"))
-    tests = tests.where("item IS NOT NULL AND text IS NOT NULL")
+    tests = tests.where("text IS NOT NULL").distinct()
     total, longest = tests.agg(F.sum(F.octet_length("text")), F.max(F.octet_length("text"))).first()
     if (longest or 0) > block_bytes:
         raise ValueError("a test item is longer than a block")
     blocks = max(1, math.ceil(2 * (total or 0) / block_bytes))
     parts = []
-    for k in range(blocks):  # a block: about half of block_bytes, by hash of the item
-        own = tests.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k) if blocks > 1 else tests
+    for k in range(blocks):  # a block: about half of block_bytes, by hash of item and text
+        own = tests.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k) if blocks > 1 else tests
         probe = spark.sparkContext.broadcast(test_windows([tuple(r) for r in own.collect()], window))
 
         def ask(batches, probe=probe):

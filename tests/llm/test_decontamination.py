@@ -71,6 +71,22 @@ def test_blocks_and_small_segments_change_nothing(spark):
     ]
 
 
+def test_items_without_an_id_are_searched_but_not_listed(spark):
+    own = [f"w{k}" for k in range(30)]
+    docs = spark.createDataFrame([(1, " ".join(own)), (2, " ".join(own[:14])), (3, "nothing of it")], "doc_id long, text string")
+    rows = [(None, " ".join(own[18:])), (None, " ".join(own[18:])), (None, "not there"), (7, " ".join(own[:12]))]
+    items = spark.createDataFrame(rows, "item_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in op.contamination(docs, items).collect()}
+    digest = [hashlib.sha256(x).hexdigest() for x in (b"", b"7")]
+    assert got == {1: (24, 1, digest[1], True), 2: (12, 1, digest[1], True), 3: (0, 0, digest[0], False)}
+    got = {r.doc_id: (r.n_hit, r.n_items, r.items_sha256) for r in op.contamination(docs, items.where("item_id IS NULL")).collect()}
+    assert got == {1: (12, 0, digest[0]), 2: (0, 0, digest[0]), 3: (0, 0, digest[0])}
+    pieces = op.search(op.index(docs), items, block_bytes=80).collect()  # several blocks
+    assert {r.doc_id: ([tuple(s) for s in r.spans], r["items"]) for r in pieces} == {
+        1: ([(0, 12), (18, 30)], ["7"]), 2: ([(0, 12)], ["7"]), 3: ([], []),
+    }
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "x quick a brown b fox y"), (2, "fox quick q q q q q brown"), (3, "quick brown")], "doc_id long, text string")
     items = spark.createDataFrame([(7, "quick brown fox")], "item_id long, text string")
