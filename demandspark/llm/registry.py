@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from demandspark.llm import (
-    decontamination, exact_dedup, language, mixing, quality, quotations, secrets, simhash, token_counts, token_files,
+    decontamination, exact_dedup, language, mixing, quality, quotations, secrets, simhash, spelling, token_counts, token_files,
+    warc, whitening,
 )
 from demandspark.llm.tables import table
 
@@ -60,6 +61,18 @@ def op10_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return found.drop("spans")
 
 
+def op11_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf, "embeddings"))
+
+
+def op12_spelling(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling.variants(table(spark, sf, "documents"))
+
+
+def op13_warc(spark: SparkSession, sf: str) -> DataFrame:
+    return warc.archived(table(spark, sf, "pages"))
+
+
 def registered() -> dict[str, Query]:
     return {
         "op1_quality": op1_quality,
@@ -72,6 +85,9 @@ def registered() -> dict[str, Query]:
         "op8_mixing": op8_mixing,
         "op9_simhash": op9_simhash,
         "op10_decontamination": op10_decontamination,
+        "op11_whitening": op11_whitening,
+        "op12_spelling": op12_spelling,
+        "op13_warc": op13_warc,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -82,4 +98,6 @@ def statements() -> dict[str, str]:
         "op3_quotations": quotations.LINKED_SQL,
         "op4_exact_dedup": exact_dedup.EXACT_SQL,
         "op10_decontamination": decontamination.CONTAMINATION_SQL,
+        "op12_spelling": spelling.VARIANTS_SQL,
+        "op13_warc": warc.ARCHIVED_SQL,
     }

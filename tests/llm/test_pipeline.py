@@ -88,5 +88,5 @@ def test_quality_and_decontamination_judge_rows_not_ids(spark):
 
 def test_registered():
     names = contract.queries()
-    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
     assert corpus_pipeline.ORACLE_SQL is None and set(contract.oracle_sql()) <= set(names)
