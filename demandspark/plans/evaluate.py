@@ -93,27 +93,14 @@ def evaluate_ets(
 
 
 def evaluate_boosted(matrix: DataFrame, folds: DataFrame, forecaster: BoostedForecaster) -> DataFrame:
-    """Refit per fold. The loop is over folds (a handful); each fit is a Spark job."""
-    matrix = matrix.persist()
-    parts = []
-    for fold in folds.orderBy("fold_id").collect():
-        train = matrix.filter(F.col("date") <= fold["train_end"])
-        test = matrix.filter(F.col("date").between(fold["test_start"], fold["test_end"]))
-        if train.isEmpty() or test.isEmpty():
-            continue
-        predictions = forecaster.fit(train).predict()
-        parts.append(
-            score(
-                test.withColumn("fold_id", F.lit(fold["fold_id"])),
-                predictions.withColumns(
-                    {"fold_id": F.lit(fold["fold_id"]), "model_name": F.lit(forecaster.name)}
-                ),
-                ["model_name", "fold_id"],
-            )
-        )
-    if not parts:
+    """All folds are fitted in the same passes over the rows; folds without training or test rows drop out."""
+    fitted = forecaster.fit_folds(matrix, folds)
+    if not fitted:
         raise ValueError("no fold has both training and test rows")
-    return describe_folds(stack(parts), folds)
+    test = assign_folds(matrix.select("id", "date", "sales"), folds).filter("role = 'test'")
+    predictions = stack([f.predict().withColumn("fold_id", F.lit(k)) for k, f in fitted.items()])
+    named = predictions.withColumn("model_name", F.lit(forecaster.name))
+    return describe_folds(score(test, named, ["model_name", "fold_id"]), folds)
 
 
 def stack(parts: Iterable[DataFrame]) -> DataFrame:

@@ -1,10 +1,14 @@
 import dataclasses
 import random
+from datetime import timedelta
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from demandspark.operators import windows
-from demandspark.operators.boosting import BoostedForecaster, BoostingSettings, load_models
+from demandspark.operators import folds, windows
+from demandspark.operators.boosting import BoostedForecaster, BoostingSettings, binned, grow, load_models
+from demandspark.plans import evaluate
 from helpers import MONDAY, panel
 
 FEATURES = ["sales_lag_1", "sales_lag_4", "month"]
@@ -88,10 +92,89 @@ def test_forecasts_do_not_depend_on_partitions(spark, objective):
     assert all(found[0][k] == pytest.approx(found[1][k], rel=1e-9) for k in found[0])
 
 
-def test_tweedie_ensemble_can_be_stored(spark, tmp_path):
-    fitted = BoostedForecaster(FEATURES, 1, "tweedie", settings=QUICK).fit(matrix(spark, {"X": range(60)}))
-    assert len(fitted.models[1].stages) == 2
+def test_models_can_be_stored(spark, tmp_path):
+    fitted = BoostedForecaster(FEATURES, 2, "tweedie", settings=QUICK).fit(matrix(spark, {"X": range(60)}))
     fitted.save_models(str(tmp_path))
-    want = [r["prediction"] for r in fitted.predict().collect()]
+    want = [r["prediction"] for r in fitted.predict().orderBy("date").collect()]
     fitted.models = load_models(spark, str(tmp_path))
-    assert [r["prediction"] for r in fitted.predict().collect()] == want
+    assert [r["prediction"] for r in fitted.predict().orderBy("date").collect()] == want
+
+
+def slow_trees(rows, objective, s, base):
+    """The same boosting by sorting, row by row: ``rows`` are (features, target)."""
+    x, y = np.array([r[0] for r in rows], float), np.array([r[1] for r in rows], float)
+    margin = np.full(len(y), base)
+
+    def grow(use, g, h, depth):
+        best, whole = None, g[use].sum() ** 2 / h[use].sum()
+        for j in range(x.shape[1]) if depth < s.max_depth else ():
+            for v in np.unique(x[use, j])[:-1]:
+                low, high = use & (x[:, j] <= v), use & (x[:, j] > v)
+                if min(low.sum(), high.sum()) < s.min_rows:
+                    continue
+                gain = g[low].sum() ** 2 / h[low].sum() + g[high].sum() ** 2 / h[high].sum() - whole
+                if gain > 1e-9 and (best is None or gain > best[0] + 1e-9):
+                    best = (gain, low, high)
+        if best is None:
+            margin[use] -= s.step_size * g[use].sum() / h[use].sum()
+            return
+        grow(best[1], g, h, depth + 1)
+        grow(best[2], g, h, depth + 1)
+
+    for _ in range(s.rounds):
+        if objective == "l2":
+            g, h = margin - y, np.ones(len(y))
+        else:
+            low, high = np.exp(-0.5 * margin), np.exp(0.5 * margin)
+            g, h = high - y * low, 0.5 * high + 0.5 * y * low
+        grow(np.ones(len(y), bool), g, h, 0)
+    return np.exp(margin) if objective == "tweedie" else margin
+
+
+@pytest.mark.parametrize("objective", ["l2", "tweedie"])
+def test_trees_against_a_plain_loop(spark, objective):
+    rng = np.random.default_rng(6)
+    n, settings = 300, dataclasses.replace(QUICK, max_depth=4, min_rows=7, row_fraction=1.0, feature_fraction=1.0, checkpoint_rounds=2)
+    a, b = rng.integers(0, 12, n), rng.integers(0, 6, n)
+    y = a * 2 + (b > 3) * 10 + rng.integers(0, 5, n)
+    rows = [(f"S{i % 7}", MONDAY + timedelta(days=i), float(a[i]), float(b[i]), float(y[i]), None if i % 3 else float(y[i])) for i in range(n)]
+    df = spark.createDataFrame(rows, "id string, date date, a double, b double, t1 double, t2 double").repartition(5)
+    found = grow(df, ["a", "b"], ["t1", "t2"], objective, settings)
+    for name, kept in (("t1", rows), ("t2", [r for r in rows if r[5] is not None])):
+        base = float(np.mean([r[4] for r in kept]))
+        want = slow_trees([(r[2:4], r[4]) for r in kept], objective, settings, np.log(base) if objective == "tweedie" else base)
+        model = found[name]
+        got = model.predict(binned(np.array([r[2:4] for r in kept]), model.edges))
+        assert np.allclose(got, want, rtol=1e-5, atol=1e-5)
+        assert model.gains.min() > 0
+
+
+def test_absolute_loss_follows_medians(spark):
+    rows = [(f"S{k}", MONDAY + timedelta(days=i), float(k), 1000.0 if i % 5 == 0 else 10.0 * k) for k in range(1, 5) for i in range(50)]
+    df = spark.createDataFrame(rows, "id string, date date, a double, t double")
+    settings = dataclasses.replace(QUICK, rounds=30, step_size=0.3)
+    model = grow(df, ["a"], ["t"], "l1", settings)["t"]
+    got = model.predict(binned(np.array([[1.0], [2.0], [3.0], [4.0]]), model.edges))
+    assert np.allclose(got, [10, 20, 30, 40], atol=1.0)
+
+
+def test_folds_share_their_passes_and_do_not_look_ahead(spark):
+    rng = random.Random(4)
+    series = {f"S{k}": [rng.randrange(1, 9) + (i + k) % 4 for i in range(60)] for k in range(6)}
+    m = matrix(spark, series).persist()
+    table = folds.walk_forward(m, 14, n_folds=2)
+    forecaster = BoostedForecaster(FEATURES, 2, "l2", target_correction="rolling_mean", settings=QUICK)
+    together = forecaster.fit_folds(m, table)
+    ends = {r["fold_id"]: r["train_end"] for r in table.collect()}
+    assert together.keys() == ends.keys()
+    for k, end in ends.items():
+        got = {(r["id"], r["date"]): r["prediction"] for r in together[k].predict().collect()}
+        assert len(got) == 12 and min(d for _, d in got) == end + timedelta(days=7)
+    # rows after a fold's end change nothing
+    first = min(ends)
+    changed = m.withColumn("sales", F.when(F.col("date") > ends[first], F.lit(1e6)).otherwise(F.col("sales")))
+    again = forecaster.fit_folds(changed, table)[first].predict().orderBy("id", "date").collect()
+    assert again == together[first].predict().orderBy("id", "date").collect()
+    found = evaluate.evaluate_boosted(m, table, forecaster).collect()
+    assert sorted(r["fold_id"] for r in found) == sorted(ends) and all(r["n_obs"] == 12 for r in found)
+    m.unpersist()
