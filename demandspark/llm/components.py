@@ -20,21 +20,20 @@ def _stars(edges: DataFrame) -> DataFrame:
     return tied.unionByName(near.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``node, component`` (smallest node of the component) for all nodes that an edge ``u, v`` names.
 
     The edges stay distributed; a node with many neighbours is pre-aggregated by map tasks and its
-    edges are joined, not gathered. Raises if ``rounds`` are not enough (they grow with the log of the
-    longest chain).
+    edges are joined, not gathered. The rounds go on until nothing changes; they grow with the log of the
+    longest chain.
     """
     edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
     edges = stored(edges, "links")
     mark = None
-    for _ in range(rounds):
+    while True:
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             labels = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
             return labels.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         mark = now
         edges = stored(_stars(edges), "links")
-    raise RuntimeError(f"components did not settle in {rounds} rounds")

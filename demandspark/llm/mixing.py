@@ -9,8 +9,9 @@ source is spread over the shards as a random shuffle of all draws would spread i
 all draws is needed. Every shard takes its own disjoint run of each source's permuted draws and orders
 its draws by another hash.
 
-Places in the permuted order come from sums over hash ranges, so a source with a third of all rows is
-spread over as many tasks as its blocks need. Only sizes, never texts, are shuffled to plan the mix.
+Places in the permuted order come from sums over hash ranges (in two levels), so a source with a third of
+all rows is spread over as many tasks as its blocks need. A block is taken because its place lies in some
+shard's run: draws are the join of places and runs. Only sizes, never texts, are shuffled to plan the mix.
 All of it is DataFrame and SQL functions.
 
 Defined cases: a null text has no word; a null source is a source of its own, last in order. Equal rows
@@ -33,6 +34,8 @@ WEIGHTS = (5, 2, 1)
 MOST_PASSES = 3
 #: Blocks of one hash range, and draws of one output shard, on average at most.
 RANGE_BLOCKS, SHARD_DRAWS = 512, 65536
+#: Places of the permuted order that share a join key; ranges in a group (as bits).
+STRETCH, GROUP_BITS = 4096, 12
 SEED = 20_240_501
 KEY = ["doc_id", "source", "size", "mark"]
 
@@ -196,13 +199,7 @@ def draws(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST
     blocks = blocks.withColumn("range", F.shiftrightunsigned("h", 64 - bits))
     full = F.col("block").isNotNull()
     sums = blocks.groupBy("number", "range").agg(F.sum("held").alias("range_words"), F.count(F.when(full, 1)).alias("range_blocks"))
-    before = Window.partitionBy("number").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
-    sums = sums.select(
-        "number", "range",
-        F.coalesce(F.sum("range_words").over(before), F.lit(0)).alias("words_before"),
-        F.coalesce(F.sum("range_blocks").over(before), F.lit(0)).alias("blocks_before"),
-        F.sum("range_blocks").over(Window.partitionBy("number")).alias("source_blocks"),
-    )
+    sums = before_ranges(stored(sums, "ranges"))
     inside = Window.partitionBy("number", "range").orderBy("h", *KEY, "copy", "block")
     earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select(
@@ -216,23 +213,58 @@ def draws(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST
     blocks = stored(blocks.drop("range", "words_before", "words_here", "blocks_before", "blocks_here", "rest", "h"), "blocks")
 
     taken = F.when(F.col("block").isNull(), 0).otherwise(F.col("passes") + F.when(F.col("part") > 0, 1).otherwise(0))
-    quotas = blocks.groupBy("number").agg(F.sum(taken).alias("quota"))
-    quotas = plan.select("number").join(quotas, "number", "left").select("number", F.coalesce("quota", F.lit(0).cast("long")).alias("quota"))
-    dealt = split_tree(quotas, shards).select("shard", F.posexplode("counts").alias("number", "n"))
-    ends = F.sum("n").over(Window.partitionBy("number").orderBy("shard"))  # a row a shard
-    ends = dealt.select("number", "shard", ends.alias("end")).groupBy("number").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("shard", "end"))), lambda s: s["end"]).alias("ends")
-    )
-    drawn = blocks.join(ends, "number").withColumn(
-        "pass", F.explode_outer(F.when(taken > 0, F.sequence(F.lit(0).cast("long"), taken - 1)))
+    quotas = blocks.groupBy("number").agg(F.sum(taken).alias("quota"), F.max("source_blocks").alias("source_blocks"))
+    quotas = plan.select("number").join(quotas, "number", "left").select(
+        "number", F.coalesce("quota", F.lit(0).cast("long")).alias("quota"), F.coalesce("source_blocks", F.lit(0).cast("long")).alias("source_blocks")
     )
+    quotas = stored(quotas, "quotas")
+    runs = shard_runs(quotas, shards)
+    # every place of the permuted order, pass by pass, that a shard's run can reach
+    reach = blocks.where(full).join(quotas.select("number", "quota"), "number")
     turn = F.col("pass") * F.col("source_blocks") + F.col("place")
-    return drawn.select(
+    reach = reach.withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), "passes"))).withColumn("at", turn)
+    reach = reach.withColumn("stretch", F.floor(F.col("at") / STRETCH).cast("long"))
+    met = (reach["number"] == runs["of"]) & (reach["stretch"] == runs["part_of"]) & (reach["at"] >= runs["start"]) & (reach["at"] < runs["end"])
+    drawn = reach.join(runs, met).select(
         *KEY, "copy", "source_size", "target", "block", "pass",
-        F.when(F.col("pass").isNull(), 0).when(F.col("pass") < F.col("passes"), F.col("held")).otherwise(F.col("part")).alias("words"),
-        F.when(F.col("pass").isNotNull(), F.size(F.filter("ends", lambda e: e <= turn))).alias("shard"),
-        F.xxhash64(F.lit(SEED + 1), "number", turn).alias("turn"),
+        F.when(F.col("pass") < F.col("passes"), F.col("held")).otherwise(F.col("part")).alias("words"),
+        "shard", F.xxhash64(F.lit(SEED + 1), "number", "at").alias("turn"),
+    )
+    none = F.lit(None)
+    rest = blocks.where(~F.coalesce(full, F.lit(False)) | (taken == 0)).select(
+        *KEY, "copy", "source_size", "target", "block", none.cast("long").alias("pass"), F.lit(0).cast("long").alias("words"),
+        none.cast("int").alias("shard"), none.cast("long").alias("turn"),
     )
+    return drawn.unionByName(rest)
+
+
+def before_ranges(sums: DataFrame) -> DataFrame:
+    """Words and blocks of a source before each of its hash ranges, in two levels: no task sorts all
+    ranges of a source, only groups of ranges and the ranges of one group."""
+    group = F.shiftright("range", GROUP_BITS).alias("group")
+    totals = sums.groupBy("number", group).agg(F.sum("range_words").alias("w"), F.sum("range_blocks").alias("b"))
+    earlier = Window.partitionBy("number").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+    zero = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    totals = totals.select(
+        "number", "group", zero("w", earlier).alias("w_before"), zero("b", earlier).alias("b_before"),
+        F.sum("b").over(Window.partitionBy("number")).alias("source_blocks"),
+    )
+    inner = Window.partitionBy("number", "group").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    placed = sums.withColumn("group", group).select("*", zero("range_words", inner).alias("w_here"), zero("range_blocks", inner).alias("b_here"))
+    return placed.join(totals, ["number", "group"]).select(
+        "number", "range", (F.col("w_before") + F.col("w_here")).alias("words_before"), (F.col("b_before") + F.col("b_here")).alias("blocks_before"), "source_blocks"
+    )
+
+
+def shard_runs(quotas: DataFrame, shards: int) -> DataFrame:
+    """What the tree deals: for each shard and source its run ``start`` to ``end`` (excluded) of the source's
+    permuted draws, once for every stretch of ``STRETCH`` places that it meets, as a key for joins."""
+    dealt = split_tree(quotas.select("number", "quota"), shards).select("shard", F.posexplode("counts").alias("number", "n"))
+    end = F.sum("n").over(Window.partitionBy("number").orderBy("shard"))  # a row a shard
+    runs = dealt.select("number", "shard", "n", end.alias("end")).where("n > 0").withColumn("start", F.col("end") - F.col("n"))
+    first, last = (F.floor(c / STRETCH).cast("long") for c in (F.col("start"), F.col("end") - 1))
+    runs = runs.select(F.col("number").alias("of"), "shard", "start", "end", F.explode(F.sequence(first, last)).alias("part_of"))
+    return stored(runs, "runs")
 
 
 def shard_files(drawn: DataFrame, path: str) -> None:
@@ -242,33 +274,47 @@ def shard_files(drawn: DataFrame, path: str) -> None:
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """``doc_id, size, source_size, target, taken`` of every row of ``docs``."""
+    """``doc_id, size, source_size, target, taken`` of every row of ``docs``, with ``n_draws`` and the ``shards``
+    (ascending, comma-joined) whose runs of draws hold its words."""
     drawn = draws(sized(docs), **options)
     return drawn.groupBy(*KEY, "copy").agg(
-        F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum("words").cast("long").alias("taken")
-    ).select("doc_id", "size", "source_size", "target", "taken")
+        F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum("words").cast("long").alias("taken"),
+        F.count("pass").alias("n_draws"), F.array_join(F.array_sort(F.collect_set("shard")), ",").alias("shards"),
+    ).select("doc_id", "size", "source_size", "target", "taken", "n_draws", "shards")
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The rows of the mix with the columns of ``docs``: each document once for every pass that takes
-    some of it, with the blocks taken (in their order) as its text."""
+    """The rows of the mix with the columns of ``docs``: each row once for every pass that takes some of it,
+    with the blocks taken (in their order) as its text.
+
+    Texts meet the pieces that the shards drew by one hash of id, source, size and text; whole rows are
+    never grouped. Equal rows, which are few or equal in all that matters, are numbered first.
+    """
     names = docs.columns
-    text = F.coalesce(F.col("text"), F.lit(""))
-    own = docs.select(
-        F.struct(*names).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-        F.regexp_count(text, F.lit(f"[^{SPACES}]+")).cast("long").alias("size"), F.xxhash64("text").alias("mark"),
-    ).groupBy(*KEY).agg(F.first("row").alias("row"))
-    parts = draws(sized(docs), **options).where("words > 0").groupBy(*KEY, "copy", "pass").agg(
+    sizes = stored(sized(docs), "sizes")
+    key = F.xxhash64(*(F.col(f"key_{k}") for k in KEY))
+    rows = docs.select(
+        F.struct(*names).alias("row"), F.col("doc_id").cast("long").alias("key_doc_id"), F.col("source").cast("string").alias("key_source"),
+        F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(f"[^{SPACES}]+")).cast("long").alias("key_size"),
+        F.xxhash64("text").alias("key_mark"), F.xxhash64(*names).alias("order"),
+    ).withColumn("key_of", key)
+    repeated = stored(sizes.where("copies > 1").select(F.xxhash64(*KEY).alias("key_of")).distinct(), "repeated")
+    numbered = Window.partitionBy("key_of").orderBy("order")
+    rows = rows.join(repeated, "key_of", "left_anti").withColumn("key_copy", F.lit(1)).unionByName(
+        rows.join(repeated, "key_of", "left_semi").withColumn("key_copy", F.row_number().over(numbered))
+    )
+    parts = draws(sizes, **options).where("words > 0").groupBy(*KEY, "copy", "pass").agg(
         F.array_sort(F.collect_list(F.struct("block", "words"))).alias("pieces"), F.sum("words").alias("taken")
     )
-    parts = parts.groupBy(*KEY).agg(F.collect_list(F.struct("pieces", "taken")).alias("parts"))
-    renamed = parts.select(*(F.col(k).alias(f"key_{k}") for k in KEY), "parts")
-    same = [F.col(k).eqNullSafe(F.col(f"key_{k}")) for k in KEY]
-    rows = own.join(renamed, same).select("row", "size", F.explode("parts").alias("part"))
+    parts = parts.select(
+        F.xxhash64(*KEY).alias("part_of"), F.struct(*KEY, "copy").alias("part_key"), F.struct("pieces", "taken").alias("part")
+    )
+    whole = F.struct(*(F.col(f"key_{k}").alias(k) for k in KEY), F.col("key_copy").alias("copy"))
+    met = rows.join(parts, (F.col("key_of") == F.col("part_of")) & whole.eqNullSafe(F.col("part_key")))
     words = F.regexp_extract_all("row.text", F.lit(f"[^{SPACES}]+[{SPACES}]*"), 0)
     cut = F.array_join(
-        F.transform("part.pieces", lambda p: F.array_join(F.slice("words", p["block"] * BLOCK + 1, p["words"].cast("int")), "")), ""
+        F.transform("part.pieces", lambda p: F.array_join(F.slice("part_words", p["block"] * BLOCK + 1, p["words"].cast("int")), "")), ""
     )
-    rows = rows.withColumn("words", F.when(F.col("part.taken") < F.col("size"), words))
-    whole = F.when(F.col("part.taken") < F.col("size"), cut).otherwise(F.col("row.text"))
-    return rows.select(*(whole.alias(c) if c == "text" else F.col(f"row.{c}") for c in names))
+    met = met.withColumn("part_words", F.when(F.col("part.taken") < F.col("key_size"), words))
+    text = F.when(F.col("part.taken") < F.col("key_size"), cut).otherwise(F.col("row.text"))
+    return met.select(*(text.alias(c) if c == "text" else F.col(f"row.{c}") for c in names))

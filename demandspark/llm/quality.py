@@ -162,6 +162,21 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return ids_and_texts(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, difference double, score double")
 
 
+def passing(docs: DataFrame, model: Model, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score at least ``least``; nothing is shuffled or stored."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = shared.value.compressors()
+        for batch in small_batches(batches, text_col):
+            data, at = utf8(batch.column(text_col))
+            raw = data.tobytes()
+            found = np.array([features(raw[a:b], pairs) for a, b in zip(at[:-1], at[1:], strict=True)], float)
+            yield batch.filter(pa.array(shared.value.score(found) >= least))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 #: Rows never learned from.
 HELD_OUT = "coalesce(pmod(crc32(cast(cast(doc_id AS string) AS binary)), 5) = 0, false)"
 

@@ -32,7 +32,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from demandspark.llm.components import components
-from demandspark.llm.tables import BETWEEN_SPACES, LOWER, ids_and_texts, small_batches, stored, utf8, word_spans
+from demandspark.llm.tables import BETWEEN_SPACES, LOWER, ids_and_texts, join_spread, small_batches, stored, utf8, word_spans
+from demandspark.sources.storage import shuffle_partitions
 
 #: First bit and width of the three segments.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -137,7 +138,9 @@ def with_keys(classes: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.concatenate(own))], [*rows.schema.names, "key"])
 
     names = ", ".join(f"{c} {t}" for c, t in classes.dtypes)
-    return classes.mapInArrow(run, f"{names}, key bigint")
+    # a stored table of few files would be few tasks, while every row becomes some 70
+    spread = classes.repartition(shuffle_partitions(classes.sparkSession), "simhash")
+    return spread.mapInArrow(run, f"{names}, key bigint")
 
 
 def distance(a: Column | str, b: Column | str) -> Column:
@@ -183,13 +186,13 @@ def linked_classes(marks: DataFrame, most: int = 4) -> DataFrame:
     second = second.unionByName(third).distinct()
     joint = components(second).select(F.col("node").alias("label"), "component")
 
-    merged = labelled.join(joint, "label", "left").select("simhash", F.coalesce("component", "label").alias("label"))
-    merged = merged.join(classes, "simhash")
-    smallest = merged.groupBy("label").agg(F.min("doc").alias("component_id"))
-    return stored(merged.join(smallest, "label").select("simhash", "component_id"), "components")
+    joint = stored(labelled.select("label").distinct().join(joint, "label", "left").select("label", F.coalesce("component", "label").alias("whole")), "joint")
+    merged = stored(join_spread(labelled.select("simhash", "label"), joint, "label").join(classes, "simhash").select("simhash", "doc", "whole"), "merged")
+    smallest = merged.groupBy("whole").agg(F.min("doc").alias("component_id"))
+    return stored(join_spread(merged.select("simhash", "whole"), smallest, "whole").select("simhash", "component_id"), "components")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, most: int = 4) -> DataFrame:
     """``doc_id, simhash, component_id`` of every row; the component is the smallest ``doc_id`` reachable."""
     marks = fingerprints(docs, id_col, text_col, width)
-    return marks.join(linked_classes(marks, most), "simhash").select("doc_id", "simhash", "component_id")
+    return join_spread(marks, linked_classes(marks, most), "simhash").select("doc_id", "simhash", "component_id")

@@ -30,6 +30,22 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A key is hot if more than this part of all rows has it, so there are fewer hot keys than this number.
+HOT_KEYS = 1024
+
+
+def join_spread(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined to ``found`` (one row a key): rows of hot keys, however many, stay where they are.
+
+    There are fewer than ``HOT_KEYS`` hot keys, so these are broadcast; the others are shuffled by key.
+    """
+    counts = stored(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")), "key-counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = stored(counts.where(F.col("n") * HOT_KEYS > total).select(key), "hot-keys")
+    there = rows.join(F.broadcast(found.join(F.broadcast(hot), key, "left_semi")), key)
+    return there.unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(found, key))
+
+
 def ids_and_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Exactly two columns, ``doc_id`` (long) and ``text`` (null: empty); other columns stay out."""
     return docs.select(
