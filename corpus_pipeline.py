@@ -1,9 +1,8 @@
 """From raw documents to token files: quality, near-duplicates, decontamination, mixing, token ids.
 
 Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame. All but the last return the columns
-of ``documents``. Decisions are carried per row: the first three stages store their input with a row key
-and hand that key to the operator as its id, so rows that share a ``doc_id``, or have none, are judged
-one by one.
+of ``documents``. Decisions are those of rows, not of ids: quality and contamination follow from a row's
+text alone, near-duplicates are told apart by a hash of all columns. No stage copies its input.
 
 * quality: documents scored below 0.3 go.
 * near_dedup: of each component of linked fingerprints one row stays, that with the smallest id (rows
@@ -20,55 +19,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from demandspark.llm import decontamination, mixing, quality, simhash, token_files
-from demandspark.llm.tables import stored, table
+from demandspark.llm.tables import join_spread, stored, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 2
 
 
-#: Key of a row within a stage.
-ROW = "_stage_row"
 LEAST_SCORE = 0.3
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` stored with a key of their own."""
-    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
-
-
-def texts(rows: DataFrame) -> DataFrame:
-    """Row keys in place of ids, so that an operator answers row by row."""
-    return rows.select(F.col(ROW).alias("doc_id"), "text")
-
-
-def without(rows: DataFrame, rejected: DataFrame) -> DataFrame:
-    """Rows whose key is not among the ``doc_id`` of ``rejected``."""
-    keys = rejected.select(F.col("doc_id").alias("rejected_row"))
-    return rows.join(keys, F.col(ROW) == F.col("rejected_row"), "left_anti").drop(ROW)
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = keyed(docs)
-    model = quality.fit(rows, table(spark, sf_dir, "labels"), quality.HELD_OUT)
-    scores = stored(quality.score(texts(rows), model), "quality")
-    return without(rows, scores.where(F.col("score") < LEAST_SCORE))
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), quality.HELD_OUT)
+    return quality.passing(docs, model, LEAST_SCORE)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = keyed(docs)
-    found = simhash.near_duplicates(texts(rows)).select(F.col("doc_id").alias("found_row"), "component_id")
+    mark = F.xxhash64(*docs.columns)  # rows with one mark are equal; one of these stays below
     number = F.col("doc_id").cast("long")
-    rank = F.struct(number.isNull().alias("last"), number.alias("number"), F.xxhash64(*docs.columns).alias("mark"), F.col(ROW).alias("kept_row"))
-    ranks = rows.select(ROW, rank.alias("rank"))
-    best = found.join(ranks, F.col("found_row") == F.col(ROW)).groupBy("component_id").agg(F.min("rank").alias("best"))
-    kept = stored(best.select("best.kept_row"), "kept")
-    return rows.join(kept, F.col(ROW) == F.col("kept_row"), "left_semi").drop(ROW)
+    marks = simhash.fingerprints(docs.select(mark.alias("doc_id"), "text"))
+    found = simhash.linked_classes(marks)
+    rows = docs.select(mark.alias("mark"), number.alias("number")).groupBy("mark").agg(F.min("number").alias("number"), F.count(F.lit(1)).alias("n"))
+    distinct = stored(marks.select(F.col("doc_id").alias("mark"), "simhash").distinct().join(rows, "mark"), "marks")
+    ranked = stored(join_spread(distinct, found, "simhash"), "ranked")
+    rank = F.struct(F.col("number").isNull().alias("last"), "number", "mark")
+    best = ranked.groupBy("component_id").agg(F.min(rank).alias("best"))
+    best = stored(best.select(F.col("best.mark").alias("mark")), "kept")
+    gone = stored(ranked.select("mark").join(best, "mark", "left_anti").select(F.col("mark").alias("_gone")), "gone")
+    again = stored(ranked.where("n > 1").select("mark").join(best, "mark", "left_semi").select(F.col("mark").alias("_again")), "again")
+    kept = docs.join(gone, mark == F.col("_gone"), "left_anti")
+    once = kept.join(again, mark == F.col("_again"), "left_anti")
+    return once.unionByName(kept.join(again, mark == F.col("_again"), "left_semi").dropDuplicates())
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = keyed(docs)
-    found = stored(decontamination.contamination(texts(rows), table(spark, sf_dir, "benchmark")), "contamination")
-    return without(rows, found.where("contaminated"))
+    text = F.xxhash64("text")
+    found = decontamination.contamination(docs.select(text.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    gone = stored(found.where("contaminated").select(F.col("doc_id").alias("_gone")).distinct(), "contaminated")
+    return docs.join(gone, text == F.col("_gone"), "left_anti")
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
