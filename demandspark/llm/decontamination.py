@@ -220,6 +220,19 @@ def answers(segment: dict, probe: Windows, distance: int) -> pa.RecordBatch:
     )
 
 
+def in_pieces(tests: DataFrame, window: int, block_bytes: int, piece_words: int = 1 << 16) -> DataFrame:
+    """Items longer than a block as pieces of whole words; neighbours share ``window - 1`` words, so the windows
+    of the pieces are those of the item."""
+    long = F.octet_length("text") > block_bytes
+    plain = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = F.regexp_extract_all(plain, F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), 0)
+    cut = tests.where(long).select("item", words.alias("w"))
+    first = F.sequence(F.lit(0), F.greatest(F.size("w") - window, F.lit(0)), F.lit(piece_words))
+    cut = cut.select("item", "w", F.explode(first).alias("at")).where(F.size("w") > 0)
+    piece = F.array_join(F.slice("w", F.col("at") + 1, piece_words + window - 1), " ")
+    return tests.where(~long).unionByName(cut.select("item", piece.alias("text")))
+
+
 def search(
     segments: DataFrame, items: DataFrame, window: int = 10, distance: int = 0, block_bytes: int = 16 << 20,
     item_col: str = "item_id", text_col: str = "text",
@@ -231,9 +244,8 @@ def search(
     spark = segments.sparkSession
     tests = items.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text"))
     tests = tests.where("text IS NOT NULL").distinct()
-    total, longest = tests.agg(F.sum(F.octet_length("text")), F.max(F.octet_length("text"))).first()
-    if (longest or 0) > block_bytes:
-        raise ValueError("a test item is longer than a block")
+    tests = in_pieces(tests, window, block_bytes)
+    total = tests.agg(F.sum(F.octet_length("text"))).first()[0]
     blocks = max(1, math.ceil(2 * (total or 0) / block_bytes))
     parts = []
     for k in range(blocks):  # a block: about half of block_bytes, by hash of item and text
@@ -289,7 +301,7 @@ WITH docs AS (
 items AS (
   SELECT CAST(item_id AS varchar) AS item, regexp_extract_all(
     translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
-  FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+  FROM benchmark WHERE text IS NOT NULL),
 windows AS (
   SELECT DISTINCT item, least(10, len(w)) AS n, array_to_string(w[a:a + least(10, len(w)) - 1], ' ') AS win
   FROM (SELECT *, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS a FROM items WHERE len(w) > 0)),
@@ -298,7 +310,7 @@ grams AS (
   FROM (SELECT k, w, n, unnest(range(1, len(w) - n + 2)) AS a FROM docs, (SELECT DISTINCT n FROM windows))),
 hits AS (SELECT k, a, n, item FROM grams JOIN windows USING (n, win)),
 places AS (SELECT k, count(DISTINCT p) AS n_hit FROM (SELECT k, unnest(range(a, a + n)) AS p FROM hits) GROUP BY k),
-found AS (SELECT k, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT k, item FROM hits) GROUP BY k)
+found AS (SELECT k, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT k, item FROM hits WHERE item IS NOT NULL) GROUP BY k)
 SELECT doc_id, CAST(len(w) AS bigint) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs LEFT JOIN places USING (k) LEFT JOIN found USING (k)

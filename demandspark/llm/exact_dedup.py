@@ -191,7 +191,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """One row per row of ``docs``: ``doc_id, keep_id, group_size, kept, text_sha256``."""
     rows = ids_and_texts(docs, id_col, text_col).withColumn("text", normalised(F.col("text")))
     rows = rows.withColumn("fingerprint", F.xxhash64("text"))
-    marks = stored(rows.select("doc_id", "fingerprint", F.sha2("text", 256).alias("text_sha256")), "fingerprints")
+    marks = rows.select("doc_id", "fingerprint", F.sha2("text", 256).alias("text_sha256"), F.monotonically_increasing_id().alias("row"))
+    marks = stored(marks, "fingerprints")
     range_bits = max(6, math.ceil(math.log2(1 + marks.count() / RANGE_ROWS)))
     # stored, so that Spark knows its size: small tables are broadcast, large ones are shuffled
     suspects = stored(counted(marks, range_bits).select("fingerprint"), "repeated-fingerprints")
@@ -199,11 +200,16 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")
     )
     groups = groups.select("fingerprint", F.sha2("text", 256).alias("text_sha256"), "keep_id", "group_size")
-    return marks.join(stored(groups, "groups"), ["fingerprint", "text_sha256"], "left").select(
+    keys = ["fingerprint", "text_sha256"]
+    # one row stays, also where the smallest id repeats or no row has an id
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    firsts = marks.join(suspects, "fingerprint", "left_semi").groupBy(*keys).agg(F.min(order)["row"].alias("first"))
+    groups = stored(groups.join(firsts, keys), "groups")
+    return marks.join(groups, keys, "left").select(
         "doc_id",
         F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
-        (F.col("group_size").isNull() | F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
+        (F.col("group_size").isNull() | (F.col("row") == F.col("first"))).alias("kept"),
         "text_sha256",
     )
 
@@ -211,6 +217,6 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 EXACT_SQL = r"""
 WITH rows AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
-  doc_id IS NOT DISTINCT FROM min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+  row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
 FROM rows WINDOW w AS (PARTITION BY t)
 """

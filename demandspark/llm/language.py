@@ -133,17 +133,21 @@ def solve(texts: list[str], names: list[str], landmarks: int, most_blocks: int,
 
 def fit(
     docs: DataFrame, held_out: str, sample_rows: int = 400, sample_bytes: int = 1 << 16, landmarks: int = 384,
-    most_blocks: int = 4000, ridge: float = 1e-4, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+    most_blocks: int = 4000, ridge: float = 1e-4, most_languages: int = 256, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
 ) -> Model:
-    """Learn from ``docs`` for which the SQL condition ``held_out`` on ``doc_id`` is false."""
+    """Learn from ``docs`` for which the SQL condition ``held_out`` on ``doc_id`` is false.
+
+    The sample has some ``2 * sample_rows`` rows of each language at most, of the ``most_languages`` most frequent ones.
+    """
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")
     ).where(f"text IS NOT NULL AND lang IS NOT NULL AND NOT ({held_out})")
-    counts = stored(rows.groupBy("lang").count(), "languages")  # one row a language
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages)
+    counts = stored(counts, "languages")  # one row a language, of known size
     many = counts.count()
     chance = F.lit(sample_rows) / F.col("count")
     drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
-    rows = rows.where(F.octet_length("text") <= sample_bytes).join(F.broadcast(counts) if many <= 10_000 else counts, "lang").where(drawn < chance)
+    rows = rows.where(F.octet_length("text") <= sample_bytes).join(counts, "lang").where(drawn < chance)
     most = 2 * sample_rows * max(1, many)
     sample = rows.select("doc_id", "text", "lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(most).collect()
     return solve([r["text"] for r in sample], [r["lang"] for r in sample], landmarks, most_blocks, ridge)

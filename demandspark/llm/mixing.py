@@ -274,13 +274,14 @@ def shard_files(drawn: DataFrame, path: str) -> None:
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """``doc_id, size, source_size, target, taken`` of every row of ``docs``, with ``n_draws`` and the ``shards``
-    (ascending, comma-joined) whose runs of draws hold its words."""
+    """``doc_id, size, source_size, target, taken`` of every row of ``docs``, with ``n_draws``, the first and last
+    shard whose runs hold its words, and ``dealt``, a digest of shard, turn and words of all its draws."""
     drawn = draws(sized(docs), **options)
     return drawn.groupBy(*KEY, "copy").agg(
         F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum("words").cast("long").alias("taken"),
-        F.count("pass").alias("n_draws"), F.array_join(F.array_sort(F.collect_set("shard")), ",").alias("shards"),
-    ).select("doc_id", "size", "source_size", "target", "taken", "n_draws", "shards")
+        F.count("pass").alias("n_draws"), F.min("shard").alias("first_shard"), F.max("shard").alias("last_shard"),
+        F.bit_xor(F.when(F.col("pass").isNotNull(), F.xxhash64("shard", "turn", "words"))).alias("dealt"),
+    ).select("doc_id", "size", "source_size", "target", "taken", "n_draws", "first_shard", "last_shard", "dealt")
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:

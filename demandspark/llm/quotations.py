@@ -15,7 +15,8 @@ pairs across conversations. Threads are found by pointer jumping on message keys
 
 Defined cases: a null text is an empty message. Rows that repeat ``conv_id`` and ``turn`` keep their own
 text and links, and share the thread of the one with the smallest original. Messages
-without quotes reply to nothing and start a thread. Lines that normalise to nothing link nothing. Empty tables give
+without quotes reply to nothing and start a thread. A message without ``conv_id`` neither quotes nor is
+quoted: where it was said is not known. Lines that normalise to nothing link nothing. Empty tables give
 empty results, further columns are ignored.
 """
 
@@ -174,12 +175,14 @@ quoted AS (SELECT DISTINCT k, conv_id, turn, level, said FROM units JOIN base US
 said AS (SELECT DISTINCT conv_id, turn, said FROM units JOIN base USING (k) WHERE level = 0 AND own <> ''),
 near AS (
   SELECT q.k, q.said, max(s.turn) AS from_turn FROM quoted q JOIN said s ON q.conv_id = s.conv_id AND q.said = s.said AND s.turn < q.turn GROUP BY q.k, q.said),
-far AS (SELECT said, conv_id AS far_conv, turn AS far_turn FROM (
-  SELECT *, row_number() OVER (PARTITION BY said ORDER BY conv_id, turn) AS place FROM said) WHERE place = 1),
+far AS (SELECT said, conv_id AS far_conv, min(turn) AS far_turn FROM said WHERE conv_id IS NOT NULL GROUP BY said, conv_id),
+elsewhere AS (
+  SELECT q.k, q.said, min(far_conv) AS far_conv, arg_min(far_turn, far_conv) AS far_turn
+  FROM (SELECT DISTINCT k, conv_id, said FROM quoted) q JOIN far ON far.said = q.said AND far_conv <> q.conv_id GROUP BY q.k, q.said),
 origins AS (
   SELECT q.k, q.level, from_turn IS NULL AS away, CASE WHEN from_turn IS NULL THEN far_conv ELSE q.conv_id END AS reply_conv,
     coalesce(from_turn, far_turn) AS reply_turn
-  FROM quoted q LEFT JOIN near USING (k, said) LEFT JOIN far USING (said) WHERE from_turn IS NOT NULL OR far_conv <> q.conv_id),
+  FROM quoted q LEFT JOIN near USING (k, said) LEFT JOIN elsewhere USING (k, said) WHERE from_turn IS NOT NULL OR far_conv IS NOT NULL),
 replies AS (SELECT k, reply_conv, reply_turn FROM (
   SELECT *, row_number() OVER (PARTITION BY k ORDER BY level, away, -reply_turn, reply_conv) AS place FROM origins) WHERE place = 1),
 links AS (SELECT conv_id, turn, min(reply_turn) AS up FROM replies JOIN base USING (k) WHERE conv_id = reply_conv GROUP BY conv_id, turn),

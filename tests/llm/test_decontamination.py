@@ -101,3 +101,31 @@ def test_empty_tables(spark):
     assert op.contamination(empty(spark), items).collect() == []
     got = op.contamination(documents(spark, use_given=False, long_words=20), items.where("false")).collect()
     assert got and not any(r.contaminated for r in got)
+
+
+def test_sql_counts_windows_of_items_without_id_and_long_items_are_cut(spark):
+    import duckdb
+    import random
+
+    rng = random.Random(5)
+    words = [f"w{rng.randrange(3000)}" for _ in range(2000)]
+    docs = spark.createDataFrame(
+        [(1, " ".join(words[500:530])), (2, "two words here"), (3, " ".join(words[1990:])), (4, None), (5, "Two, WORDS!")], "doc_id long, text string"
+    )
+    items = spark.createDataFrame([(None, "two words"), ("long", " ".join(words)), ("x", None), ("y", "")], "item_id string, text string")
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    con.register("benchmark", items.toPandas())
+    cursor = con.execute(op.CONTAMINATION_SQL)
+    names = [d[0] for d in cursor.description]
+    found = op.contamination(docs, items).select(*names)
+    want = sorted((tuple(r) for r in cursor.fetchall()), key=repr)
+    assert sorted((tuple(r) for r in found.collect()), key=repr) == want
+    by_id = {r["doc_id"]: (r["n_hit"], r["n_items"]) for r in found.collect()}
+    assert by_id[2] == (2, 0) and by_id[5] == (2, 0) and by_id[1] == (30, 1) and by_id[3] == (10, 1)
+    # the same through pieces of the long item, which is longer than a block
+    tests = items.selectExpr("item_id AS item", "text").where("text IS NOT NULL")
+    pieces = op.in_pieces(tests, 10, 500, 64)
+    assert pieces.where("item = 'long'").count() == 32
+    again = op.search(op.index(docs), pieces.selectExpr("item AS item_id", "text")).collect()
+    assert {r["doc_id"]: sum(s["end"] - s["begin"] for s in r["spans"]) for r in again} == {k: v[0] for k, v in by_id.items()}

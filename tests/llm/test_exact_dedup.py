@@ -35,12 +35,15 @@ def brute(rows):
     groups = defaultdict(list)
     for r in rows:
         groups[re.sub("[\x20\x09-\x0d]+", " ", r["text"] or "")].append(r["doc_id"])
-    out = []
+    out, stayed = [], set()
     for r in rows:
         text = re.sub("[\x20\x09-\x0d]+", " ", r["text"] or "")
         own = groups[text]
         keep = min((i for i in own if i is not None), default=None)
-        out.append((r["doc_id"], keep, len(own), r["doc_id"] == keep, hashlib.sha256(text.encode()).hexdigest()))
+        stays = r["doc_id"] == keep and text not in stayed
+        if stays:
+            stayed.add(text)
+        out.append((r["doc_id"], keep, len(own), stays, hashlib.sha256(text.encode()).hexdigest()))
     return out
 
 
@@ -59,3 +62,10 @@ def test_equal_fingerprints_of_different_texts(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert op.exact_duplicates(empty(spark)).collect() == []
+
+
+def test_one_row_stays_where_ids_repeat_or_are_missing(spark):
+    rows = [(7, "a  b"), (7, "a b"), (9, "a b"), (None, "a b"), (None, "c"), (None, "c"), (None, "c"), (3, "d")]
+    got = op.exact_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    kept = sorted((r["doc_id"], r["group_size"]) for r in got if r["kept"] and r["doc_id"] is not None)
+    assert kept == [(3, 1), (7, 4)] and sum(r["kept"] for r in got) == 3

@@ -70,10 +70,10 @@ def brute(rows):
         for level, lines in parse(text):
             for unit in {clean(" ".join(lines)), *map(clean, lines)} - {""} if level else ():
                 near = [t for (c, t), s in says.items() if c == conv and t < turn and unit in s]
-                first = min(((c, t) for (c, t), s in says.items() if unit in s), default=None)
+                first = min(((c, t) for (c, t), s in says.items() if unit in s and c != conv), default=None)
                 if near:
                     best.append((level, False, -max(near), (conv, max(near))))
-                elif first and first[0] != conv:
+                elif first:
                     best.append((level, True, -first[1], first))
         out[conv, turn] = min(best)[3] if best else (None, None)
     return out
@@ -140,3 +140,25 @@ def test_given_table_native_and_empty(spark):
     trimmed = df.select("conv_id", "turn", "role", "text")
     assert got.count() == trimmed.count()
     assert op.linked(df.where(F.lit(False))).collect() == []
+
+
+def test_sql_agrees_where_the_quoters_own_conversation_comes_first(spark):
+    import duckdb
+
+    rows = [
+        (1, 0, "user", "> ask me\n\nask me"), (2, 3, "user", "ask me"), (2, 4, "bot", "> ask me\n\nyes"), (3, 1, "user", "ask me"),
+        (None, 1, "user", "> ask me\n\nhello there"), (4, 0, "user", "> hello there"), (None, 2, "user", "> hello there"),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = op.linked(df)
+    con = duckdb.connect()
+    con.register("conversations", df.toPandas().astype({"conv_id": "Int64"}))
+    cursor = con.execute(op.LINKED_SQL)
+    names = [d[0] for d in cursor.description]
+    want = sorted((tuple(r[names.index(c)] for c in found.columns) for r in cursor.fetchall()), key=repr)
+    got = sorted((tuple(r) for r in found.collect()), key=repr)
+    assert got == want
+    links = {(r.conv_id, r.turn): (r.reply_conv, r.reply_turn) for r in found.collect()}
+    assert links[1, 0] == (2, 3) and links[2, 4] == (2, 3)
+    # a message without a conversation neither quotes nor is quoted
+    assert links[None, 1] == links[None, 2] == links[4, 0] == (None, None)
