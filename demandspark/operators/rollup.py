@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from demandspark.functions.columns import joined_id, period_start
@@ -91,3 +92,33 @@ def prepare_track(
     ).agg(_total(sales_col).alias(sales_col))
     kept = [*keys, *attributes] if with_attributes else []
     return grouped.select(joined_id(*keys).alias("id"), date_col, sales_col, *kept)
+
+
+def fill_periods(track: DataFrame, keys: Sequence[str], frequency: str, first: Column, last: Column, value: str = "sales") -> DataFrame:
+    """One row per series (``keys``) and period from that of ``first`` to that of ``last``; new rows hold 0.
+
+    From each row to the next one of its series, so the gaps are filled row by row."""
+    date = F.col("date")
+    w = W.partitionBy(*keys).orderBy("date")
+    rows = track.withColumns({"_next": F.lead(date).over(w), "_prev": F.lag(date).over(w)})
+    step = F.expr("interval 7 days" if frequency == "W" else "interval 1 month")
+    start = F.when(F.col("_prev").isNull(), period_start(first, frequency)).otherwise(date)
+    end = F.when(F.col("_next").isNull(), period_start(last, frequency)).otherwise(F.date_sub("_next", 1))
+    filled = rows.select(
+        *[c for c in track.columns if c not in ("date", value)], F.col("date").alias("_at"), F.col(value).alias("_value"),
+        F.explode(F.sequence(start, end, step)).alias("date"),
+    )
+    filled = filled.withColumn(value, F.when(F.col("date") == F.col("_at"), F.col("_value")).otherwise(F.lit(0)).cast(dict(track.dtypes)[value]))
+    return filled.select(*track.columns)
+
+
+def prepare_sparse_track(facts: DataFrame, track_name: str, first: Column, last: Column, with_attributes: bool = False) -> DataFrame:
+    """The panel of :func:`prepare_track` from days with sales only.
+
+    Days without sales add nothing to a sum, so they are never made: facts are summed to periods first, and
+    the gaps that are left are filled at the grain of the track."""
+    t = track(track_name)
+    kept = prepare_track(facts, track_name, with_attributes=True)
+    keys = [*level_keys(t.level), *LEVEL_ATTRIBUTES[t.level]]
+    filled = fill_periods(kept, keys, t.frequency, first, last)
+    return filled if with_attributes else filled.select("id", "date", "sales")

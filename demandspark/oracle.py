@@ -768,6 +768,90 @@ from (select count(*) as n_series, count(*) filter (f > d0) as n_cold_start from
     q["gbt_prediction_rows"] = _sql(
         f"select id, {W_DATE} as date, true as usable from (select distinct id from fresh), (select max(date) as last from fresh), range(1, 5) t(h)"
     )
+    # segments, ages, scaled errors
+    q["segment_rotation"] = _sql(
+        """select id, volume, r as rotation_rank,
+       case when r - 1 < n * 0.2::double then 'fast' when r - 1 < n * 0.8::double then 'medium' else 'slow' end as rotation_tier
+from (select id, volume, row_number() over (order by volume desc, id) as r, count(*) over () as n
+      from (select id, cast(sum(sales) as bigint) as volume from fresh group by id))""",
+        base=FINE,
+    )
+    tiers = """tiers as (
+  select fold_id, id, case when r - 1 < n * 0.2::double then 'fast' when r - 1 < n * 0.8::double then 'medium' else 'slow' end as rotation_tier
+  from (select fold_id, id, row_number() over (partition by fold_id order by volume desc, id) as r, count(*) over (partition by fold_id) as n
+        from (select fold_id, id, sum(sales) as volume from train group by all)))"""
+    by_segment = "select model_name, fold_id, {0}, " + ALL_METRICS + ", count(*) as n_obs from joined join {1} using (fold_id, id) group by all"
+    q["metrics_by_rotation"] = _sql(by_segment.format("rotation_tier", "tiers"), PREDS, JOINED, tiers)
+    stages = """ends as (select fold_id, max(date) as last from train group by fold_id),
+placed as (
+  select t.*, date_diff('day', date, last) // 7 as week, last from train t join ends using (fold_id)),
+fitted as (
+  select fold_id, id, last, min(date) filter (sales > 0) as first_sale, count(y) as n, sum(x) as sx, sum(y) as sy, sum(x * y) as sxy, sum(x * x) as sxx
+  from (select *, case when week < 26 then 25 - week end as x, case when week < 26 then sales end as y from placed) group by fold_id, id, last),
+sloped as (
+  select fold_id, id, cast(date_diff('day', first_sale, last) // 7 as int) as age_weeks, sy, n,
+         cast(n * sxy - sx * sy as double) / nullif(cast(n * sxx - sx * sx as double), 0) as slope from fitted),
+stages as (
+  select fold_id, id, age_weeks, slope, case when age_weeks is null then 'unsold' when age_weeks < 26 then 'new'
+    when coalesce(-slope * 26 > 0.25::double * (cast(sy as double) / cast(n as double)), false) then 'declining' else 'mature' end as stage
+  from sloped)"""
+    q["segment_lifecycle"] = _sql("select fold_id, id, age_weeks, round(slope, 6) as slope, stage from stages", stages, base=FINE)
+    q["metrics_by_stage"] = _sql(by_segment.format("stage", "stages"), PREDS, JOINED, stages)
+    q["feat_product_age"] = _sql(
+        """select id, date, sales, cast(case when date >= first_sale then date_diff('day', first_sale, date) // 7 end as int) as product_age_weeks
+from fresh left join (select id, min(date) as first_sale from fresh where sales > 0 group by id) using (id)"""
+    )
+    q["feat_promo_duration"] = _sql(
+        """select item_id, store_id, wm_yr_wk, case when on_ then dense_rank() over (partition by item_id, store_id, on_ order by start) end as promo_run,
+       case when on_ then cast(week - start + 1 as int) else 0 end as promo_weeks, cast(week - last_on as int) as weeks_since_promo
+from (
+  select *, max(case when on_ and not goes_on then week end) over (partition by item_id, store_id order by week) as start,
+         max(case when on_ then week end) over (partition by item_id, store_id order by week rows between unbounded preceding and 1 preceding) as last_on
+  from (
+    select *, coalesce(lag(on_) over w and lag(week) over w = week - 1, false) as goes_on
+    from (select item_id, store_id, wm_yr_wk, coalesce(on_promo, false) as on_, week from promo join nweeks using (wm_yr_wk))
+    window w as (partition by item_id, store_id order by week)))""",
+        "nweeks as (select wm_yr_wk, row_number() over (order by wm_yr_wk) as week from (select distinct wm_yr_wk from calendar))",
+    )
+    q["metric_mase"] = _sql(
+        """select model_name, fold_id, round(coalesce(avg(abs(sales - prediction) / scale) filter (scale > 0), 'nan'::double), 6) as mase,
+       count(*) filter (coalesce(scale > 0, false)) as n_obs, count(*) filter (not coalesce(scale > 0, false)) as n_unscaled
+from joined left join scales using (fold_id, id) group by model_name, fold_id""",
+        PREDS,
+        JOINED,
+        """scales as (
+  select fold_id, id, avg(cast(abs(change) as double)) as scale
+  from (select fold_id, id, sales - lag(sales, 52) over (partition by fold_id, id order by date) as change from train) group by fold_id, id)""",
+    )
+    q["cardinality_sketch"] = _sql(
+        """select state_id, count(distinct item_id) as n_item_id, count(distinct store_id) as n_store_id,
+       true as item_id_within_error, true as store_id_within_error
+from facts where date between date '1996-01-01' and date '1997-12-31' group by state_id""",
+        base=FINE,
+    )
+    # reconciliation
+    names = {"total": "'total'", "state_id": "state_id", "store_id": "store_id", "item_id": "item_id", "item_id__store_id": "item_id || '__' || store_id"}
+    levels = lambda source, value: " union all ".join(
+        f"select date, '{k}' as level, {v} as node, {value} as prediction from {source} group by all" for k, v in names.items()
+    )
+    places = "places as (select distinct id, item_id, store_id, state_id from fresh)"
+    q["reconcile_bottom_up"] = _sql(
+        "select date, level, node, cast(prediction as double) as prediction from ("
+        + levels("bottom", "sum(cast(round(prediction, 6) as decimal(18, 6)))") + ")",
+        FULL_PREDS, places, "bottom as (select * from preds join places using (id) where model_name = 'DriftNaive')",
+    )
+    q["reconcile_top_down"] = _sql(
+        "select date, level, node, cast(prediction as bigint) as prediction from (" + levels("bottom", "sum(units)") + ")",
+        "alls as (select 'total' as id, date, sum(sales) as sales from fresh group by date)",
+        "preds as (" + _drift("alls", "", 4, W_DATE) + ")",
+        "volumes as (select id, item_id, store_id, state_id, cast(sum(sales) as hugeint) as volume, sum(cast(sum(sales) as hugeint)) over () as total from fresh group by all)",
+        """quotas as (
+  select v.*, p.date, cast(round(p.prediction) as hugeint) as goal, cast(round(p.prediction) as hugeint) * volume // total as whole,
+         cast(round(p.prediction) as hugeint) * volume % total as rest from volumes v, preds p)""",
+        """bottom as (
+  select *, whole + case when row_number() over (partition by date order by rest desc, id) <= goal - sum(whole) over (partition by date) then 1 else 0 end as units
+  from quotas)""",
+    )
     # scoring
     reason = (
         "case when horizon is null or horizon not between 1 and 12 then 'horizon out of bounds' "

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from demandspark.functions.accuracy import metric_columns
+from demandspark.functions.columns import ratio, series_window
 from demandspark.operators import naive
 from demandspark.operators.boosting import BoostedForecaster
 from demandspark.operators.ets import ets_folds
 from demandspark.operators.folds import assign_folds
-from demandspark.operators.segments import series_classes
+from demandspark.operators.segments import lifecycle, rotation_tiers, series_classes
 from demandspark.schemas import SMOOTHING_FORMS
 
 FOLD_COLUMNS = ("fold_id", "train_end", "test_start", "test_end")
@@ -122,6 +123,39 @@ def metrics_by_segment(
     )
 
 
+def naive_scales(train: DataFrame, season_length: int, by: Sequence[str] = ("fold_id",), id_col: str = "id") -> DataFrame:
+    """``by``, id and ``scale``: the mean absolute change from one season to the next in the training rows; NULL
+    for a series that has no two values a season apart. Panels have no gaps, so a season is so many rows."""
+    change = F.abs(F.col("sales") - F.lag("sales", season_length).over(series_window([*by, id_col], "date"))).cast("double")
+    return train.withColumn("_change", change).groupBy(*by, id_col).agg(F.avg("_change").alias("scale"))
+
+
+def mase(
+    test: DataFrame, predictions: DataFrame, scales: DataFrame, group: Sequence[str] = ("model_name", "fold_id")
+) -> DataFrame:
+    """Mean of absolute errors over the scale of their series, per group, over the points of series with a scale
+    above zero; ``n_obs`` counts these, ``n_unscaled`` the others. NaN if there are none."""
+    joined = test.select("fold_id", "id", "date", "sales").join(predictions, ["fold_id", "id", "date"]).join(scales, ["fold_id", "id"], "left")
+    scaled = F.coalesce(F.col("scale") > 0, F.lit(False))
+    error = F.abs(F.col("sales") - F.col("prediction"))
+    return joined.groupBy(*group).agg(
+        F.coalesce(F.avg(F.when(scaled, ratio(error, F.col("scale")))), F.lit(float("nan"))).alias("mase"),
+        F.count_if(scaled).alias("n_obs"), F.count_if(~scaled).alias("n_unscaled"),
+    )
+
+
+def metrics_by_rotation(train: DataFrame, test: DataFrame, predictions: DataFrame) -> DataFrame:
+    """Metrics per model, fold and rotation tier; tiers come from each fold's training volume."""
+    tiers = rotation_tiers(train, ["fold_id"]).select("fold_id", "id", "rotation_tier")
+    return score(test, predictions.join(tiers, ["fold_id", "id"]), ["model_name", "fold_id", "rotation_tier"])
+
+
+def metrics_by_stage(train: DataFrame, test: DataFrame, predictions: DataFrame) -> DataFrame:
+    """Metrics per model, fold and lifecycle stage at the end of the fold's training rows."""
+    stages = lifecycle(train).select("fold_id", "id", "stage")
+    return score(test, predictions.join(stages, ["fold_id", "id"]), ["model_name", "fold_id", "stage"])
+
+
 def summarise(metrics: DataFrame) -> DataFrame:
     """Mean metrics over the folds per model, sample deviation of WMAPE, total points."""
     return (

@@ -18,7 +18,7 @@ from demandspark.operators.boosting import BoostedForecaster, BoostingSettings
 from demandspark.plans import evaluate, features, scoring
 from demandspark.schemas import FOLD_COUNT, Track, track
 from demandspark.sources import files
-from demandspark.sources.storage import materialize
+from demandspark.sources.storage import input_mark, materialize
 
 BOOSTED = "boosted-tweedie"
 SMOOTHING = "exponential-smoothing"
@@ -51,7 +51,7 @@ def prepare(
     if sample:
         rows = reshape.sample_series(rows, sample)
     # one place for each choice of rows: another choice never reads what this one stored
-    chosen = f"{work_dir}/track={track_name}/{selection(data_dir, stores, sample)}"
+    chosen = f"{work_dir}/track={track_name}/{selection(data_dir, stores, sample, input_mark(spark, data_dir))}"
     rows = materialize(rows, f"{chosen}/panel")
     states = reshape.store_states(daily) if t.id_format == "item_state" else None
     matrix = features.features_from_track(
@@ -62,9 +62,9 @@ def prepare(
     return Inputs(t, panel, matrix, features.feature_columns(features.level_columns(track_name)))
 
 
-def selection(data_dir: str, stores: Sequence[str] | None, sample: int | None) -> str:
-    """A folder name for the inputs and the chosen series."""
-    text = repr((data_dir, sorted(stores) if stores else None, sample or None))
+def selection(data_dir: str, stores: Sequence[str] | None, sample: int | None, mark: str) -> str:
+    """A folder name for the inputs (``mark`` changes with their files) and the chosen series."""
+    text = repr((data_dir, sorted(stores) if stores else None, sample or None, mark))
     return f"rows={hashlib.sha256(text.encode()).hexdigest()[:16]}"
 
 

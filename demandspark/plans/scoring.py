@@ -1,12 +1,16 @@
 """Publish trained models and score batches of requests.
 
-Requests are a table, so their number is not limited and nothing loops over ids. A published model
-is a folder: metadata, latest feature rows, predictions for its trained steps and, for boosted
-trees, the Spark ML models.
+Requests are a table, so their number is not limited and nothing loops over ids. A published model is a
+folder of versions. A version is written once and never changed: metadata, latest feature rows,
+predictions for its trained steps, for boosted trees the models, and a manifest with the rows and a
+checksum of every table. A small file names the current version. It is replaced in one step after all
+else is there, so a reader sees the old version or the new one, whole, whenever it looks and wherever a
+publishing job died.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import date
@@ -20,9 +24,12 @@ from demandspark.operators.reshape import keep_ids
 from demandspark.operators.windows import latest_per_series
 from demandspark.schemas import REQUEST_HORIZON_MAX, REQUEST_HORIZON_MIN
 from demandspark.sources.feature_store import load_features
-from demandspark.sources.storage import exists, require, subfolders
+from demandspark.sources.storage import exists, read_text, require, subfolders, write_text
 
-FORMAT_VERSION = "1.0"
+FORMAT_VERSION = "1.1"
+#: File that names the current version of a model; tables of a version that its manifest counts.
+CURRENT = "current"
+TABLES = ("metadata", "features", "predictions")
 
 METADATA = T.StructType(
     [
@@ -41,7 +48,7 @@ METADATA = T.StructType(
 
 @dataclass(frozen=True)
 class Published:
-    """A published model read back."""
+    """The current version of a published model."""
 
     metadata: dict
     features: DataFrame
@@ -78,9 +85,11 @@ def publish(
     fitted: BoostedForecast | None = None,
     extra: dict[str, str] | None = None,
 ) -> str:
-    """Write a model folder. The metadata goes last: a folder without it is not a model."""
+    """Write a new version of a model and make it the current one; gives the version's folder."""
     spark = train.sparkSession
-    path = f"{root.rstrip('/')}/{model_name}"
+    model = f"{root.rstrip('/')}/{model_name}"
+    version = f"v-{uuid.uuid4().hex}"
+    path = f"{model}/{version}"
     columns = list(feature_cols) or ["sales"]
     latest_per_series(train, "id", "date", columns).write.mode("overwrite").parquet(f"{path}/features")
     _numbered(predictions.select("id", "date", "prediction")).write.mode("overwrite").parquet(
@@ -103,10 +112,38 @@ def publish(
         )
         .select(*METADATA.names)
     )
-    row.repartition(1).write.mode("overwrite").parquet(f"{path}/metadata")
+    row.repartition(1).write.parquet(f"{path}/metadata")
+    counted = [_checked(spark, path, t) for t in TABLES]
+    stack = counted[0].unionByName(counted[1]).unionByName(counted[2])
+    stack.repartition(1).write.parquet(f"{path}/manifest")
+    write_text(spark, f"{model}/{CURRENT}", version)
     return path
 
 
+def _checked(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """One row: table, number of rows, and a sum over the hashes of its rows."""
+    rows = spark.read.parquet(f"{path}/{name}")
+    checksum = F.coalesce(F.sum(F.xxhash64(F.to_json(F.struct("*"))).cast("decimal(38,0)")), F.lit(0)).cast("string")
+    return rows.agg(F.count(F.lit(1)).alias("rows"), checksum.alias("checksum")).select(F.lit(name).alias("name"), "rows", "checksum")
+
+
+def verify(spark: SparkSession, root: str, model_name: str) -> DataFrame:
+    """``name, rows, checksum, intact`` of the tables of the current version, read again."""
+    path = current_version(spark, f"{root.rstrip('/')}/{model_name}")
+    found = [_checked(spark, path, t) for t in TABLES]
+    now = found[0].unionByName(found[1]).unionByName(found[2])
+    told = spark.read.parquet(f"{path}/manifest").withColumnsRenamed({"rows": "told_rows", "checksum": "told_checksum"})
+    same = (F.col("rows") == F.col("told_rows")) & (F.col("checksum") == F.col("told_checksum"))
+    return now.join(told, "name").select("name", "rows", "checksum", same.alias("intact"))
+
+
+def current_version(spark: SparkSession, model: str) -> str:
+    """Folder of the current version; raises where nothing was published as a whole."""
+    if not exists(spark, f"{model}/{CURRENT}"):
+        raise ValueError(f"{model} holds no published model")
+    return f"{model}/{read_text(spark, f'{model}/{CURRENT}').strip()}"
+
+
 def _text_map(values: dict[str, str]) -> Column:
     pairs = [F.lit(str(x)) for kv in values.items() for x in kv]
     return (F.create_map(*pairs) if pairs else F.create_map()).cast("map<string,string>")
@@ -132,7 +169,7 @@ def publish_boosted(
 
 def load(spark: SparkSession, root: str, model_name: str, with_models: bool = True) -> Published:
     """Read a model folder; refuses folders that hold something else or another format."""
-    path = require(spark, f"{root.rstrip('/')}/{model_name}")
+    path = current_version(spark, require(spark, f"{root.rstrip('/')}/{model_name}"))
     if not exists(spark, f"{path}/metadata"):
         raise ValueError(f"{path} holds no published model")
     found = spark.read.parquet(f"{path}/metadata")
@@ -157,13 +194,14 @@ def load(spark: SparkSession, root: str, model_name: str, with_models: bool = Tr
 
 
 def _folders(spark: SparkSession, root: str) -> list[str]:
-    """Folders under ``root`` that hold what a model needs; only names are listed here."""
-    paths = [f"{root.rstrip('/')}/{name}" for name in subfolders(spark, root)]
+    """Current versions under ``root`` that hold what a model needs; only names are listed here."""
+    models = [f"{root.rstrip('/')}/{name}" for name in subfolders(spark, root)]
+    paths = [current_version(spark, m) for m in models if exists(spark, f"{m}/{CURRENT}")]
     return [p for p in paths if exists(spark, f"{p}/metadata") and exists(spark, f"{p}/predictions")]
 
 
 def _of_folder() -> Column:
-    return F.element_at(F.split(F.input_file_name(), "/"), -3)
+    return F.element_at(F.split(F.input_file_name(), "/"), -4)
 
 
 def published_models(spark: SparkSession, root: str) -> DataFrame:

@@ -16,11 +16,14 @@ from demandspark.operators import (
     calendar as cal,
     ets,
     folds as fold_ops,
+    glm,
     naive,
     promo,
+    reconcile,
     reshape,
     rollup,
     segments,
+    sketches,
     stockout,
     windows,
 )
@@ -61,9 +64,7 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 def fresh(spark: SparkSession, sf: str, grain: str = "brand", attributes: bool = False) -> DataFrame:
     """The weekly track. Persisted, since evaluation reads it for bounds, training and test."""
-    return rollup.prepare_track(
-        star.daily_sales(spark, sf, grain), FRESH.name, with_attributes=attributes
-    ).persist()
+    return star.track_panel(spark, sf, FRESH.name, grain, attributes).persist()
 
 
 def fresh_folds(panel: DataFrame) -> DataFrame:
@@ -273,27 +274,27 @@ def agg_dept_state(spark, sf):
 
 @query
 def track_fresh_weekly(spark, sf):
-    return rollup.prepare_track(star.daily_sales(spark, sf), "fresh_weekly")
+    return star.track_panel(spark, sf, "fresh_weekly")
 
 
 @query
 def track_fresh_weekly_fine(spark, sf):
-    return rollup.prepare_track(star.daily_sales(spark, sf, "brand_type"), "fresh_weekly")
+    return star.track_panel(spark, sf, "fresh_weekly", "brand_type")
 
 
 @query
 def track_fresh_weekly_part(spark, sf):
-    return rollup.prepare_track(star.daily_sales(spark, sf, "part"), "fresh_weekly")
+    return star.track_panel(spark, sf, "fresh_weekly", "part")
 
 
 @query
 def track_dry_monthly(spark, sf):
-    return rollup.prepare_track(star.daily_sales(spark, sf), "dry_monthly")
+    return star.track_panel(spark, sf, "dry_monthly")
 
 
 @query
 def track_non_food_monthly(spark, sf):
-    return rollup.prepare_track(star.daily_sales(spark, sf), "non_food_monthly")
+    return star.track_panel(spark, sf, "non_food_monthly")
 
 
 # Stockouts, segments, lifts -----------------------------------------------
@@ -806,7 +807,7 @@ def folds(spark, sf):
 
 
 def _dry(spark, sf) -> DataFrame:
-    return rollup.prepare_track(star.daily_sales(spark, sf), "dry_monthly")
+    return star.track_panel(spark, sf, "dry_monthly")
 
 
 def _monthly_folds(panel: DataFrame) -> DataFrame:
@@ -834,7 +835,7 @@ def fold_assignment(spark, sf):
 @query
 def future_periods(spark, sf):
     weekly = naive.future_periods(fresh(spark, sf), FRESH.horizon, "W").withColumn("frequency", F.lit("W"))
-    monthly = rollup.prepare_track(star.daily_sales(spark, sf), "dry_monthly")
+    monthly = star.track_panel(spark, sf, "dry_monthly")
     return weekly.unionByName(
         naive.future_periods(monthly, 3, "M").withColumn("frequency", F.lit("M"))
     )
@@ -843,7 +844,7 @@ def future_periods(spark, sf):
 def _both_tracks(spark, sf, forecast: Callable) -> DataFrame:
     """A forecast on the weekly and on the monthly dry-goods track."""
     dry = TRACKS["dry_monthly"]
-    monthly = rollup.prepare_track(star.daily_sales(spark, sf), dry.name).persist()
+    monthly = star.track_panel(spark, sf, dry.name).persist()
     out = forecast(fresh(spark, sf), FRESH).unionByName(forecast(monthly, dry))
     return rounded(out.select("id", "date", "prediction"), "prediction")
 
@@ -869,7 +870,7 @@ def fc_drift(spark, sf):
 def fc_ets(spark, sf):
     """Form chosen per series on the weekly and the monthly track (additive and seasonal forms)."""
     dry = TRACKS["dry_monthly"]
-    monthly = rollup.prepare_track(star.daily_sales(spark, sf), dry.name).persist()
+    monthly = star.track_panel(spark, sf, dry.name).persist()
     parts = [
         ets.ets(p, t.horizon, t.season_length, t.frequency, forms=t.forms)
         for p, t in ((fresh(spark, sf), FRESH), (monthly, dry))
@@ -923,7 +924,9 @@ def gbt_train_rows(spark, sf):
 def gbt_prediction_rows(spark, sf):
     """Which predictions the models make, and that they can be used."""
     rows = _fitted(spark, sf, "l2").predict()
-    return rows.select("id", "date", (F.col("prediction") >= 0).alias("usable"))
+    most = fresh(spark, sf).groupBy("id").agg(F.max("sales").alias("most"))
+    near = F.col("prediction").between(0, 3 * F.col("most")) & ~F.isnan("prediction")
+    return rows.join(most, "id").select("id", "date", near.alias("usable"))
 
 
 @query
@@ -951,6 +954,133 @@ def gbt_importance(spark, sf):
     return _fitted(spark, sf, "l2").feature_importance()
 
 
+@query
+def eval_boosted(spark, sf):
+    """Walk-forward evaluation of the corrected Tweedie model; all folds and steps are grown together."""
+    forecaster, matrix = _boosted(spark, sf, "tweedie", "rolling_mean")
+    found = evaluate.evaluate_boosted(matrix, fresh_folds(matrix), forecaster)
+    return rounded(found, *METRIC_NAMES)
+
+
+@query
+def fc_glm_tweedie(spark, sf):
+    return rounded(glm.glm_forecast(_plain_matrix(spark, sf), features.feature_columns(), FRESH.horizon), "prediction")
+
+
+# Segments, ages, scaled errors ----------------------------------------------
+
+
+def _train(panel: DataFrame, folds: DataFrame) -> DataFrame:
+    return fold_ops.assign_folds(panel, folds).filter("role = 'train'")
+
+
+@query
+def segment_rotation(spark, sf):
+    return segments.rotation_tiers(fresh(spark, sf, "brand_type"))
+
+
+@query
+def metrics_by_rotation(spark, sf):
+    panel = fresh(spark, sf)
+    folds = fresh_folds(panel)
+    test, predictions = fresh_predictions(panel, folds)
+    return rounded(evaluate.metrics_by_rotation(_train(panel, folds), test, predictions), *METRIC_NAMES)
+
+
+@query
+def segment_lifecycle(spark, sf):
+    panel = fresh(spark, sf, "brand_type")
+    return rounded(segments.lifecycle(_train(panel, fresh_folds(panel))), "slope")
+
+
+@query
+def metrics_by_stage(spark, sf):
+    panel = fresh(spark, sf)
+    folds = fresh_folds(panel)
+    test, predictions = fresh_predictions(panel, folds)
+    return rounded(evaluate.metrics_by_stage(_train(panel, folds), test, predictions), *METRIC_NAMES)
+
+
+@query
+def feat_product_age(spark, sf):
+    return segments.product_age(fresh(spark, sf))
+
+
+@query
+def feat_promo_duration(spark, sf):
+    rows = promo.add_promo_runs(promo.promo_from_prices(star.prices(spark, sf)), star.calendar(spark, sf))
+    return rows.select("item_id", "store_id", "wm_yr_wk", "promo_run", "promo_weeks", "weeks_since_promo")
+
+
+@query
+def metric_mase(spark, sf):
+    panel = fresh(spark, sf)
+    folds = fresh_folds(panel)
+    test, predictions = fresh_predictions(panel, folds)
+    scales = evaluate.naive_scales(_train(panel, folds), FRESH.season_length)
+    return rounded(evaluate.mase(test, predictions, scales), "mase")
+
+
+@query
+def cardinality_sketch(spark, sf):
+    """Distinct items and stores per state over two years, merged from monthly sketches, against exact counts."""
+    columns, by = ["item_id", "store_id"], ["state_id"]
+    facts = star.sold_daily(spark, sf, "brand_type")
+    merged = sketches.merged_counts(sketches.distinct_sketches(facts, columns, by), columns, by, "1996-01-01", "1997-12-01")
+    chosen = facts.where("date BETWEEN DATE'1996-01-01' AND DATE'1997-12-31'")
+    exact = chosen.groupBy(*by).agg(*(F.count_distinct(c).alias(f"n_{c}") for c in columns))
+    far = lambda c: F.abs(F.col(c) - F.col(f"n_{c}")) <= 4 * sketches.STANDARD_ERROR * F.col(f"n_{c}")
+    return merged.join(exact, by).select(*by, *(f"n_{c}" for c in columns), *(far(c).alias(f"{c}_within_error") for c in columns))
+
+
+# Reconciliation -------------------------------------------------------------
+
+LEVELS = [(), ("state_id",), ("store_id",), ("item_id",), ("item_id", "store_id")]
+
+
+def _places(panel: DataFrame) -> DataFrame:
+    return panel.select("id", "item_id", "store_id", "state_id").distinct()
+
+
+@query
+def reconcile_bottom_up(spark, sf):
+    panel = fresh(spark, sf, attributes=True)
+    predictions = naive.drift(panel, FRESH.horizon)
+    exact = F.round("prediction", 6).cast("decimal(18,6)").alias("prediction")
+    rows = predictions.select("id", "date", exact).join(_places(panel), "id")
+    return reconcile.bottom_up(rows, LEVELS).withColumn("prediction", F.col("prediction").cast("double"))
+
+
+@query
+def reconcile_top_down(spark, sf):
+    panel = fresh(spark, sf, attributes=True)
+    total = panel.groupBy("date").agg(F.sum("sales").alias("sales")).withColumn("id", F.lit("total"))
+    volumes = panel.groupBy("id", "item_id", "store_id", "state_id").agg(F.sum("sales").alias("volume"))
+    return reconcile.top_down(naive.drift(total, FRESH.horizon), volumes, LEVELS)
+
+
+def _node_panel(panel: DataFrame) -> DataFrame:
+    """The series of every level; ids are level and node."""
+    sums = reconcile.level_sums(panel, LEVELS, "sales")
+    return sums.select(F.concat("level", F.lit("|"), "node").alias("id"), "date", "sales")
+
+
+@query
+def reconcile_mint(spark, sf):
+    """Drift forecasts of every level made coherent with their fold errors' shrunk covariance."""
+    panel = fresh(spark, sf, attributes=True)
+    nodes = _node_panel(panel).persist()
+    rows = fold_ops.assign_folds(nodes, fresh_folds(nodes))
+    predicted = naive.drift(rows.filter("role = 'train'"), FRESH.horizon, "W", ["fold_id"])
+    missed = rows.filter("role = 'test'").join(predicted, ["fold_id", "id", "date"])
+    error = F.struct("fold_id", "date", (F.col("sales") - F.col("prediction")).alias("e"))
+    errors = missed.groupBy(F.col("id").alias("node")).agg(F.transform(F.array_sort(F.collect_list(error)), lambda x: x["e"]).alias("errors"))
+    base = naive.drift(nodes, FRESH.horizon).withColumnRenamed("id", "node").persist()
+    dates = [r["date"] for r in base.select("date").distinct().orderBy("date").collect()]
+    edges = reconcile.hierarchy_edges(_places(panel), LEVELS[-1], LEVELS)
+    return reconcile.min_trace(base, errors, edges, dates)
+
+
 # Scoring ------------------------------------------------------------------
 
 

@@ -63,7 +63,7 @@ def write_result(df: DataFrame, path: str) -> str:
 
     Meant for tables of a few rows per model and fold; panels go to Parquet.
     """
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    df.repartition(1).write.mode("overwrite").option("header", True).csv(path)
     return path
 
 

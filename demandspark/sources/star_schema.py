@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from demandspark.operators.rollup import prepare_sparse_track
 from demandspark.schemas import CALENDAR, ID_COLUMNS
 
 # Fixed values -------------------------------------------------------------
@@ -211,6 +212,13 @@ def daily_sales(spark: SparkSession, sf_dir: str, grain: str = "brand") -> DataF
     )
 
 
+def track_panel(spark: SparkSession, sf_dir: str, track_name: str, grain: str = "brand", with_attributes: bool = False) -> DataFrame:
+    """A planning track straight from the days with shipments."""
+    bounds = _bounds(spark, sf_dir)
+    first, last = bounds.select("d0").scalar(), bounds.select("d1").scalar()
+    return prepare_sparse_track(sold_daily(spark, sf_dir, grain), track_name, first, last, with_attributes)
+
+
 def prices(spark: SparkSession, sf_dir: str, grain: str = "brand") -> DataFrame:
     """Lowest net unit price per (store, item, price week); does not depend on row order."""
     unit = F.try_divide(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import shutil
 import tempfile
 import uuid
@@ -71,12 +72,57 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, there as a whole or not at all: written aside and renamed over the old one in one step."""
+    jvm = spark._jvm
+    target, fs = _path(spark, path)
+    aside, _ = _path(spark, f"{path}.{uuid.uuid4().hex}")
+    stream = fs.create(aside, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark._jsc.hadoopConfiguration())
+    rename = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    rename[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(context.makeQualified(aside), context.makeQualified(target), rename)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    target, fs = _path(spark, path)
+    stream = fs.open(target)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def input_mark(spark: SparkSession, path: str) -> str:
+    """A hash over name, size and time of every file under ``path``; it changes when the input does."""
+    folder, fs = _path(spark, path)
+    files, seen = fs.listFiles(folder, True), []
+    while files.hasNext():
+        status = files.next()
+        seen.append((status.getPath().getName(), status.getLen(), status.getModificationTime()))
+    return hashlib.sha256(repr(sorted(seen)).encode()).hexdigest()[:16]
+
+
 def materialize(df: DataFrame, path: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Read the Parquet table at ``path``, writing ``df`` there first if it is absent."""
+    """Read the Parquet table at ``path``, writing ``df`` there first if it is not there as a whole.
+
+    The table is written aside and renamed once it is complete, so a job that dies leaves nothing at
+    ``path``; what an older job left there without its mark of success is replaced."""
     spark = df.sparkSession
-    if not exists(spark, path):
+    if not exists(spark, f"{path}/_SUCCESS"):
+        aside = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
         writer = df.write.mode("errorifexists")
         if partition_by:
             writer = writer.partitionBy(*partition_by)
-        writer.parquet(path)
+        writer.parquet(aside)
+        target, fs = _path(spark, path)
+        if not exists(spark, f"{path}/_SUCCESS"):  # another job may have been quicker
+            fs.delete(target, True)
+            fs.rename(_path(spark, aside)[0], target)
+        else:
+            fs.delete(_path(spark, aside)[0], True)
     return spark.read.parquet(path)

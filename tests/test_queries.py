@@ -23,6 +23,8 @@ SAMPLE = [
     "fc_ets",
     "score_batch",
     "eda_event_type_lift",
+    "metrics_by_rotation",
+    "reconcile_top_down",
 ]
 
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="test tables are absent")
@@ -42,7 +44,7 @@ def test_every_statement_belongs_to_a_query():
     # what SQL cannot say: model fits
     assert set(queries) - set(sql) == {
         "fc_gbt_l1", "fc_gbt_l2", "fc_tweedie", "fc_tweedie_corrected",
-        "gbt_importance",
+        "gbt_importance", "eval_boosted", "fc_glm_tweedie", "reconcile_mint",
     }
 
 
@@ -115,3 +117,22 @@ def test_department_filter_lies_below_the_joins(spark):
     plan = physical(contract.queries()["track_fresh_weekly"](spark, SF))
     joins = plan.index("Join")
     assert "FOODS_3" in plan[joins:] and "FOODS_3" not in plan[:joins]
+
+
+def test_a_track_makes_no_daily_rows(spark):
+    from demandspark.sources.star_schema import track_panel
+
+    plan = physical(track_panel(spark, SF, "fresh_weekly", "part"))
+    assert "interval 7 days" in plan.lower() or "INTERVAL '7' DAY" in plan.upper() or "sequence(" in plan
+    assert "sequence(d0" not in plan
+    scans = [line for line in plan.splitlines() if "FileScan" in line and "part.parquet" in line]
+    assert scans and all("FOODS_3" in line or "p_brand" in line for line in scans)
+
+
+def test_ranks_have_no_window_over_all_series(spark):
+    from demandspark.operators.segments import rotation_tiers
+    from demandspark.sources.star_schema import track_panel
+
+    plan = rotation_tiers(track_panel(spark, SF, "fresh_weekly"))._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window" in line]
+    assert windows and all("_before" in line or "_n" in line for line in windows)

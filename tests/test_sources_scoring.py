@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from demandspark import schemas
 from demandspark.operators import naive, windows
 from demandspark.operators.boosting import BoostedForecaster, BoostingSettings
+from demandspark.sources.storage import input_mark, materialize, write_text
 from demandspark.plans import evaluate, scoring
 from demandspark.sources import feature_store, files, storage
 from helpers import MONDAY, by_key, panel
@@ -108,16 +109,18 @@ def test_publish_and_load(spark, published):
 def test_load_refuses_other_things(spark, published, tmp_path):
     with pytest.raises(FileNotFoundError):
         scoring.load(spark, published, "absent")
-    panel(spark, {"A": [1]}).write.parquet(f"{published}/wrong/metadata")
     with pytest.raises(ValueError):
-        scoring.load(spark, published, "wrong")
-    meta = spark.read.parquet(f"{published}/drift/metadata")
-    meta.withColumn("format_version", F.lit("0.1")).write.parquet(f"{published}/old/metadata")
-    with pytest.raises(ValueError, match="format"):
-        scoring.load(spark, published, "old")
-    meta.write.parquet(f"{published}/bare/metadata")
-    for name in ("wrong", "old"):
-        spark.read.parquet(f"{published}/drift/predictions").write.parquet(f"{published}/{name}/predictions")
+        (tmp_path / "bare").mkdir()
+        scoring.load(spark, str(tmp_path), "bare")
+    drift = scoring.current_version(spark, f"{published}/drift")
+    meta = spark.read.parquet(f"{drift}/metadata")
+    for name, rows in (("wrong", panel(spark, {"A": [1]})), ("old", meta.withColumn("format_version", F.lit("0.1")))):
+        rows.write.parquet(f"{published}/{name}/v1/metadata")
+        spark.read.parquet(f"{drift}/predictions").write.parquet(f"{published}/{name}/v1/predictions")
+        write_text(spark, f"{published}/{name}/current", "v1")
+        with pytest.raises(ValueError, match="format" if name == "old" else "no published"):
+            scoring.load(spark, published, name)
+    meta.write.parquet(f"{published}/unnamed/v1/metadata")  # a job that died before it named its version
     assert [r["model_name"] for r in scoring.published_models(spark, published).collect()] == ["drift"]
     assert scoring.published_models(spark, str(tmp_path / "absent")).collect() == []
     assert scoring.published_predictions(spark, str(tmp_path / "absent")).collect() == []
@@ -181,3 +184,38 @@ def test_boosted_evaluation(spark):
     assert {r["fold_id"] for r in rows} == {0, 1} and {r["n_obs"] for r in rows} == {4}
     assert {r["model_name"] for r in rows} == {"BoostedTrees-l2"}
     assert rows[0]["test_end"] <= MONDAY.replace(year=2021)
+
+
+def test_a_reader_sees_whole_versions_only(spark, published, monkeypatch):
+    assert all(r["intact"] for r in scoring.verify(spark, published, "drift").collect())
+    before = scoring.load(spark, published, "drift")
+    first = [tuple(r) for r in before.predict().orderBy("id", "date").collect()]
+    new = panel(spark, {"A": [1, 2], "B": [3, 4]})
+    predictions = new.withColumn("prediction", F.col("sales") * 100).select("id", "date", "prediction")
+
+    def dies(*_):
+        raise RuntimeError("killed")
+
+    # killed after everything was written, but before the version was named
+    monkeypatch.setattr(scoring, "write_text", dies)
+    with pytest.raises(RuntimeError):
+        scoring.publish(published, "drift", "t", new, predictions, 2, "W")
+    monkeypatch.undo()
+    assert [tuple(r) for r in scoring.load(spark, published, "drift").predict().orderBy("id", "date").collect()] == first
+    scoring.publish(published, "drift", "t", new, predictions, 2, "W")
+    # who loaded before goes on reading the old version, who loads now reads the new one
+    assert [tuple(r) for r in before.predict().orderBy("id", "date").collect()] == first
+    assert {r["prediction"] for r in scoring.load(spark, published, "drift").predict().collect()} == {100.0, 200.0, 300.0, 400.0}
+    assert {r["model_name"] for r in scoring.published_predictions(spark, published).collect()} >= {"drift"}
+    assert all(r["intact"] for r in scoring.verify(spark, published, "drift").collect())
+
+
+def test_materialize_replaces_what_a_dead_job_left(spark, tmp_path):
+    path = str(tmp_path / "table")
+    spark.range(3).write.parquet(path)
+    (tmp_path / "table" / "_SUCCESS").unlink()
+    assert materialize(spark.range(10), path).count() == 10
+    assert materialize(spark.range(99), path).count() == 10
+    mark = input_mark(spark, path)
+    spark.range(5).write.mode("overwrite").parquet(path)
+    assert input_mark(spark, path) != mark
