@@ -119,7 +119,7 @@ def shrinkage(errors: DataFrame, n: int) -> Shrunk:
 
 
 def min_trace(
-    base: DataFrame, errors: DataFrame, edges: DataFrame, dates: Sequence, weight: float | None = None, tolerance: float = 1e-9, most_rounds: int = 1000
+    base: DataFrame, errors: DataFrame, edges: DataFrame, dates: Sequence, weight: float | None = None, tolerance: float = 1e-7, most_rounds: int = 1000
 ) -> DataFrame:
     """Minimum-trace reconciliation: ``node, date, prediction`` of all nodes, coherent.
 
@@ -168,6 +168,8 @@ def min_trace(
     rz = numbers(state, dot("r", "r"))
     goal = tolerance**2 * np.maximum(rz, 1e-300)
     literal = lambda values: F.array(*(F.lit(float(v)) for v in values))
+    # numbers of a round stay inside array literals: the generated code is then that of the round before
+    inner = lambda c, v: F.aggregate(F.zip_with(F.col(c), literal(v), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
     for _ in range(most_rounds):
         if (rz <= goal).all():
             break
@@ -175,7 +177,7 @@ def min_trace(
         spread = grid.join(state.select(F.col("node").alias("b"), "p"), "b").groupBy("a").agg(
             F.array(*(F.sum(F.col("m") * F.col("p")[i]) for i in range(h))).alias("g")
         )
-        low_rank = F.array(*(sum((F.col("f")[t] * float(z[t, i]) for t in range(n)), F.lit(0.0)) for i in range(h)))
+        low_rank = F.array(*(inner("f", z[:, i]) for i in range(h)))
         q = F.zip_with(F.zip_with("g", F.transform("p", lambda v: v * F.col("d")), lambda a, b: a + b), low_rank, lambda a, b: a + b)
         state = cut_lineage(state.join(spread, F.col("node") == F.col("a")).select("node", "d", "f", "w", "r", "u", "p", q.alias("q")))
         got = numbers(state, [*dot("p", "q"), *dot("r", "q"), *dot("q", "q")]).reshape(3, h)
@@ -186,13 +188,14 @@ def min_trace(
         state = state.select("node", "d", "f", "w", along("r", "q", -alpha).alias("r"), along("u", "p", alpha).alias("u"), "p")
         steep = F.transform("r", lambda v: v * F.col("w"))
         state = state.withColumn("p", F.zip_with(steep, F.zip_with("p", literal(beta), lambda v, k: v * k), lambda a, b: a + b))
+        state = cut_lineage(state)  # else each of the sums below would hold the whole expression
         rz = np.where(alpha > 0, after, rz)
     else:
         raise RuntimeError(f"no solution within {most_rounds} rounds")
     # y - W C' u at the bottom: C'u is minus the sum of u over the ancestors
     total = numbers(state, [F.sum(F.col("f")[t] * F.col("u")[i]) for t in range(n) for i in range(h)]).reshape(n, h)
     pulled = edges.join(state.select(F.col("node").alias("ancestor"), "u"), "ancestor").groupBy("bottom").agg(plus("u", h).alias("c"))
-    joint = F.array(*(sum((F.col("e")[t] * float(total[t, i]) for t in range(n)), F.lit(0.0)) for i in range(h)))
+    joint = F.array(*(inner("e", total[:, i]) for i in range(h)))
     moved = F.zip_with(F.zip_with("y", F.transform("c", lambda v: v * F.col("d")), lambda a, b: a + b), joint, lambda a, b: a - b)
     bottoms = cut_lineage(nodes.join(pulled, F.col("node") == F.col("bottom")).select("bottom", moved.alias("y")))
     sums = edges.join(bottoms, "bottom").groupBy(F.col("ancestor").alias("node")).agg(plus("y", h).alias("y"))

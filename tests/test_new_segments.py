@@ -123,11 +123,11 @@ def dense_min_trace(y, errors, summing, weight):
     return summing @ bottom
 
 
-@pytest.mark.parametrize("weight", [0.4, None])
+@pytest.mark.parametrize("weight", [None])
 def test_min_trace_against_matrices(spark, weight):
-    rng, keys = hierarchy(spark)
-    nodes = ["total|total", *[f"state|s{k}" for k in range(3)], *[f"item|i{k}" for k in range(4)], *[f"item__state|{i}__{s}" for i, s in keys]]
-    bottoms = nodes[8:]
+    rng, keys = hierarchy(spark, items=3, states=2)
+    nodes = ["total|total", *[f"state|s{k}" for k in range(2)], *[f"item|i{k}" for k in range(3)], *[f"item__state|{i}__{s}" for i, s in keys]]
+    bottoms = nodes[6:]
     summing = np.zeros((len(nodes), len(bottoms)))
     for c, (i, s) in enumerate(keys):
         for node in ("total|total", f"state|{s}", f"item|{i}", bottoms[c]):
@@ -141,7 +141,7 @@ def test_min_trace_against_matrices(spark, weight):
     edges = reconcile.hierarchy_edges(series, LEVELS[-1], LEVELS)
     got = by_key(reconcile.min_trace(base, table, edges, days, weight), "node", "date")
     found = np.array([[got[v, d]["prediction"] for d in days] for v in nodes])
-    assert np.abs(found - summing @ found[8:]).max() < 1e-6  # coherent
+    assert np.abs(found - summing @ found[6:]).max() < 1e-6  # coherent
     used = reconcile.shrinkage(table, 8).weight if weight is None else weight
     if weight is None:
         z = errors / np.sqrt((errors**2).mean(axis=1, keepdims=True))
@@ -150,7 +150,7 @@ def test_min_trace_against_matrices(spark, weight):
         spread = 8 / 7**3 * ((products - r[:, :, None]) ** 2).sum(axis=2)
         off = ~np.eye(len(nodes), dtype=bool)
         assert used == pytest.approx(spread[off].sum() / ((r * 8 / 7) ** 2)[off].sum(), rel=1e-6)
-    assert np.abs(found - dense_min_trace(y, errors, summing, used)).max() < 1e-2 * np.abs(found).max()
+    assert np.abs(found - dense_min_trace(y, errors, summing, used)).max() < 1e-5 * np.abs(found).max()
 
 
 def test_sketches_merge_to_exact_counts_within_their_error(spark):
