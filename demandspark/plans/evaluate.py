@@ -157,7 +157,7 @@ def metrics_by_stage(train: DataFrame, test: DataFrame, predictions: DataFrame)
 
 
 def summarise(metrics: DataFrame) -> DataFrame:
-    """Mean metrics over the folds per model, sample deviation of WMAPE, total points."""
+    """Mean metrics over the folds per model, sample deviation of WMAPE, total points; one row a model, in any order."""
     return (
         metrics.groupBy("model_name")
         .agg(
