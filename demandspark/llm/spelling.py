@@ -382,17 +382,19 @@ WITH RECURSIVE t AS (
   SELECT word, word AS k FROM words
   UNION SELECT word, concat(left(word, i), substr(word, i + 2)) FROM (SELECT word, unnest(range(length(word))) AS i FROM words)
 ), pairs AS (
-  SELECT DISTINCT a.word AS a, b.word AS b FROM keys a JOIN keys b USING (k) WHERE a.word <> b.word AND levenshtein(a.word, b.word) = 1
+  SELECT DISTINCT a.word AS a, b.word AS b FROM keys a JOIN keys b USING (k)
+  WHERE (length(a.word) = length(b.word) + 1 AND k = b.word) OR (length(b.word) = length(a.word) + 1 AND k = a.word)
+    OR (length(a.word) = length(b.word) AND len(list_filter(range(1, length(a.word) + 1), lambda i : substr(a.word, CAST(i AS BIGINT), 1) <> substr(b.word, CAST(i AS BIGINT), 1))) = 1)
 ), best AS (
   SELECT a, count(*) AS n_near, first(b ORDER BY n DESC, b) AS form, max(n) AS form_n FROM pairs JOIN words ON word = b GROUP BY a
 ), forms AS (
   SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 2 * n THEN form END AS form, CASE WHEN form_n >= 2 * n THEN form_n END AS form_n
   FROM words LEFT JOIN best ON word = a
 ), ways AS (
-  SELECT word, word AS at FROM forms
-  UNION ALL SELECT ways.word, forms.form FROM ways JOIN forms ON forms.word = ways.at WHERE forms.form IS NOT NULL
+  SELECT word, word AS here FROM forms
+  UNION ALL SELECT ways.word, forms.form FROM ways JOIN forms ON forms.word = ways.here WHERE forms.form IS NOT NULL
 ), ends AS (
-  SELECT ways.word, at AS root FROM ways JOIN forms ON forms.word = ways.at WHERE forms.form IS NULL
+  SELECT ways.word, here AS root FROM ways JOIN forms ON forms.word = ways.here WHERE forms.form IS NULL
 )
 SELECT word, form, root, n, CAST(n_near AS BIGINT) AS n_near, form_n FROM forms JOIN ends USING (word)
 """
