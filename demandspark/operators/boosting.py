@@ -40,7 +40,7 @@ OBJECTIVES = ("l1", "l2", "tweedie")
 MISSING = -1.0
 
 #: Rows of a block and partition at most, and at least while there are idle cores.
-ROWS_PER_PARTITION, ROWS_WORTH_A_TASK = 250_000, 4_096
+ROWS_PER_PARTITION, ROWS_WORTH_A_TASK = 250_000, 16_384
 #: Partial sums that the driver adds up itself; more of them are added in a tree of tasks first.
 DIRECT_PARTS = 32
 UNIT = float(1 << 20)
@@ -236,8 +236,10 @@ class _Growth:
         features, bins = tree
 
         def part(b: _Block) -> np.ndarray:
-            out = np.zeros((kinds, many * len(columns) * width))
+            size = many * width
+            out = np.zeros((kinds, len(columns), size))
             drawn = uniform(b.key, s.seed + r) < s.row_fraction if s.row_fraction < 1 else np.ones(len(b.key), bool)
+            held = []
             for k in range(b.y.shape[1]):
                 at = node_at(b.bins, features[k], bins[k], level)
                 place = parents[k][at >> 1] if level else np.full(len(at), parents[k][0])
@@ -248,19 +250,23 @@ class _Growth:
                 if not len(rows):
                     continue
                 g, h = gradients(objective, b.y[rows, k], b.margin[rows, k], s.tweedie_power)
-                cells = (place[rows][:, None] * len(columns) + np.arange(len(columns))[None, :]) * width + b.bins[rows][:, columns]
-                cells = cells.ravel()
-                out[0] += np.bincount(cells, np.repeat(np.rint(g * UNIT), len(columns)), out.shape[1])
+                held.append((rows, place[rows] * width, np.rint(g * UNIT), np.rint(h * UNIT)))
+            if not held:
+                return out
+            rows, first, g, h = (np.concatenate(v) for v in zip(*held, strict=True))
+            for i, j in enumerate(columns):
+                cells = first + b.bins[:, j][rows]
+                out[0, i] = np.bincount(cells, g, size)
                 if kinds == 3:
-                    out[1] += np.bincount(cells, np.repeat(np.rint(h * UNIT), len(columns)), out.shape[1])
-                out[-1] += np.bincount(cells, minlength=out.shape[1])
+                    out[1, i] = np.bincount(cells, h, size)
+                out[-1, i] = np.bincount(cells, minlength=size)
             return out
 
         found = self._added(part, state)
         shape = (many, len(columns), width)
         if found is None:
             return np.zeros((3, *shape))
-        found = found.reshape(kinds, *shape)
+        found = found.reshape(kinds, len(columns), many, width).transpose(0, 2, 1, 3)
         return np.stack([found[0] / UNIT, found[1] / UNIT if kinds == 3 else found[-1], found[-1]])
 
     def _medians(self, state: RDD, tree) -> np.ndarray:
@@ -393,11 +399,11 @@ def grow(
 
         def block() -> pa.RecordBatch:
             x, y, k = (np.concatenate(parts) for parts in zip(*held, strict=True))
-            cells = [x.tobytes(), y.tobytes(), k.tobytes()]
+            cells = [x.tobytes("F"), y.tobytes(), k.tobytes()]  # bins feature by feature
             return pa.RecordBatch.from_arrays([pa.array([len(k)], pa.int32()), *(pa.array([c], pa.binary()) for c in cells)], ["n", "bins", "y", "key"])
 
         for batch in batches:
-            x = np.ascontiguousarray(binned(matrix_of(batch.column("x"), width), edges))
+            x = binned(matrix_of(batch.column("x"), width), edges)
             y = np.stack([batch.column(t).to_numpy(zero_copy_only=False).astype(np.float64) for t in names], axis=1)
             held.append((x, y, batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64)))
             size += len(x)
@@ -409,12 +415,13 @@ def grow(
 
     cores = spark.sparkContext.defaultParallelism
     parts = max(math.ceil(found["_n"] / ROWS_PER_PARTITION), min(cores, math.ceil(found["_n"] / ROWS_WORTH_A_TASK)))
-    packed = data.repartition(parts, "id").mapInArrow(pack, "n int, bins binary, y binary, key binary")
+    # by the hash of the row: a hot series spreads, and the exchange is not dropped for one by id below it
+    packed = data.repartition(parts, "key").mapInArrow(pack, "n int, bins binary, y binary, key binary")
     packed = cut_lineage(packed)
     models = len(names)
 
     def unpack(row) -> _Block:
-        bins = np.frombuffer(row.bins, np.uint8).reshape(row.n, width)
+        bins = np.frombuffer(row.bins, np.uint8).reshape((row.n, width), order="F")
         return _Block(bins, np.frombuffer(row.y).reshape(row.n, models), np.frombuffer(row.key, np.uint64), np.zeros((row.n, 0)))
 
     blocks = packed.rdd.map(unpack).persist(StorageLevel.MEMORY_AND_DISK)
