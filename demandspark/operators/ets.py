@@ -3,7 +3,8 @@
 Spark shuffles the panel once into one sorted array per series (bounded by the number of periods).
 Every row of a parameter grid is then folded over the array by ``aggregate``: one recursion serves all
 forms, since a missing trend or season is one that stays 0. The form and parameters with the least
-AICc win. The grid replaces a numerical optimizer per series; no Python runs on the executors.
+AICc win. With ``refinements``, finer grids follow around the best row, each half as wide as the one
+before, so the first grid no longer decides the fit. No Python runs on the executors.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ ALPHAS = (0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 0.9)
 BETAS = (0.01, 0.1, 0.3)
 GAMMAS = (0.05, 0.1, 0.3)
 PHIS = (0.85, 0.95)
+NAMES = ("alpha", "beta", "gamma", "phi")
 
 # error (A or M), trend (N, A or damped Ad) and season (N or A) of each form
 FORMS = (*SMOOTHING_FORMS, "ANA", "MNA", "AAA", "MAA", "AAdA", "MAdA")
@@ -125,16 +127,42 @@ def _fold(values: Column, p: Column, start: Column, season: Column, m: int) -> C
     return F.aggregate(points, state, step)
 
 
-def _candidates(values: Column, trend: str, kind: str, rows: list[tuple], forms: dict[str, int], season_length: int) -> Column:
-    """Every usable form of one trend and season with every row of its grid, as an array of structs."""
+def _grid(rows: list[tuple]) -> Column:
+    """The rows of a grid as an array of structs."""
+    return F.array(*[
+        F.struct(F.lit(i).alias("number"), *(F.lit(v).alias(c) for c, v in zip(NAMES, r, strict=True))) for i, r in enumerate(rows)
+    ])
+
+
+def _around(fit: Column, trend: str, kind: str, alphas: Sequence[float], turn: int) -> Column:
+    """Rows around the fitted one, ``2 ** -turn`` of the way to the neighbours in the first grid."""
+    share = F.lit(0.5**turn)
+
+    def near(name: str, grid: Sequence[float], low: float, high: float) -> Column:
+        v, known = fit[name], F.array(*map(F.lit, grid))
+        below = F.coalesce(F.array_max(F.filter(known, lambda x: x < v)), (v + F.lit(low)) / 2)
+        above = F.coalesce(F.array_min(F.filter(known, lambda x: x > v)), (v + F.lit(high)) / 2)
+        return F.array(v - (v - below) * share, v, v + (above - v) * share)
+
+    a = near("alpha", alphas, 0.0, 1.0)
+    b = near("beta", BETAS, 0.0, 1.0) if trend != "N" else F.array(fit["beta"])
+    g = near("gamma", GAMMAS, 0.0, 1.0) if kind != "N" else F.array(fit["gamma"])
+    p = near("phi", PHIS, 0.8, 0.98) if trend == "Ad" else F.array(fit["phi"])
+    rows = F.flatten(F.flatten(F.flatten(F.transform(a, lambda w: F.transform(b, lambda x: F.transform(g, lambda y: F.transform(
+        p, lambda z: F.struct(*(v.alias(c) for v, c in zip((w, x, y, z), NAMES, strict=True))))))))))
+    if trend != "N":
+        rows = F.filter(rows, lambda q: q["beta"] < q["alpha"])
+    if kind != "N":
+        rows = F.filter(rows, lambda q: q["gamma"] < 1 - q["alpha"])
+    return F.transform(rows, lambda q, i: F.struct((i + 1000 * turn).alias("number"), *(q[c].alias(c) for c in NAMES)))
+
+
+def _candidates(values: Column, trend: str, kind: str, params: Column, forms: dict[str, int], season_length: int) -> Column:
+    """Every usable form of one trend and season with every row of ``params``, as an array of structs."""
     n = F.size(values).cast("double")
     m = season_length if kind != "N" else 1
     k = free_parameters(trend, kind, season_length)
     penalty = 2.0 * k + 2.0 * k * (k + 1) / (n - k - 1)
-    names = ("alpha", "beta", "gamma", "phi")
-    params = F.array(*[
-        F.struct(F.lit(i).alias("number"), *(F.lit(v).alias(c) for c, v in zip(names, r, strict=True))) for i, r in enumerate(rows)
-    ])
 
     def judged(a: Column, p: Column) -> Column:
         out = []
@@ -147,7 +175,7 @@ def _candidates(values: Column, trend: str, kind: str, rows: list[tuple], forms:
                 usable = usable & ~a["bad"] & (F.array_min(values) > 0)
             out.append(F.when(usable, F.struct(
                 score.alias("aicc"), F.lit(order).alias("order"), p["number"].alias("number"), F.lit(form).alias("form"),
-                p["alpha"].alias("alpha"), p["phi"].alias("phi"), a["level"].alias("level"), a["slope"].alias("slope"),
+                *(p[c].alias(c) for c in NAMES), a["level"].alias("level"), a["slope"].alias("slope"),
                 a["season"].alias("season"))))
         return F.array(*out)
 
@@ -160,15 +188,31 @@ def _candidates(values: Column, trend: str, kind: str, rows: list[tuple], forms:
     return F.when(F.size(values) >= (2 * m if kind != "N" else 1), let(season, fitted))
 
 
-def best_fit(values: Column, season_length: int, forms: Sequence[str], alphas: Sequence[float] = ALPHAS) -> Column:
-    """The form with the least AICc: ``aicc, order, number, form, alpha, phi, level, slope, season``; NULL
-    if none can be used. Ties go to the earlier form, then to the earlier row of the grid."""
-    found = [
-        _candidates(values, trend, kind, rows, {f: i for i, f in enumerate(forms) if (f[1:-1], f[-1]) == (trend, kind)}, season_length)
-        for (trend, kind), rows in grids(forms, alphas).items()
-    ]
+def best_fit(
+    values: Column, season_length: int, forms: Sequence[str], alphas: Sequence[float] = ALPHAS, refinements: int = 0
+) -> Column:
+    """The form with the least AICc: ``aicc, order, number, form``, its parameters, ``level, slope, season``;
+    NULL if none can be used. Ties go to the earlier form, then to the earlier row of the grid. Every
+    refinement tries rows around the best one of its trend and season and keeps it if none is better."""
+    groups = grids(forms, alphas)
+    named = {g: {f: i for i, f in enumerate(forms) if (f[1:-1], f[-1]) == g} for g in groups}
+    found = [_candidates(values, *g, _grid(rows), named[g], season_length) for g, rows in groups.items()]
     every = F.flatten(F.filter(F.array(*found), lambda c: c.isNotNull()))
-    return F.array_min(F.filter(every, lambda c: c.isNotNull()))
+    best = F.array_min(F.filter(every, lambda c: c.isNotNull()))
+
+    def tries(fit: Column, turn: int) -> Column:
+        tried = F.coalesce(*(
+            F.when(fit["form"].isin(list(named[g])), _candidates(values, *g, _around(fit, *g, alphas, turn), named[g], season_length))
+            for g in groups
+        ))
+        return F.array_min(F.concat(F.array(fit), F.filter(tried, lambda c: c.isNotNull())))
+
+    def finer(fit: Column, turn: int) -> Column:
+        return let(fit, lambda f: tries(f, turn))
+
+    for turn in range(1, refinements + 1):
+        best = finer(best, turn)
+    return best
 
 
 def forecast_at(fit: Column, n: Column, h: Column) -> Column:
@@ -205,6 +249,7 @@ def _forecast(
     min_history: int | None,
     forms: Sequence[str],
     alphas: Sequence[float],
+    refinements: int,
 ) -> DataFrame:
     check_frequency(frequency)
     if season_length < 2 and any(f[-1] != "N" for f in forms):
@@ -222,7 +267,7 @@ def _forecast(
         ))
 
     def routed(y: Column) -> Column:
-        return let(F.when(F.size(y) >= need, best_fit(y, season_length, forms, alphas)), lambda fit: points(y, fit))
+        return let(F.when(F.size(y) >= need, best_fit(y, season_length, forms, alphas, refinements)), lambda fit: points(y, fit))
 
     # one expression: the optimizer would repeat a fit that stands in a column of its own
     return (
@@ -243,6 +288,7 @@ def ets(
     by: Sequence[str] = (),
     forms: Sequence[str] = SMOOTHING_FORMS,
     alphas: Sequence[float] = ALPHAS,
+    refinements: int = 0,
 ) -> DataFrame:
     """Predictions with the ``route`` taken: the chosen form, or drift for short series.
 
@@ -251,7 +297,7 @@ def ets(
     """
     series = series_arrays(train, by).withColumn("_y", F.transform("_points", lambda q: q["y"]))
     return _forecast(
-        series, last_date(train, by), [*by, "id"], horizon, season_length, frequency, min_history, forms, alphas
+        series, last_date(train, by), [*by, "id"], horizon, season_length, frequency, min_history, forms, alphas, refinements
     )
 
 
@@ -264,6 +310,7 @@ def ets_folds(
     min_history: int | None = None,
     forms: Sequence[str] = SMOOTHING_FORMS,
     alphas: Sequence[float] = ALPHAS,
+    refinements: int = 0,
 ) -> DataFrame:
     """:func:`ets` for all folds; each history is shuffled once and cut per fold in place."""
     fold = F.col("_fold")
@@ -286,6 +333,7 @@ def ets_folds(
         min_history,
         forms,
         alphas,
+        refinements,
     )
 
 

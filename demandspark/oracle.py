@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from demandspark.operators.naive import NAIVE_MODELS
-from demandspark.operators.ets import free_parameters, grids
+from demandspark.operators.ets import ALPHAS, BETAS, free_parameters, grids
 from demandspark.queries import COVERAGE_MINIMUM
 from demandspark.schemas import FEATURE_LAGS, FEATURE_WINDOWS, NAMED_EVENTS, SMOOTHING_FORMS, TRACKS
 from demandspark.sources.star_schema import DEPARTMENTS, SNAP_DAYS
@@ -316,7 +316,7 @@ def _smooth(name: str, source: str, by: str, forms: tuple[str, ...], m: int, hor
             / greatest(list_sum(list_transform(range(1, len(v) + 1), lambda j: (j - middle) * (j - middle))), 1e-12::double) as rise
   from {name}_m),
 {name}_r as materialized (
-  select {by}id, n, lo, m, p.trend, p.season, p.number, p.alpha, p.phi, list_reduce(
+  select {by}id, n, lo, m, p.trend, p.season, p.number, p.alpha, p.beta, p.phi, list_reduce(
     list_transform(ys, lambda y, i: {{'y': y, 'ph': (i - 1) % m + 1, 'level': 0.0::double, 'slope': 0.0::double, 'seas': seas,
       'sse': 0.0::double, 'rel': 0.0::double, 'logs': 0.0::double, 'bad': false}}),
     lambda a, x: {{'y': 0.0::double, 'ph': x.ph,
@@ -348,6 +348,48 @@ def _smooth(name: str, source: str, by: str, forms: tuple[str, ...], m: int, hor
        range(1, {horizon + 1}) t(h) where place = 1)"""
 
 
+def _refined(name: str, source: str, m: int, horizon: int, date: str, turns: int) -> str:
+    """``_smooth`` of ANN and AAN with finer rows tried around the best one, a number of times."""
+
+    def near(v: str, grid: tuple[float, ...], share: float) -> str:
+        known = "[" + ", ".join(f"{x}::double" for x in grid) + "]"
+        below = f"coalesce(list_max(list_filter({known}, lambda x: x < {v})), {v} / 2)"
+        above = f"coalesce(list_min(list_filter({known}, lambda x: x > {v})), ({v} + 1) / 2)"
+        return f"[{v} - ({v} - {below}) * {share}::double, {v}, {v} + ({above} - {v}) * {share}::double]"
+
+    parts = [_smooth(name, source, "", ("ANN", "AAN"), m, horizon, date)]
+    parts.append(f"{name}_b0 as (select id, n, form, k, number, alpha, beta, e.level as level, e.slope as slope, aicc "
+                 f"from {name}_j join {name}_f using (form) where place = 1)")
+    for t in range(1, turns + 1):
+        share = 0.5**t
+        parts.append(f"""{name}_x{t} as (
+  select * from (
+    select id, form, k, {1000 * t} + ia * 3 + ib as number, {near("alpha", ALPHAS, share)}[ia] as alpha,
+           case when form = 'ANN' then beta else {near("beta", BETAS, share)}[ib] end as beta
+    from {name}_b{t - 1}, range(1, 4) a(ia), range(1, 4) b(ib) where form = 'AAN' or ib = 1)
+  where form = 'ANN' or beta < alpha),
+{name}_e{t} as (
+  select id, n, form, k, number, alpha, beta, list_reduce(
+    list_transform(ys, lambda y: {{'y': y, 'level': 0.0::double, 'slope': 0.0::double, 'sse': 0.0::double}}),
+    lambda a, x: {{'y': 0.0::double, 'level': (a.level + a.slope) + alpha * (x.y - (a.level + a.slope)),
+      'slope': a.slope + beta * (x.y - (a.level + a.slope)),
+      'sse': a.sse + (x.y - (a.level + a.slope)) * (x.y - (a.level + a.slope))}},
+    {{'y': 0.0::double, 'level': case when form = 'ANN' then mean else mean - rise * middle end,
+      'slope': case when form = 'ANN' then 0.0::double else rise end, 'sse': 0.0::double}}) as e
+  from {name}_x{t} join {name}_b using (id)),
+{name}_b{t} as (
+  select * exclude (place) from (
+    select *, row_number() over (partition by id order by aicc, number) as place from (
+      select * from {name}_b{t - 1} union all
+      select id, n, form, k, number, alpha, beta, e.level, e.slope,
+             n * ln(greatest(e.sse, 1e-12::double)) + (2.0 * k + 2.0 * k * (k + 1) / (n - k - 1)) from {name}_e{t}))
+  where place = 1)""")
+    parts.append(f"""{name}_out as (
+  select id, form as route, {date} as date, greatest(0.0, level + h * slope) as prediction
+  from {name}_b{turns}, (select max(date) as last from {source}) l, range(1, {horizon + 1}) t(h))""")
+    return ",\n".join(parts)
+
+
 def _lift(rows: str, group: str, cond: str) -> str:
     return f"""select {group}, round(f, 6) as false_avg, round(t, 6) as true_avg,
        round((t / nullif(f, 0) - 1) * 100, 6) as lift_pct
@@ -747,6 +789,7 @@ from (select count(*) as n_series, count(*) filter (f > d0) as n_cold_start from
     q["fc_drift"] = _both(_drift("fresh", "", 4, W_DATE), _drift("dry", "", 3, M_DATE))
     out = "select id, route, date, round(prediction, 6) as prediction from "
     q["fc_ses"] = _sql(out + "ses", _smooth("ses", "fresh", "", ("ANN",), 52, 4, W_DATE))
+    q["fc_ets_refined"] = _sql(out + "fine_out", _refined("fine", "fresh", 52, 4, W_DATE, 3))
     q["fc_ets"] = _sql(
         out + "sw union all " + out + "sm", DRY,
         _smooth("sw", "fresh", "", SMOOTHING_FORMS, 52, 4, W_DATE),

@@ -894,6 +894,13 @@ def fc_ses(spark, sf):
     return rounded(rows, "prediction")
 
 
+@query
+def fc_ets_refined(spark, sf):
+    """Level and trend smoothing with three finer grids around the best row."""
+    rows = ets.ets(fresh(spark, sf), FRESH.horizon, FRESH.season_length, forms=("ANN", "AAN"), refinements=3)
+    return rounded(rows, "prediction")
+
+
 def _boosted(spark, sf, objective: str, correction: str = "none"):
     matrix = _plain_matrix(spark, sf).persist()
     forecaster = BoostedForecaster(

@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 
@@ -60,9 +61,9 @@ def plain_loop(y, form, m, alpha, beta, gamma, phi, horizon):
     return aicc, out
 
 
-def chosen(spark, series, season, horizon, forms, alphas=ets.ALPHAS):
+def chosen(spark, series, season, horizon, forms, alphas=ets.ALPHAS, refinements=0):
     df = spark.createDataFrame([(k, [float(v) for v in y]) for k, y in enumerate(series)], "k int, y array<double>")
-    fit = df.select("k", "y", ets.best_fit(F.col("y"), season, forms, alphas).alias("fit"))
+    fit = df.select("k", "y", ets.best_fit(F.col("y"), season, forms, alphas, refinements).alias("fit"))
     ahead = F.transform(F.sequence(F.lit(1), F.lit(horizon)), lambda h: ets.forecast_at(F.col("fit"), F.size("y"), h))
     return fit.select("k", "fit", ahead.alias("points")).orderBy("k").collect()
 
@@ -80,6 +81,46 @@ def test_fold_against_plain_loop(spark, form):
         assert got["points"] == pytest.approx(best[1], rel=1e-9)
 
 
+def halfway(v, grid, low, high, turn):
+    below = max([x for x in grid if x < v], default=(v + low) / 2)
+    above = min([x for x in grid if x > v], default=(v + high) / 2)
+    return [v - (v - below) / 2**turn, v, v + (above - v) / 2**turn]
+
+
+@pytest.mark.parametrize("form", ["ANN", "AAN", "MAdN", "AAA"])
+def test_refinement_against_plain_loop(spark, form):
+    rng = random.Random(form)
+    series = [[20 + 0.2 * i + 3 * math.sin(i * math.pi / 2) + 5 * rng.random() for i in range(n)] for n in (50, 33)]
+    alphas, trend, season = (0.1, 0.5), form[1:-1], form[-1]
+    coarse, fine = (chosen(spark, series, 4, 3, [form], alphas, r) for r in (0, 2))
+    for y, before, after in zip(series, coarse, fine, strict=True):
+        tried = lambda row: plain_loop(y, form, 4, *row, 3)[0]  # noqa: B023, E731
+        best = min(ets.grids([form], alphas)[trend, season], key=tried)
+        for turn in (1, 2):
+            a, b, g, p = best
+            rows = [best, *itertools.product(
+                halfway(a, alphas, 0, 1, turn),
+                halfway(b, ets.BETAS, 0, 1, turn) if trend != "N" else [b],
+                halfway(g, ets.GAMMAS, 0, 1, turn) if season != "N" else [g],
+                halfway(p, ets.PHIS, 0.8, 0.98, turn) if trend == "Ad" else [p],
+            )]
+            rows = [r for r in rows if (trend == "N" or r[1] < r[0]) and (season == "N" or r[2] < 1 - r[0])]
+            best = min(rows, key=tried)
+        assert after["fit"]["aicc"] == pytest.approx(tried(best), rel=1e-9)
+        assert after["fit"]["aicc"] <= before["fit"]["aicc"]
+        assert [after["fit"][c] for c in ets.NAMES] == pytest.approx(best)
+
+
+def test_refinement_never_worse_and_without_a_form(spark):
+    rng = random.Random(5)
+    series = [[max(0, rng.gauss(5 + k, 3)) for _ in range(30)] for k in range(6)] + [[1, 2], [0] * 12]
+    coarse, fine = (chosen(spark, series, 4, 2, ["ANN", "MNN", "AAdN"], refinements=r) for r in (0, 3))
+    for a, b in zip(coarse, fine, strict=True):
+        assert (a["fit"] is None) == (b["fit"] is None)
+        assert a["fit"] is None or b["fit"]["aicc"] <= a["fit"]["aicc"]
+    assert any(a["fit"] and b["fit"]["aicc"] < a["fit"]["aicc"] for a, b in zip(coarse, fine, strict=True))
+
+
 def test_forms_that_cannot_serve(spark):
     with pytest.raises(ValueError):
         ets.grids(["MNM"])
