@@ -29,6 +29,7 @@ from demandspark.llm.tables import SPACES, stored
 
 MARKS = r"^[\x20\x09]*(?:>[\x20\x09]?)+"
 ASCII = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+TURN_BITS = 10
 
 
 def normalised(text: Column) -> Column:
@@ -44,17 +45,26 @@ def passages(text: Column) -> Column:
             F.regexp_replace(line, MARKS, "").alias("body"),
         ),
     )
-    kind = "array<struct<level:int,lines:array<string>>>"
-    start = F.array().cast(kind)
 
-    def merge(done, line):
-        last = F.element_at(done, -1)
-        same = (F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["level"] == line["level"]) & (F.trim(line["body"]) != "")
-        grown = F.array(F.struct(line["level"].alias("level"), F.concat(last["lines"], F.array(line["body"])).alias("lines")))
-        fresh = F.array(F.struct(line["level"].alias("level"), F.array(line["body"]).alias("lines")))
-        return F.when(same, F.concat(F.slice(done, 1, F.size(done) - 1), grown)).otherwise(F.concat(done, fresh)).cast(kind)
+    def runs(lines):
+        at = lambda i: F.get(lines, i)
+        starts = F.filter(
+            F.sequence(F.lit(0), F.size(lines) - 1),
+            lambda i: (i == 0) | (at(i)["level"] != at(i - 1)["level"]) | (F.trim(at(i)["body"]) == ""),
+        )
+        return named(starts, lambda starts: F.transform(starts, lambda i, n: F.struct(
+            at(i)["level"].alias("level"),
+            F.transform(
+                F.slice(lines, i + 1, F.coalesce(F.get(starts, n + 1), F.size(lines)) - i), lambda line: line["body"]
+            ).alias("lines"),
+        )))
 
-    return F.aggregate(lines, start, merge)
+    return named(lines, runs)
+
+
+def named(value: Column, use) -> Column:
+    """``use(value)`` where ``value`` is worked out once a row, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def units(rows: DataFrame, quoted: bool) -> DataFrame:
@@ -86,11 +96,7 @@ def linked(messages: DataFrame) -> DataFrame:
     said = units(rows.where("own <> ''"), quoted=False)
     quotes = stored(units(rows, quoted=True).distinct(), "quotes")
     said = stored(said.join(quotes.select("hash").distinct(), "hash", "left_semi"), "said")
-    # the same conversation, the latest earlier turn: one row per conversation, hash and turn
-    near = quotes.select("conv_id", "turn", "hash").distinct().join(
-        said.select("conv_id", F.col("turn").alias("from_turn"), "hash").distinct(), ["conv_id", "hash"]
-    )
-    near = near.where("from_turn < turn").groupBy("conv_id", "turn", "hash").agg(F.max("from_turn").alias("from_turn"))
+    near = latest_earlier(quotes, said)
     # other conversations: the first messages of the two that come first, so one is not the quoter's own
     firsts = said.groupBy("hash", "conv_id").agg(F.min("turn").alias("turn"))
     place = F.row_number().over(Window.partitionBy("hash").orderBy(F.col("conv_id").asc_nulls_last()))
@@ -125,6 +131,27 @@ def linked(messages: DataFrame) -> DataFrame:
     )
 
 
+def latest_earlier(quotes: DataFrame, said: DataFrame) -> DataFrame:
+    """``conv_id, turn, hash, from_turn``: the latest earlier turn of the conversation that says what a turn quotes.
+
+    Turns are cut into blocks of ``2 ** TURN_BITS``: a window looks back inside its block, another one over
+    one row a block, so a phrase that a conversation keeps quoting makes no pairs and no long window."""
+    asked = quotes.select("conv_id", "turn", "hash", F.lit(None).cast("long").alias("says")).distinct()
+    stated = said.select("conv_id", "turn", "hash", F.col("turn").alias("says")).distinct()
+    events = asked.unionByName(stated).where("conv_id IS NOT NULL AND turn IS NOT NULL")
+    events = events.withColumn("block", F.shiftright("turn", TURN_BITS))
+    key = ["conv_id", "hash"]
+    before = (Window.unboundedPreceding, -1)
+    blocks = Window.partitionBy(*key).orderBy("block").rowsBetween(*before)
+    carried = events.groupBy(*key, "block").agg(F.max("says").alias("last")).withColumn("carried", F.max("last").over(blocks))
+    # at one turn the quote comes before what is said, so a turn does not answer itself
+    inside = Window.partitionBy(*key, "block").orderBy("turn", F.col("says").asc_nulls_first()).rowsBetween(*before)
+    found = events.withColumn("inside", F.max("says").over(inside)).where("says IS NULL")
+    found = found.join(carried.select(*key, "block", "carried"), [*key, "block"])
+    found = found.withColumn("from_turn", F.coalesce("inside", "carried")).where("from_turn IS NOT NULL")
+    return found.select("conv_id", "turn", "hash", "from_turn")
+
+
 def threads(replies: DataFrame) -> DataFrame:
     """``conv_id, turn, thread, depth`` of all messages that reply inside their conversation.
 

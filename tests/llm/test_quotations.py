@@ -162,3 +162,29 @@ def test_sql_agrees_where_the_quoters_own_conversation_comes_first(spark):
     assert links[1, 0] == (2, 3) and links[2, 4] == (2, 3)
     # a message without a conversation neither quotes nor is quoted
     assert links[None, 1] == links[None, 2] == links[4, 0] == (None, None)
+
+
+def test_latest_earlier_across_blocks_of_turns(spark):
+    rng = random.Random(4)
+    turns = [-3000, -1, 0, 1, 1023, 1024, 1025, 5000, 2**40]
+    rows = [(c, t, rng.choice(["say", "> say", "> say\nsay", "other"])) for c in (1, 2, None) for t in turns]
+    rows += [(1, t, "> say") for t in range(2000, 2010)] + [(1, None, "say"), (1, None, "> say")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, text string").selectExpr("*", "text AS hash")
+    quotes = df.where("text LIKE '>%'").withColumn("hash", F.lit("say"))
+    said = df.where("text LIKE '%say' AND text <> '> say'").withColumn("hash", F.lit("say"))
+    got = {(r.conv_id, r.turn): r.from_turn for r in op.latest_earlier(quotes, said).collect()}
+    want = {}
+    for c, t, text in rows:
+        says = [u for d, u, x in rows if d == c and u is not None and t is not None and u < t and x in ("say", "> say\nsay")]
+        if c is not None and text.startswith(">") and says:
+            want[c, t] = max(says)
+    assert got == want and len(want) > 8
+
+
+def test_many_lines_part_in_linear_time(spark):
+    text = "\n".join("> quoted" if i % 2 else f"said {i}" for i in range(40_000))
+    df = spark.createDataFrame([(text,), ("",), ("a\n\n> b\n> c\n>> d\n",)], "text string").select(op.passages(F.col("text")).alias("p"))
+    long, empty, short = (r.p for r in df.collect())
+    assert len(long) == 40_000 and long[39_999].asDict(True) == {"level": 1, "lines": ["quoted"]}
+    assert [(p.level, p.lines) for p in empty] == [(0, [""])]
+    assert [(p.level, p.lines) for p in short] == [(0, ["a"]), (0, [""]), (1, ["b", "c"]), (2, ["d"]), (0, [""])]
