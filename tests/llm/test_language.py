@@ -59,3 +59,34 @@ def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     held = op.languages(docs).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").collect()
     assert len(held) > 2000 and np.mean([r.lang == r.lang_pred for r in held]) > 0.98
+
+
+def grams(text):
+    """Distinct 1- to 3-grams that begin with a letter, other characters alike."""
+    symbols = [int(op.letters()[ord(c)]) for c in text]
+    return {tuple(symbols[i : i + n]) for n in (1, 2, 3) for i in range(len(text) - n + 1) if symbols[i]}
+
+
+def test_query_is_kernel_ridge_regression_on_sets_of_grams(spark):
+    """With fewer rows than landmarks the fit is the exact one: (K + ridge * n) weights = targets."""
+    rng = np.random.default_rng(3)
+    words = {"en": "the and of with that this from", "de": "der die und nicht ein mit auf", "fr": "le la et les dans pour une"}
+    rows = [(k, " ".join(rng.choice(words[lang].split(), 6)), lang) for k, lang in enumerate(rng.choice(list(words), 60).tolist())]
+    rows += [(900, "12 !", "en"), (901, None, "en"), (902, "the und le", None)]
+    learned = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2 and r[2] and r[1] and grams(r[1])]
+
+    def kernel(a, b):
+        return np.array([[len(x & y) / np.sqrt(len(x) * len(y)) for y in b] for x in a])
+
+    sets, names = [grams(r[1]) for r in learned], sorted(words)
+    target = np.array([[1.0 if r[2] == n else -1.0 for n in names] for r in learned])
+    weights = np.linalg.solve(kernel(sets, sets) + 1e-4 * len(sets) * np.eye(len(sets)), target)
+    found = {r.doc_id: r for r in op.languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert len(found) == len(rows)
+    for k, text, _ in rows:
+        if not text or not grams(text):
+            assert (found[k].lang_pred, found[k].score) == ("und", 0)
+            continue
+        scores = (kernel([grams(text)], sets) @ weights)[0]
+        assert found[k].lang_pred == names[scores.argmax()] or np.ptp(np.sort(scores)[-2:]) < 0.05
+        assert abs(found[k].score - min(1, max(0, (scores.max() + 1) / 2))) < 0.03
