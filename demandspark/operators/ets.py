@@ -134,9 +134,9 @@ def _grid(rows: list[tuple]) -> Column:
     ])
 
 
-def _around(fit: Column, trend: str, kind: str, alphas: Sequence[float], turn: int) -> Column:
-    """Rows around the fitted one, ``2 ** -turn`` of the way to the neighbours in the first grid."""
-    share = F.lit(0.5**turn)
+def _around(fit: Column, trend: str, kind: str, alphas: Sequence[float], turn: Column) -> Column:
+    """Rows around the fitted one, ``turn["share"]`` of the way to the neighbours in the first grid."""
+    share = turn["share"]
 
     def near(name: str, grid: Sequence[float], low: float, high: float) -> Column:
         v, known = fit[name], F.array(*map(F.lit, grid))
@@ -154,7 +154,7 @@ def _around(fit: Column, trend: str, kind: str, alphas: Sequence[float], turn: i
         rows = F.filter(rows, lambda q: q["beta"] < q["alpha"])
     if kind != "N":
         rows = F.filter(rows, lambda q: q["gamma"] < 1 - q["alpha"])
-    return F.transform(rows, lambda q, i: F.struct((i + 1000 * turn).alias("number"), *(q[c].alias(c) for c in NAMES)))
+    return F.transform(rows, lambda q, i: F.struct((i + turn["first"]).alias("number"), *(q[c].alias(c) for c in NAMES)))
 
 
 def _candidates(values: Column, trend: str, kind: str, params: Column, forms: dict[str, int], season_length: int) -> Column:
@@ -200,19 +200,18 @@ def best_fit(
     every = F.flatten(F.filter(F.array(*found), lambda c: c.isNotNull()))
     best = F.array_min(F.filter(every, lambda c: c.isNotNull()))
 
-    def tries(fit: Column, turn: int) -> Column:
+    def tries(fit: Column, turn: Column) -> Column:
         tried = F.coalesce(*(
             F.when(fit["form"].isin(list(named[g])), _candidates(values, *g, _around(fit, *g, alphas, turn), named[g], season_length))
             for g in groups
         ))
         return F.array_min(F.concat(F.array(fit), F.filter(tried, lambda c: c.isNotNull())))
 
-    def finer(fit: Column, turn: int) -> Column:
-        return let(fit, lambda f: tries(f, turn))
-
-    for turn in range(1, refinements + 1):
-        best = finer(best, turn)
-    return best
+    if not refinements:
+        return best
+    # one lambda for all turns: nested a turn in the other, they outgrow the analyzer's iterations
+    turns = F.array(*(F.struct(F.lit(1000 * t).alias("first"), F.lit(0.5**t).alias("share")) for t in range(1, refinements + 1)))
+    return F.aggregate(turns, best, tries)
 
 
 def forecast_at(fit: Column, n: Column, h: Column) -> Column:

@@ -121,6 +121,12 @@ def test_refinement_never_worse_and_without_a_form(spark):
     assert any(a["fit"] and b["fit"]["aicc"] < a["fit"]["aicc"] for a, b in zip(coarse, fine, strict=True))
 
 
+def test_refinements_do_not_deepen_the_expression(spark):
+    y = [20 + 0.2 * i + 3 * math.sin(i * math.pi / 2) + (i * i) % 7 for i in range(40)]
+    few, many = (chosen(spark, [y], 4, 2, ["ANN", "AAA"], (0.1, 0.5), r)[0]["fit"] for r in (1, 8))
+    assert many["aicc"] <= few["aicc"]
+
+
 def test_forms_that_cannot_serve(spark):
     with pytest.raises(ValueError):
         ets.grids(["MNM"])
