@@ -1,10 +1,15 @@
 import random
+import re
 import statistics
 
 import pytest
+from pyspark.sql import functions as F
 
 from demandspark.operators import windows
-from helpers import by_key, column, panel
+from demandspark.operators.promo import join_promo_weeks
+from demandspark.operators.rollup import prepare_sparse_track
+from demandspark.plans.features import features_from_track
+from helpers import MONDAY, by_key, calendar, column, panel, weeks
 
 
 def test_lags_respect_series(spark):
@@ -109,3 +114,47 @@ def test_latest_row(spark):
     assert windows.latest_per_series(df, columns=["sales"]).columns == ["id", "date", "sales"]
     with pytest.raises(ValueError):
         windows.latest_per_series(df, columns=["nothing"])
+
+
+def filled_rows_shuffled(plan):
+    """Exchanges of filled rows themselves, not of sums over them."""
+    lines = [line.lstrip(" :+-") for line in plan.splitlines()]
+    lines = [re.sub(r"^\*\(\d+\) ", "", line) for line in lines]
+    found = []
+    for i, line in enumerate(lines):
+        if line.startswith("Exchange"):
+            below = next((x for x in lines[i + 1 :] if re.match(r".*Aggregate|Generate explode\(sequence|.*Scan", x)), "")
+            found += [line] * below.startswith("Generate explode(sequence")
+    return found
+
+
+def test_filled_rows_of_a_matrix_are_not_shuffled(spark):
+    weeks_ = weeks(20)
+    sold = [(f"I{i}", "FOODS_3", "FOODS", f"S{i % 2}", "CA", w, 1 + (i + k) % 5) for i in range(4) for k, w in enumerate(weeks_) if (i + k) % 3]
+    facts = spark.createDataFrame(sold, "item_id string, dept_id string, cat_id string, store_id string, state_id string, date date, sales bigint")
+    prices = spark.createDataFrame(
+        [(f"S{i % 2}", f"I{i}", 11101 + k, 5.0 - (k % 4)) for i in range(4) for k in range(20)], "store_id string, item_id string, wm_yr_wk int, sell_price double"
+    )
+    days = calendar(spark, MONDAY, 140)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows, plain = (
+            prepare_sparse_track(facts, "fresh_weekly", F.lit(weeks_[0]), F.lit(weeks_[-1]), True, n) for n in (8, None)
+        )
+        got, want = (features_from_track(r, days, prices) for r in (rows, plain))
+        assert not filled_rows_shuffled(got._jdf.queryExecution().executedPlan().toString())
+        assert got.count() == 80 and by_key(got, "id", "date") == by_key(want, "id", "date")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_promo_weeks_keep_every_row_and_match(spark):
+    rows = spark.createDataFrame([("A", "S", 1), ("A", "S", 2), ("A", "S", None), ("A", None, 1), ("B", "S", 1)], "item_id string, store_id string, wm_yr_wk int")
+    signal = spark.createDataFrame(
+        [("A", "S", 1, True, 0.5), ("A", "S", 1, False, 1.0), ("A", "S", None, True, 0.1), ("A", None, 1, True, 0.2), ("B", "S", 2, True, 0.3)],
+        "item_id string, store_id string, wm_yr_wk int, on_promo boolean, price_relative_to_ref double",
+    )
+    keys = ["item_id", "store_id", "wm_yr_wk"]
+    want = rows.join(signal, keys, "left").select(*rows.columns, "on_promo", "price_relative_to_ref")
+    got = join_promo_weeks(rows, signal, keys)
+    assert got.columns == want.columns and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
