@@ -2,9 +2,9 @@
 
 Features are cut into bins once; a block of rows is its bins (a byte a feature), the targets of all
 models, a hash of each row's key and the margins. Every tree level is one pass over the blocks: each
-partition sums gradients, hessians and rows by model, node, feature and bin, only these sums are added up
-and sent to the driver (their size does not depend on the rows), and the splits of all models are
-chosen there. A right child's sums are its parent's less its sibling's, so only left children are summed.
+partition sums gradients, hessians and rows by model, node, feature and bin, only these sums are shuffled,
+by feature, and added up (their size does not depend on the rows). Splits are chosen there: the driver
+gets a few numbers a node and task.
 All steps share the passes: 200 rounds of depth 6 are 1,200 passes for any number of models.
 
 Gradients are rounded to multiples of 2^-20, so sums are exact and a model does not depend on partitions.
@@ -18,6 +18,7 @@ import io
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +42,6 @@ MISSING = -1.0
 
 #: Rows of a block and partition at most, and at least while there are idle cores.
 ROWS_PER_PARTITION, ROWS_WORTH_A_TASK = 250_000, 16_384
-#: Partial sums that the driver adds up itself; more of them are added in a tree of tasks first.
-DIRECT_PARTS = 32
 UNIT = float(1 << 20)
 #: Residual bins of a leaf, for medians under the absolute loss.
 RESIDUAL_BINS = 512
@@ -183,6 +182,30 @@ def _unsquash(place: np.ndarray) -> np.ndarray:
     return np.sinh((place - RESIDUAL_BINS // 2) / 16) / 8
 
 
+def _best(place: int, hist: np.ndarray, s: BoostingSettings) -> np.ndarray:
+    """Of one feature, every node's split of most gain: gain, place of the feature, bin, gradient and hessian of
+    the left child, gradient and hessian of the node."""
+    left = np.cumsum(hist, axis=2)[:, :, :-1]
+    whole = hist.sum(axis=2)[:, :, None]
+    right = whole - left
+    fit = (left[2] >= s.min_rows) & (right[2] >= s.min_rows)
+    fit &= (left[1] >= s.min_hessian) & (right[1] >= s.min_hessian)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = left[0] ** 2 / left[1] + right[0] ** 2 / right[1] - whole[0] ** 2 / whole[1]
+    gain = np.where(fit, gain, 0.0)
+    out = np.zeros((7, len(gain)))
+    out[1], out[5:] = place, whole[:2, :, 0]
+    if gain.shape[1]:
+        n, c = np.arange(len(gain)), gain.argmax(axis=1)
+        out[0], out[2], out[3:5] = gain[n, c], c, left[:2, n, c]
+    return out
+
+
+def _better(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Node by node the split of more gain; of equal ones that of the earlier feature."""
+    return np.where((a[0] > b[0]) | ((a[0] == b[0]) & (a[1] < b[1])), a, b)
+
+
 class _Growth:
     """Grows the trees of all models over the blocks."""
 
@@ -213,40 +236,34 @@ class _Growth:
 
         return (self.blocks if afresh else before).map(move).persist(StorageLevel.MEMORY_AND_DISK)
 
-    def _added(self, part, blocks: RDD) -> np.ndarray | None:
-        """The sum of ``part`` (an array) over all blocks."""
+    def _sums(self, part, blocks: RDD) -> RDD:
+        """By number: the arrays that ``part`` makes of each block, added up. The sums of a partition go to as many
+        tasks as there are partitions, by their number, and stay there."""
 
-        def run(rows: Iterator[_Block]) -> Iterator[np.ndarray]:
+        def run(rows: Iterator[_Block]) -> Iterator[tuple[int, np.ndarray]]:
             total = None
             for b in rows:
                 total = part(b) if total is None else total + part(b)
-            return iter(()) if total is None else iter((total,))
+            return iter(()) if total is None else enumerate(total)
 
-        sums = blocks.mapPartitions(run)
-        if blocks.getNumPartitions() > DIRECT_PARTS:
-            return sums.treeReduce(np.add)
-        found = sums.collect()
-        return sum(found[1:], found[0]) if found else None
+        return blocks.mapPartitions(run).reduceByKey(np.add, blocks.getNumPartitions())
 
-    def _histograms(self, state: RDD, r: int, level: int, tree, parents: np.ndarray, columns: np.ndarray) -> np.ndarray:
-        """Gradient, hessian and row sums by node, feature and bin. ``parents`` numbers the (model, parent)
-        whose left children are summed, -1 for others; at the root it numbers the models."""
+    def _histograms(self, state: RDD, r: int, level: int, tree, numbers: np.ndarray, columns: np.ndarray) -> RDD:
+        """Of every drawn feature, by its place: gradient, hessian and row sums by node and bin. ``numbers`` has the
+        number of each model's nodes of the level, -1 for those that are not summed."""
         s, objective, width = self.s, self.objective, self.width
-        many, kinds = int(parents.max()) + 1, 3 if objective == "tweedie" else 2
+        many, kinds = int(numbers.max()) + 1, 3 if objective == "tweedie" else 2
         features, bins = tree
 
         def part(b: _Block) -> np.ndarray:
             size = many * width
-            out = np.zeros((kinds, len(columns), size))
+            out = np.zeros((len(columns), kinds, size))
             drawn = uniform(b.key, s.seed + r) < s.row_fraction if s.row_fraction < 1 else np.ones(len(b.key), bool)
             held = []
             for k in range(b.y.shape[1]):
                 at = node_at(b.bins, features[k], bins[k], level)
-                place = parents[k][at >> 1] if level else np.full(len(at), parents[k][0])
-                use = drawn & ~np.isnan(b.y[:, k]) & (place >= 0)
-                if level:
-                    use &= (at & 1) == 0
-                rows = np.flatnonzero(use)
+                place = numbers[k][at]
+                rows = np.flatnonzero(drawn & ~np.isnan(b.y[:, k]) & (place >= 0))
                 if not len(rows):
                     continue
                 g, h = gradients(objective, b.y[rows, k], b.margin[rows, k], s.tweedie_power)
@@ -256,18 +273,17 @@ class _Growth:
             rows, first, g, h = (np.concatenate(v) for v in zip(*held, strict=True))
             for i, j in enumerate(columns):
                 cells = first + b.bins[:, j][rows]
-                out[0, i] = np.bincount(cells, g, size)
+                out[i, 0] = np.bincount(cells, g, size)
                 if kinds == 3:
-                    out[1, i] = np.bincount(cells, h, size)
-                out[-1, i] = np.bincount(cells, minlength=size)
+                    out[i, 1] = np.bincount(cells, h, size)
+                out[i, -1] = np.bincount(cells, minlength=size)
             return out
 
-        found = self._added(part, state)
-        shape = (many, len(columns), width)
-        if found is None:
-            return np.zeros((3, *shape))
-        found = found.reshape(kinds, len(columns), many, width).transpose(0, 2, 1, 3)
-        return np.stack([found[0] / UNIT, found[1] / UNIT if kinds == 3 else found[-1], found[-1]])
+        def whole(sums: np.ndarray) -> np.ndarray:
+            found = sums.reshape(kinds, many, width)
+            return np.stack([found[0] / UNIT, found[1] / UNIT if kinds == 3 else found[-1], found[-1]])
+
+        return self._sums(part, state).mapValues(whole)
 
     def _medians(self, state: RDD, tree) -> np.ndarray:
         """Median residual of every model's leaf, from counts in bins that are finer near zero."""
@@ -282,29 +298,29 @@ class _Growth:
                 out[k] += np.bincount(at * RESIDUAL_BINS + _squash(b.y[rows, k] - b.margin[rows, k]), minlength=out.shape[1])
             return out
 
-        counts = self._added(part, state).reshape(len(self.names), leaves, RESIDUAL_BINS)
-        half = counts.sum(axis=2, keepdims=True) / 2
-        place = (np.cumsum(counts, axis=2) < half).sum(axis=2)
-        return np.where(half[:, :, 0] > 0, _unsquash(np.minimum(place, RESIDUAL_BINS - 1)), 0.0)
+        def middle(sums: np.ndarray) -> np.ndarray:
+            counts = sums.reshape(leaves, RESIDUAL_BINS)
+            half = counts.sum(axis=1, keepdims=True) / 2
+            place = (np.cumsum(counts, axis=1) < half).sum(axis=1)
+            return np.where(half[:, 0] > 0, _unsquash(np.minimum(place, RESIDUAL_BINS - 1)), 0.0)
+
+        found = dict(self._sums(part, state).mapValues(middle).collect())
+        return np.stack([found[k] for k in range(len(self.names))])
 
     # ---- trees
 
-    def _split(self, hist: np.ndarray, columns: np.ndarray):
-        """Best split of each node: gain, feature, bin, sums of the left child; gain 0 where there is none."""
-        left = np.cumsum(hist, axis=3)[:, :, :, :-1]
-        whole = hist.sum(axis=3)[:, :, :, None]
-        right = whole - left
-        fit = (left[2] >= self.s.min_rows) & (right[2] >= self.s.min_rows)
-        fit &= (left[1] >= self.s.min_hessian) & (right[1] >= self.s.min_hessian)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            gain = left[0] ** 2 / left[1] + right[0] ** 2 / right[1] - whole[0] ** 2 / whole[1]
-        gain = np.where(fit, gain, 0.0)
-        flat = gain.reshape(len(gain), -1)
-        best = flat.argmax(axis=1) if flat.shape[1] else np.zeros(len(gain), np.int64)
-        n = np.arange(len(gain))
-        f, c = best // max(1, gain.shape[2]), best % max(1, gain.shape[2])
-        top = flat[n, best] if flat.shape[1] else np.zeros(len(gain))
-        return np.where(top > 1e-9, top, 0.0), columns[f], c, f
+    def _split(self, hist: RDD) -> np.ndarray:
+        """Best split of each node, chosen where the sums are: rows as of :func:`_best`."""
+        s = self.s
+
+        def run(features: Iterator[tuple[int, np.ndarray]]) -> Iterator[np.ndarray]:
+            best = None
+            for place, sums in features:
+                found = _best(place, sums, s)
+                best = found if best is None else _better(best, found)
+            return iter(()) if best is None else iter((best,))
+
+        return reduce(_better, hist.mapPartitions(run).collect())
 
     def _tree(self, state: RDD, r: int) -> None:
         s, m = self.s, len(self.names)
@@ -314,15 +330,17 @@ class _Growth:
         count = max(1, math.ceil(s.feature_fraction * len(self.edges)))
         columns = np.sort(rng.choice(len(self.edges), count, replace=False))
         value = np.zeros((m, 1))  # leaf value of every node of the level
-        parents = np.arange(m)[:, None]
-        hist = self._histograms(state, r, 0, (features, bins), parents, columns)
-        nodes = [(k, 0) for k in range(m)]  # (model, place) of the rows of hist
-        totals = hist[:, :, 0, :].sum(axis=2)
-        value[:, 0] = -totals[0] / np.maximum(totals[1], 1e-12)
+        nodes = [(k, 0) for k in range(m)]  # (model, place) of the nodes that may be cut
         for level in range(s.max_depth):
-            gain, f, c, own = self._split(hist, columns)
+            numbers = np.full((m, 1 << level), -1)
+            numbers[tuple(np.transpose(nodes))] = np.arange(len(nodes))
+            best = self._split(self._histograms(state, r, level, (features, bins), numbers, columns))
+            gain, f, c = np.where(best[0] > 1e-9, best[0], 0.0), columns[best[1].astype(int)], best[2].astype(int)
+            low, totals = best[3:5], best[5:7]
+            if not level:
+                value[:, 0] = -totals[0] / np.maximum(totals[1], 1e-12)
+            high = totals - low
             wider = np.repeat(value, 2, axis=1)
-            parents = np.full((m, 1 << level), -1)
             cut = []
             for i, (k, place) in enumerate(nodes):
                 if gain[i] <= 0:
@@ -330,18 +348,13 @@ class _Growth:
                 node = place + (1 << level) - 1
                 features[k, node], bins[k, node] = f[i], c[i]
                 self.gains[k, f[i]] += gain[i]
-                low = hist[:2, i, own[i], : c[i] + 1].sum(axis=1)
-                high = hist[:2, i, own[i], c[i] + 1 :].sum(axis=1)
-                wider[k, 2 * place], wider[k, 2 * place + 1] = -low[0] / low[1], -high[0] / high[1]
-                parents[k, place] = len(cut)
+                wider[k, 2 * place], wider[k, 2 * place + 1] = -low[0, i] / low[1, i], -high[0, i] / high[1, i]
                 cut.append(i)
             value = wider
             if not cut or level + 1 == s.max_depth:
                 if not cut:
                     value = np.repeat(value, 1 << (s.max_depth - level - 1), axis=1)
                 break
-            left = self._histograms(state, r, level + 1, (features, bins), parents, columns)
-            hist = np.concatenate([left, hist[:, cut] - left], axis=1)
             nodes = [(nodes[i][0], 2 * nodes[i][1]) for i in cut] + [(nodes[i][0], 2 * nodes[i][1] + 1) for i in cut]
         if self.objective == "l1":
             value = self._medians(state, (features, bins))

@@ -1,9 +1,11 @@
 import dataclasses
+import pickle
 import random
 from datetime import timedelta
 
 import numpy as np
 import pytest
+from pyspark import RDD
 from pyspark.sql import functions as F
 
 from demandspark.operators import folds, windows
@@ -178,3 +180,23 @@ def test_folds_share_their_passes_and_do_not_look_ahead(spark):
     found = evaluate.evaluate_boosted(m, table, forecaster).collect()
     assert sorted(r["fold_id"] for r in found) == sorted(ends) and all(r["n_obs"] == 12 for r in found)
     m.unpersist()
+
+
+@pytest.mark.parametrize("objective", ["l1", "tweedie"])
+def test_sums_stay_with_the_tasks(spark, monkeypatch, objective):
+    """What a pass brings to the driver does not grow with the features or the bins."""
+    rng = random.Random(4)
+    names = [f"x{i}" for i in range(12)]
+    rows = [(str(i), MONDAY, *(rng.random() for _ in names), rng.random() * 9) for i in range(300)]
+    df = spark.createDataFrame(rows, f"id string, date date, {', '.join(f'{c} double' for c in names)}, t double")
+    seen, collect = [], RDD.collect
+
+    def counted(self):
+        found = collect(self)
+        seen.append(len(pickle.dumps(found)))
+        return found
+
+    monkeypatch.setattr(RDD, "collect", counted)
+    assert grow(df, names, ["t"], objective, dataclasses.replace(QUICK, rounds=2))
+    # 4 nodes at most: 7 numbers each, or 8 medians; their sums are 10 features x 64 bins x 4 nodes
+    assert seen and max(seen) < 2000
