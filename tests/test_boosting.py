@@ -200,3 +200,25 @@ def test_sums_stay_with_the_tasks(spark, monkeypatch, objective):
     assert grow(df, names, ["t"], objective, dataclasses.replace(QUICK, rounds=2))
     # 4 nodes at most: 7 numbers each, or 8 medians; their sums are 10 features x 64 bins x 4 nodes
     assert seen and max(seen) < 2000
+
+
+@pytest.mark.parametrize("objective", ["l1", "l2", "tweedie"])
+def test_more_features_send_no_more_to_the_driver(spark, monkeypatch, objective):
+    seen, collect = [], RDD.collect
+
+    def counted(self):
+        found = collect(self)
+        seen.append(len(pickle.dumps(found)))
+        return found
+
+    monkeypatch.setattr(RDD, "collect", counted)
+    sent = []
+    for width in (4, 16):
+        rng = random.Random(4)
+        names = [f"x{i}" for i in range(width)]
+        rows = [(str(i), MONDAY, *(rng.random() for _ in names), rng.random() * 9) for i in range(300)]
+        df = spark.createDataFrame(rows, f"id string, date date, {', '.join(f'{c} double' for c in names)}, t double")
+        seen.clear()
+        assert grow(df, names, ["t"], objective, dataclasses.replace(QUICK, rounds=2))
+        sent.append(sum(seen))
+    assert 0 < sent[1] < 1.5 * sent[0]
