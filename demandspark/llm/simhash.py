@@ -149,6 +149,44 @@ def distance(a: Column | str, b: Column | str) -> Column:
     return F.bit_count(left.bitwiseXOR(right))
 
 
+def _met(rows: DataFrame, others: DataFrame, on: Column) -> DataFrame:
+    """``rows`` joined to ``others``, where either has a row for each join key of a fingerprint.
+
+    Always by shuffle: Spark takes a row with its some 70 keys for one row, and would broadcast what fills the driver.
+    """
+    return rows.join(others.hint("merge"), on)
+
+
+def pivot_links(members: DataFrame, most: int) -> DataFrame:
+    """Links ``u, v`` of every member of a key to the key's smallest member."""
+    pivots = members.groupBy("key").agg(F.min("simhash").alias("pivot"), F.count(F.lit(1)).alias("n"))
+    pivots = pivots.where("n > 1").select(F.col("key").alias("pivot_key"), "pivot")
+    near = (F.col("key") == F.col("pivot_key")) & (F.col("simhash") != F.col("pivot")) & (distance("simhash", "pivot") <= most)
+    return _met(members, pivots, near).select(F.col("simhash").alias("u"), F.col("pivot").alias("v"))
+
+
+def _apart(rows: DataFrame, members: DataFrame, most: int) -> DataFrame:
+    """Links between the labels of ``rows`` and of ``members`` of the same key, where the labels differ."""
+    other = [F.col(c).alias(f"{c}_b") for c in ("key", "simhash", "label")]
+    apart = (F.col("key") == F.col("key_b")) & (F.col("label") != F.col("label_b")) & (distance("simhash", "simhash_b") <= most)
+    return _met(rows, members.select(*other), apart).select(F.col("label").alias("u"), F.col("label_b").alias("v"))
+
+
+def small_links(members: DataFrame, most: int) -> DataFrame:
+    """Links of the members of small components to all others of their keys."""
+    return _apart(members.where(F.col("weight") < LARGE), members, most)
+
+
+def large_links(large: DataFrame, most: int) -> DataFrame:
+    """Links of the members of large components to those of other large ones, but for those in the key's largest."""
+    homes = large.groupBy("key").agg(
+        F.min("label").alias("low"), F.max("label").alias("high"), F.max_by("label", F.struct("weight", "label")).alias("home")
+    )
+    homes = homes.where("low <> high").select(F.col("key").alias("home_key"), "home")
+    strays = _met(large, homes, (F.col("key") == F.col("home_key")) & (F.col("label") != F.col("home"))).select("key", "simhash", "label")
+    return _apart(strays, large, most)
+
+
 def linked_classes(marks: DataFrame, most: int = 4) -> DataFrame:
     """``simhash, component_id`` for every distinct fingerprint of ``marks`` (``doc_id, simhash``)."""
     if not 0 <= most <= 4:
@@ -156,12 +194,7 @@ def linked_classes(marks: DataFrame, most: int = 4) -> DataFrame:
     classes = stored(marks.groupBy("simhash").agg(F.min("doc_id").alias("doc")), "classes")
 
     # round 1: every member of a key against the smallest one
-    members = with_keys(classes.select("simhash"))
-    pivots = members.groupBy("key").agg(F.min("simhash").alias("pivot"), F.count(F.lit(1)).alias("n"))
-    pivots = pivots.where("n > 1").select(F.col("key").alias("pivot_key"), "pivot")
-    near = (F.col("key") == F.col("pivot_key")) & (F.col("simhash") != F.col("pivot")) & (distance("simhash", "pivot") <= most)
-    first = members.join(pivots, near).select(F.col("simhash").alias("u"), F.col("pivot").alias("v")).distinct()
-    groups = components(first)
+    groups = components(pivot_links(with_keys(classes.select("simhash")), most).distinct())
     sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("weight"))
     labels = groups.join(sizes, "component").select(F.col("node").alias("simhash"), "component", "weight")
     labelled = classes.select("simhash").join(labels, "simhash", "left").select(
@@ -169,21 +202,9 @@ def linked_classes(marks: DataFrame, most: int = 4) -> DataFrame:
     )
     labelled = stored(labelled, "labelled")
 
-    # round 2: members of small components against all others of the key ...
-    members = with_keys(labelled)
-    small = members.where(F.col("weight") < LARGE)
-    other = [F.col(c).alias(f"{c}_b") for c in ("key", "simhash", "label")]
-    apart = (F.col("key") == F.col("key_b")) & (F.col("label") != F.col("label_b")) & (distance("simhash", "simhash_b") <= most)
-    second = small.join(members.select(*other), apart).select(F.col("label").alias("u"), F.col("label_b").alias("v"))
-    # ... and of large ones against all of other large ones, but for those in the key's largest
-    large = with_keys(labelled.where(F.col("weight") >= LARGE))
-    homes = large.groupBy("key").agg(
-        F.min("label").alias("low"), F.max("label").alias("high"), F.max_by("label", F.struct("weight", "label")).alias("home")
-    )
-    homes = homes.where("low <> high").select(F.col("key").alias("home_key"), "home")
-    strays = large.join(homes, (F.col("key") == F.col("home_key")) & (F.col("label") != F.col("home"))).select("key", "simhash", "label")
-    third = strays.join(large.select(*other), apart).select(F.col("label").alias("u"), F.col("label_b").alias("v"))
-    second = second.unionByName(third).distinct()
+    # round 2: members of small components, and of large ones, against the others of their keys
+    third = large_links(with_keys(labelled.where(F.col("weight") >= LARGE)), most)
+    second = small_links(with_keys(labelled), most).unionByName(third).distinct()
     joint = components(second).select(F.col("node").alias("label"), "component")
 
     joint = stored(labelled.select("label").distinct().join(joint, "label", "left").select("label", F.coalesce("component", "label").alias("whole")), "joint")

@@ -80,6 +80,17 @@ def test_links_of_dense_groups(spark):
     assert [got[i] for i in range(len(prints))] == linked(prints, list(range(len(prints))))
 
 
+def test_rows_with_keys_are_never_broadcast(spark):
+    """A row becomes some 70, which Spark's size estimate does not see."""
+    rows = [(i * 0x9E3779B97F4A7C15 % (1 << 63), i, 1 + i % 2 * op.LARGE) for i in range(50)]
+    members = op.with_keys(spark.createDataFrame(rows, "simhash long, label long, weight long"))
+    for links in (op.pivot_links, op.small_links, op.large_links):
+        found = links(members, 4)
+        found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan, links.__name__
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 50)] + [(5, 5), (3000, 2999)]
     got = dict(tuple(r) for r in components(spark.createDataFrame(edges, "u long, v long")).collect())
