@@ -3,11 +3,12 @@ from collections import Counter
 
 import corpus_pipeline
 import public_tokenizers
-from samples import SF, empty
+from samples import SF, documents, empty
 from tokenizers import Tokenizer
 
 import __spark_entry__ as contract
 from demandspark.llm import decontamination, mixing, quality, simhash
+from demandspark.llm.components import components
 
 
 def stages(spark, docs):
@@ -90,3 +91,17 @@ def test_registered():
     names = contract.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
     assert corpus_pipeline.ORACLE_SQL is None and set(contract.oracle_sql()) <= set(names)
+
+
+def test_near_dedup_joins_keys_by_shuffle(spark, monkeypatch):
+    """Fingerprints with their keys are never broadcast, however small Spark takes them for."""
+    plans = []
+
+    def linked(edges):
+        plans.append(edges._jdf.queryExecution().executedPlan().toString())
+        return components(edges)
+
+    monkeypatch.setattr(simhash, "components", linked)
+    docs = documents(spark)
+    assert 0 < corpus_pipeline.near_dedup_stage(spark, docs, "").count() < docs.count()
+    assert len(plans) == 2 and all("SortMergeJoin" in p and "Broadcast" not in p for p in plans)
