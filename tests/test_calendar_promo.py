@@ -134,3 +134,21 @@ def test_week_takes_its_first_price_week(spark):
     days = calendar(spark, MONDAY, 7, weeks_of=lambda i: 11102 if i <= 5 else 11103)
     assert cal.weekly_calendar(days).first()["wm_yr_wk"] == 11102
     assert cal.weekly_calendar(days).first()["date"] == MONDAY
+
+
+def test_promo_weeks_are_looked_up_by_generated_code(spark):
+    """Repeated price weeks repeat a row, null weeks match nothing, and no lambda is interpreted for each row."""
+    rows = spark.createDataFrame(
+        [("a", 1, "x"), ("a", 3, "x"), ("a", None, "x"), ("b", 1, "x"), ("c", 1, "x"), (None, 1, "x")], "item_id string, wm_yr_wk int, store_id string"
+    )
+    signal = spark.createDataFrame(
+        [("a", "x", 1, True, 0.5), ("a", "x", 1, None, 0.7), ("a", "x", 2, True, 0.6), ("a", "x", None, True, 0.1), ("b", "x", None, True, 0.2), (None, "x", 1, True, 0.3)],
+        "item_id string, store_id string, wm_yr_wk int, on_promo boolean, price_relative_to_ref double",
+    )
+    found = promo.join_promo_weeks(rows, signal, ["item_id", "store_id", "wm_yr_wk"])
+    assert found.columns == [*rows.columns, "on_promo", "price_relative_to_ref"]
+    want = [("a", 1, True, 0.5), ("a", 1, None, 0.7), ("a", 3, None, None), ("a", None, None, None), ("b", 1, None, None), ("c", 1, None, None), (None, 1, None, None)]
+    got = [(r.item_id, r.wm_yr_wk, r.on_promo, r.price_relative_to_ref) for r in found.collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan
